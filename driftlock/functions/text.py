@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftlock import vocab
+from driftlock.functions.bind import let
 
 
 def lines_of(text: Column) -> Column:
@@ -24,40 +25,51 @@ _CODE_LINE = r"^\s*(?:(?:using|namespace|public|internal|sealed|static|class) |/
 
 def extract_code(text: Column) -> Column:
     """PRJ12: the first fenced block; else everything from the first line that looks like code; trimmed."""
-    lines = lines_of(text)
-    first = F.array_position(F.transform(lines, lambda line: line.rlike(_CODE_LINE)), True)
-    from_code = F.array_join(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)), "\n")
-    return (
-        F.when(text.rlike(_FENCE), trim_space(F.regexp_extract(text, _FENCE, 1)))
-        .when(first > 1, trim_space(from_code))
-        .otherwise(trim_space(text))
+
+    def unfenced(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda line: line.rlike(_CODE_LINE)), True)
+        return F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines)), "\n")
+
+    return trim_space(
+        F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(let(lines_of(text), unfenced))
     )
 
 
 def tail_lines(logs: Column, n: int = vocab.TAIL_LINES) -> Column:
     """PRJ13: the last ``n`` non-empty lines."""
-    kept = F.filter(
-        F.transform(F.split(logs, "\n"), lambda line: F.regexp_replace(line, r"\s+\z", "")), lambda line: line != ""
+    bare = F.transform(F.split(logs, "\n"), lambda line: F.regexp_replace(line, r"\s+\z", ""))
+    return let(
+        F.filter(bare, lambda line: line != ""),
+        lambda kept: F.slice(kept, F.greatest(F.size(kept) - n + 1, F.lit(1)), n),
     )
-    return F.slice(kept, F.greatest(F.size(kept) - n + 1, F.lit(1)), n)
 
 
 def extract_diagnostics(logs: Column, marker: str, cap: int = vocab.DIAGNOSTIC_LINES) -> Column:
     """PRJ13: distinct trimmed lines with the marker in order of appearance; without any, the tail of the log."""
-    marked = F.filter(F.transform(F.split(logs, "\n"), trim_space), lambda line: F.contains(line, F.lit(marker)))
-    found = F.slice(F.array_distinct(marked), 1, cap)
-    return F.when(F.size(found) > 0, found).otherwise(tail_lines(logs))
+    marked = F.transform(F.filter(F.split(logs, "\n"), lambda line: F.contains(line, F.lit(marker))), trim_space)
+    return let(
+        F.slice(F.array_distinct(marked), 1, cap),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(tail_lines(logs)),
+    )
 
 
 def broken_files(logs: Column) -> Column:
     """PRJ13: files named in compiler error lines, distinct ignoring case."""
     pattern = r"^(.+?\.cs)\(\d+,\d+\):\s*error CS"
-    named = F.transform(
-        F.split(logs, "\n"), lambda line: trim_space(F.regexp_extract(trim_space(line), pattern, 1))
+    errors = F.filter(F.split(logs, "\n"), lambda line: F.contains(line, F.lit("error CS")))
+    named = F.transform(errors, lambda line: trim_space(F.regexp_extract(trim_space(line), pattern, 1)))
+    spelled = F.transform(
+        F.array_distinct(F.filter(named, lambda f: f != "")),
+        lambda f: F.struct(F.lower(f).alias("low"), f.alias("name")),
     )
-    kept = F.filter(named, lambda f: f != "")
-    return F.filter(
-        kept, lambda f, i: F.array_position(F.transform(kept, lambda k: F.lower(k)), F.lower(f)) == i + 1
+    return let(
+        spelled,
+        lambda files: let(
+            F.transform(files, lambda f: f["low"]),
+            lambda low: F.transform(
+                F.filter(files, lambda f, i: F.array_position(low, f["low"]) == i + 1), lambda f: f["name"]
+            ),
+        ),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlock import vocab
+from driftlock.functions.bind import let
 from driftlock.functions.canonical import stable_fraction
 from driftlock.operators.ordered import prefix_sum
 
@@ -43,42 +44,55 @@ def _decided(text: Column, literal: str, dialect: str) -> Column:
     return F.concat(*found)
 
 
+def _digits(number: Column) -> Column:
+    return F.regexp_replace(number, "[mMdDfFlL]$", "")
+
+
+def _typed(numbers: Column, test, cast: str) -> Column:
+    values = F.transform(F.filter(numbers, test), lambda n: _digits(n).try_cast(cast))
+    return F.array_sort(F.array_distinct(F.array_compact(values)))
+
+
 def mined(rule_text: Column, dialect: str = "csharp") -> Column:
     """Sorted, distinct literals a rule decides on: ``struct<strings, ints, decimals, doubles>``.
 
-    A multiplier or a format string decides nothing and is not mined.
+    A multiplier or a format string decides nothing and is not mined. Numbers inside quoted text are text. A
+    switch arm ends in an arrow, which is not a comparison elsewhere.
     """
-    calls = F.array_join(
-        _matches(rule_text, rf"\.(?:{_PREDICATES})\s*\(((?:[^()\"']|{_TEXT})*)\)"), " , "
-    )
-    plain = F.regexp_replace(rule_text, _NOT_COMPARE[dialect], " ")
-    listed = F.array_join(_matches(plain, rf"(?i)\bin\s*\(((?:[^()\"']|{_TEXT})*)\)"), " , ")
-    if dialect != "sql":
-        listed = F.lit("")
-    texts = F.concat(
-        _decided(plain, _TEXT, dialect), _matches(calls, f"({_TEXT})"), _matches(listed, f"({_TEXT})")
-    )
-    # Numbers inside quoted text are text. A switch arm ends in an arrow, which is not a comparison elsewhere.
-    bare = F.regexp_replace(plain, _TEXT, "''")
-    arms = _matches(bare, rf"({_NUMBER})\s*=>")
-    bare = F.regexp_replace(bare, "=>", " ")
-    call_numbers = _matches(F.regexp_replace(calls, _TEXT, "''"), rf"(?:^|,)\s*({_NUMBER})\s*(?:,|$)")
-    list_numbers = _matches(F.regexp_replace(listed, _TEXT, "''"), rf"({_NUMBER})")
-    numbers = F.concat(_decided(bare, _NUMBER, dialect), arms, call_numbers, list_numbers)
+    inside = rf"((?:[^()\"']|{_TEXT})*)"
+
+    def parts(t: Column) -> Column:
+        calls = F.array_join(_matches(t, rf"\.(?:{_PREDICATES})\s*\({inside}\)"), " , ")
+        listed = F.array_join(_matches(t, rf"(?i)\bin\s*\({inside}\)"), " , ") if dialect == "sql" else F.lit("")
+        plain = F.regexp_replace(t, _NOT_COMPARE[dialect], " ")
+        return F.struct(
+            plain.alias("plain"),
+            F.regexp_replace(plain, _TEXT, "''").alias("bare"),
+            F.concat_ws(" , ", calls, listed).alias("args"),
+        )
 
-    def digits(n: Column) -> Column:
-        return F.regexp_replace(n, "[mMdDfFlL]$", "")
+    def numbers(p: Column) -> Column:
+        arguments = F.regexp_replace(p["args"], _TEXT, "''")
+        return F.concat(
+            _decided(F.regexp_replace(p["bare"], "=>", " "), _NUMBER, dialect),
+            _matches(p["bare"], rf"({_NUMBER})\s*=>"),
+            # Arguments are separated by commas; neighbours share one, so the separator is doubled first.
+            _matches(F.replace(arguments, F.lit(","), F.lit(" ,, ")), rf"(?:^|,)\s*({_NUMBER})\s*(?:,|$)"),
+        )
 
-    def typed(test, cast: str) -> Column:
-        values = F.transform(F.filter(numbers, test), lambda n: digits(n).try_cast(cast))
-        return F.array_sort(F.array_distinct(F.array_compact(values)))
+    def literals(p: Column) -> Column:
+        texts = F.concat(_decided(p["plain"], _TEXT, dialect), _matches(p["args"], f"({_TEXT})"))
+        return let(
+            numbers(p),
+            lambda n: F.struct(
+                F.array_sort(F.array_distinct(_unquote(texts))).alias("strings"),
+                _typed(n, lambda x: x.rlike(r"^-?\d+[lL]?$"), "bigint").alias("ints"),
+                _typed(n, lambda x: x.rlike(r"[mM]$"), "decimal(38,10)").alias("decimals"),
+                _typed(n, lambda x: x.rlike(r"[dDfF]$|\.\d+$"), "double").alias("doubles"),
+            ),
+        )
 
-    return F.struct(
-        F.array_sort(F.array_distinct(_unquote(texts))).alias("strings"),
-        typed(lambda n: n.rlike(r"^-?\d+[lL]?$"), "bigint").alias("ints"),
-        typed(lambda n: n.rlike(r"[mM]$"), "decimal(38,10)").alias("decimals"),
-        typed(lambda n: n.rlike(r"[dDfF]$|\.\d+$"), "double").alias("doubles"),
-    )
+    return let(parts(rule_text), literals)
 
 
 def decimal_text(value: Column) -> Column:
@@ -88,22 +102,18 @@ def decimal_text(value: Column) -> Column:
 
 def mine_literals(rules: DataFrame, dialect: str = "csharp") -> DataFrame:
     """GEN1: one row per literal, ``(rule_id, kind, literal)`` with the literal as text."""
-    m = F.col("m")
-
     def tagged(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("literal")))
 
-    parts = F.concat(
-        tagged("string", m["strings"]),
-        tagged("int", F.transform(m["ints"], lambda v: v.cast("string"))),
-        tagged("decimal", F.transform(m["decimals"], decimal_text)),
-        tagged("double", F.transform(m["doubles"], lambda v: v.cast("string"))),
-    )
-    return (
-        rules.select("rule_id", mined(F.col("rule_text"), dialect).alias("m"))
-        .select("rule_id", F.explode(parts).alias("p"))
-        .select("rule_id", "p.kind", "p.literal")
-    )
+    def parts(m: Column) -> Column:
+        return F.concat(
+            tagged("string", m["strings"]),
+            tagged("int", F.transform(m["ints"], _plain)),
+            tagged("decimal", F.transform(m["decimals"], decimal_text)),
+            tagged("double", F.transform(m["doubles"], _plain)),
+        )
+
+    return rules.select("rule_id", F.inline(let(mined(F.col("rule_text"), dialect), parts)))
 
 
 def mine_boundaries(rules: DataFrame, dialect: str = "csharp") -> DataFrame:
@@ -163,7 +173,7 @@ def _plain(value: Column) -> Column:
 
 def _enum_members(kind: Column) -> Column:
     inner = F.regexp_extract(kind, r"^enum\((.*)\)$", 1)
-    return F.filter(F.transform(F.split(inner, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(inner, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def candidates(param_type: Column, m: Column, cap: int = vocab.CANDIDATES_PER_PARAM) -> Column:
@@ -171,10 +181,13 @@ def candidates(param_type: Column, m: Column, cap: int = vocab.CANDIDATES_PER_PA
 
     A null element is the null candidate, which is not the empty string.
     """
-    kind = _type(param_type)
-    dec = lambda v: decimal_text(v.cast("decimal(38,10)"))
-    values = (
-        F.when(kind.isin("string"), F.concat(F.array(rich_string(m)), _texts("12345"), m["strings"], _texts("", None)))
+
+    def dec(v: Column) -> Column:
+        return decimal_text(v.cast("decimal(38,10)"))
+
+    values = let(
+        _type(param_type),
+        lambda kind: F.when(kind.isin("string"), F.concat(F.array(rich_string(m)), _texts("12345"), m["strings"], _texts("", None)))
         .when(kind.isin(_INT_TYPES), F.concat(_around(m["ints"], _plain), _texts("0", "1", "-1")))
         .when(
             kind.startswith("decimal"),
@@ -188,7 +201,7 @@ def candidates(param_type: Column, m: Column, cap: int = vocab.CANDIDATES_PER_PA
         .when(kind.isin("bool", "boolean"), _texts("false", "true"))
         .when(kind.isin("char"), _texts("a", "0"))
         .when(kind.startswith("enum("), _enum_members(F.trim(param_type)))
-        .otherwise(_texts(None))
+        .otherwise(_texts(None)),
     )
     return F.slice(F.array_distinct(values), 1, cap)
 
@@ -306,27 +319,33 @@ def guard_witnesses(g: Column, regex_witnesses: Column | None = None) -> Column:
 
 def string_candidates(rule_text: Column, param: Column, m: Column, regex_witnesses: Column | None = None) -> Column:
     """GEN3: candidates of a string parameter: guard witnesses (or the rich string), then mined strings; first ten."""
-    g = guards(rule_text, param)
-    first = F.when(has_guards(g), guard_witnesses(g, regex_witnesses)).otherwise(F.array(rich_string(m)))
-    values = F.concat(first, _texts("12345"), m["strings"], _texts("", None))
-    return F.slice(F.array_distinct(values), 1, vocab.STRING_CANDIDATES)
+
+    def values(g: Column) -> Column:
+        first = F.when(has_guards(g), guard_witnesses(g, regex_witnesses)).otherwise(F.array(rich_string(m)))
+        return F.concat(first, _texts("12345"), m["strings"], _texts("", None))
+
+    return F.slice(F.array_distinct(let(guards(rule_text, param), values)), 1, vocab.STRING_CANDIDATES)
 
 
 def rule_candidates(rules: DataFrame, dialect: str = "csharp") -> DataFrame:
-    """Rules with ``mined`` literals and, per parameter in order, its ``candidates`` (GEN2, GEN3)."""
-    per_param = F.transform(
-        "params",
-        lambda p: F.when(
-            _type(p["type"]) == "string", string_candidates(F.col("rule_text"), p["name"], F.col("mined"))
-        ).otherwise(candidates(p["type"], F.col("mined"))),
-    )
-    return rules.withColumn("mined", mined(F.col("rule_text"), dialect)).withColumn("candidates", per_param)
+    """Rules with ``found``: the ``mined`` literals and, per parameter in order, its ``candidates`` (GEN2, GEN3)."""
+
+    def per_param(m: Column) -> Column:
+        values = F.transform(
+            "params",
+            lambda p: F.when(
+                _type(p["type"]) == "string", string_candidates(F.col("rule_text"), p["name"], m)
+            ).otherwise(candidates(p["type"], m)),
+        )
+        return F.struct(m.alias("mined"), values.alias("candidates"))
+
+    return rules.withColumn("found", let(mined(F.col("rule_text"), dialect), per_param))
 
 
 def candidate_rows(with_candidates: DataFrame) -> DataFrame:
     """GEN2 in long form: ``(rule_id, param_no, param, type, candidate_no, value)``, numbered from 1."""
     return (
-        with_candidates.select("rule_id", "params", F.posexplode("candidates").alias("i", "values"))
+        with_candidates.select("rule_id", "params", F.posexplode("found.candidates").alias("i", "values"))
         .select(
             "rule_id",
             (F.col("i") + 1).alias("param_no"),
@@ -350,39 +369,51 @@ def one_hot(cands: Column, cap: int = vocab.ONE_HOT_ROWS) -> Column:
 
     Without parameters there is one empty row.
     """
-    base = F.transform(cands, lambda c: c[0])
-    varied = F.flatten(
-        F.transform(cands, lambda c, i: F.transform(F.slice(c, 2, F.size(c)), lambda v: _vary(base, i, v)))
-    )
-    return F.slice(F.array_distinct(F.concat(F.array(base), varied)), 1, cap)
+
+    def rows(e: Column) -> Column:
+        others = F.transform(
+            e["c"], lambda c, i: F.transform(F.slice(c, 2, F.size(c)), lambda v: _vary(e["base"], i, v))
+        )
+        return F.concat(F.array(e["base"]), F.flatten(others))
+
+    return F.slice(F.array_distinct(_with_base(cands, rows)), 1, cap)
 
 
 def round_robin(cands: Column, cap: int = vocab.STRUCT_VARIANTS) -> Column:
     """GEN7: the base row, then the second candidate of every field, then the third, and so on; first eight."""
-    base = F.transform(cands, lambda c: c[0])
-    widest = F.coalesce(F.array_max(F.transform(cands, F.size)), F.lit(1))
-    # sequence(1, 0) would count down, so the empty range is spelled out.
-    steps = F.when(widest > 1, F.sequence(F.lit(1), widest - 1)).otherwise(F.array().cast("array<int>"))
-    varied = F.flatten(
-        F.transform(
+
+    def rows(e: Column) -> Column:
+        widest = F.coalesce(F.array_max(F.transform(e["c"], F.size)), F.lit(1))
+        # sequence(1, 0) would count down, so the empty range is spelled out.
+        steps = F.when(widest > 1, F.sequence(F.lit(1), widest - 1)).otherwise(F.array().cast("array<int>"))
+        others = F.transform(
             steps,
             lambda j: F.filter(
-                F.transform(cands, lambda c, i: F.when(F.size(c) > j, _vary(base, i, F.get(c, j)))),
+                F.transform(e["c"], lambda c, i: F.when(F.size(c) > j, _vary(e["base"], i, F.get(c, j)))),
                 lambda row: row.isNotNull(),
             ),
         )
+        return F.concat(F.array(e["base"]), F.flatten(others))
+
+    return F.slice(F.array_distinct(_with_base(cands, rows)), 1, cap)
+
+
+def _with_base(cands: Column, rows) -> Column:
+    """``rows`` of the candidates ``c`` and their ``base`` row, the first candidate of each."""
+    return let(
+        cands,
+        lambda c: let(F.struct(c.alias("c"), F.transform(c, lambda x: F.get(x, F.lit(0))).alias("base")), rows),
     )
-    return F.slice(F.array_distinct(F.concat(F.array(base), varied)), 1, cap)
 
 
 def field_candidates(field_type: Column, m: Column, cap: int = vocab.CANDIDATES_PER_PARAM) -> Column:
     """GEN7: candidates of a struct field, a value that does something first (1, a rich string, true)."""
-    kind = _type(field_type)
     dec = F.transform(m["decimals"], decimal_text)
     ints = F.transform(m["ints"], _plain)
     doubles = F.transform(m["doubles"], _plain)
-    values = (
-        F.when(kind == "string", F.concat(F.array(rich_string(m)), m["strings"], _texts("", None)))
+    values = let(
+        _type(field_type),
+        lambda kind: F.when(kind == "string", F.concat(F.array(rich_string(m)), m["strings"], _texts("", None)))
         .when(kind.isin(_INT_TYPES), F.concat(_texts("1"), ints, _texts("0", "-1")))
         .when(kind.startswith("decimal"), F.concat(_texts("1"), dec, ints, _texts("0", "-1")))
         .when(kind == "double", F.concat(_texts("1.0"), doubles, _texts("0.0")))
@@ -390,95 +421,102 @@ def field_candidates(field_type: Column, m: Column, cap: int = vocab.CANDIDATES_
         .when(kind.isin("bool", "boolean"), _texts("true", "false"))
         .when(kind == "char", _texts("a", "0"))
         .when(kind.startswith("enum("), _enum_members(F.trim(field_type)))
-        .otherwise(_texts(None))
+        .otherwise(_texts(None)),
     )
     return F.slice(F.array_distinct(values), 1, cap)
 
 
-def _row_table(rows: DataFrame, origin: str) -> DataFrame:
-    return rows.select("rule_id", F.posexplode("rows").alias("i", "row")).select(
+def _row_table(rules: DataFrame, rows: Column, origin: str) -> DataFrame:
+    """``(rule_id, row_no, origin, row array<string>)``.
+
+    The rows are exploded as an expression: exploding a named column would make the optimizer filter on it first,
+    which computes it again.
+    """
+    return rules.select("rule_id", F.posexplode(rows).alias("i", "row")).select(
         "rule_id", (F.col("i") + 1).alias("row_no"), F.lit(origin).alias("origin"), "row"
     )
 
 
 def one_hot_rows(with_candidates: DataFrame) -> DataFrame:
     """GEN6: ``(rule_id, row_no, origin, row array<string>)``."""
-    return _row_table(with_candidates.select("rule_id", one_hot(F.col("candidates")).alias("rows")), "one-hot")
+    return _row_table(with_candidates, one_hot(F.col("found.candidates")), "one-hot")
 
 
 def struct_variants(rules: DataFrame, dialect: str = "csharp") -> DataFrame:
     """GEN7: variants of a struct whose fields are the rule's parameters."""
-    with_mined = rules.withColumn("mined", mined(F.col("rule_text"), dialect))
-    per_field = F.transform("params", lambda p: field_candidates(p["type"], F.col("mined")))
-    return _row_table(with_mined.select("rule_id", round_robin(per_field).alias("rows")), "variant")
+    per_field = let(
+        mined(F.col("rule_text"), dialect),
+        lambda m: F.transform("params", lambda p: field_candidates(p["type"], m)),
+    )
+    return _row_table(rules, round_robin(per_field), "variant")
 
 
 # --- GEN8 -----------------------------------------------------------------------------------------------------
 
 
-def _ranges(m: Column) -> dict[str, tuple[Column, Column]]:
+def _ranges(m: Column) -> Column:
+    """Lowest and highest value to draw, for whole numbers, decimals and doubles."""
     narrow = F.filter(m["ints"], lambda v: (v > -2147483648) & (v < 2147483647))
     zero = F.lit(0).cast("bigint")
     int_max = F.least(F.coalesce(F.array_max(narrow), zero), F.lit(100_000).cast("bigint"))
-    int_lo = F.least(zero, F.coalesce(F.array_min(narrow), zero)) - 5
-    int_hi = F.greatest(F.lit(1000).cast("bigint"), int_max * 2 + 100)
     pool = F.concat(
         F.transform(m["decimals"], lambda v: v.cast("double")), F.transform(m["ints"], lambda v: v.cast("double"))
     )
-    dec_max = F.least(F.coalesce(F.array_max(pool), F.lit(0.0)), F.lit(1_000_000.0))
     finite = F.filter(m["doubles"], lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    dbl_max = F.least(F.coalesce(F.array_max(finite), F.lit(0.0)), F.lit(1_000_000.0))
 
-    def above(top: Column) -> Column:
+    def above(values: Column) -> Column:
+        top = F.least(F.coalesce(F.array_max(values), F.lit(0.0)), F.lit(1_000_000.0))
         return F.greatest(F.lit(10_000.0), top * 2 + 100)
 
-    return {
-        "int": (int_lo, int_hi),
-        "decimal": (F.lit(-10.0), above(dec_max)),
-        "double": (F.lit(-10.0), above(dbl_max)),
-    }
+    return F.struct(
+        (F.least(zero, F.coalesce(F.array_min(narrow), zero)) - 5).alias("int_lo"),
+        F.greatest(F.lit(1000).cast("bigint"), int_max * 2 + 100).alias("int_hi"),
+        above(pool).alias("dec_hi"),
+        above(finite).alias("dbl_hi"),
+    )
+
+
+def _draw(kind: Column, values: Column, share: Column, r: Column) -> Column:
+    """The value at ``share`` of the range of a parameter of this kind."""
 
+    def between(high: Column) -> Column:
+        return F.bround((F.lit(-10.0) + share * (high + 10)).cast("decimal(20,6)"), 2)
+
+    whole = r["int_lo"] + F.floor(share * (r["int_hi"] - r["int_lo"] + 1))
+    return (
+        F.when(kind.isin(_WIDE_INT_TYPES), whole.cast("string"))
+        .when(kind.startswith("decimal"), decimal_text(between(r["dec_hi"]).cast("decimal(38,10)")))
+        .when(kind.isin("double", *_FLOAT_TYPES), between(r["dbl_hi"]).cast("double").cast("string"))
+        .when(kind.isin("bool", "boolean"), F.when(share < 0.5, "false").otherwise("true"))
+        .otherwise(F.get(values, F.floor(share * F.size(values)).cast("int")))
+    )
 
-def sampled(with_candidates: DataFrame, n: int = vocab.SAMPLED_ROWS) -> DataFrame:
+
+def sampled_rows(with_candidates: DataFrame, n: int = vocab.SAMPLED_ROWS) -> DataFrame:
     """GEN8: up to ``n`` joint draws per rule with a numeric parameter, none equal to a one-hot row.
 
     A draw depends only on rule, parameter and draw number, so rows are the same under any partitioning.
     """
-    ranges = _ranges(F.col("mined"))
-
-    def draw(p: Column, values: Column, k: Column) -> Column:
-        share = stable_fraction([F.col("rule_id"), p["name"], k])
-        kind = _type(p["type"])
-        int_lo, int_hi = ranges["int"]
-
-        def between(name: str) -> Column:
-            lo, hi = ranges[name]
-            return F.bround((lo + share * (hi - lo)).cast("decimal(20,6)"), 2)
-
-        return (
-            F.when(kind.isin(_WIDE_INT_TYPES), (int_lo + F.floor(share * (int_hi - int_lo + 1))).cast("string"))
-            .when(kind.startswith("decimal"), decimal_text(between("decimal").cast("decimal(38,10)")))
-            .when(kind.isin("double", *_FLOAT_TYPES), between("double").cast("double").cast("string"))
-            .when(kind.isin("bool", "boolean"), F.when(share < 0.5, "false").otherwise("true"))
-            .otherwise(F.get(values, F.floor(share * F.size(values)).cast("int")))
+
+    def rows(e: Column) -> Column:
+        drawn = F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            lambda k: F.transform(
+                e["p"],
+                lambda p, i: let(
+                    stable_fraction([F.col("rule_id"), p["name"], k]),
+                    lambda share: _draw(p["kind"], F.get(e["c"], i), share, e["r"]),
+                ),
+            ),
         )
+        return F.array_except(drawn, one_hot(e["c"]))
 
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda k: F.transform(
-            F.arrays_zip(F.col("params").alias("p"), F.col("candidates").alias("c")),
-            lambda z: draw(z["p"], z["c"], k),
-        ),
-    )
-    numeric = F.exists("params", lambda p: _type(p["type"]).isin(_NATIVE_NUMERIC) | _type(p["type"]).startswith("decimal"))
-    return with_candidates.where(numeric).select(
-        "rule_id", F.array_except(drawn, one_hot(F.col("candidates"))).alias("rows")
+    kinds = F.transform("params", lambda p: F.struct(p["name"].alias("name"), _type(p["type"]).alias("kind")))
+    bound = F.struct(kinds.alias("p"), F.col("found.candidates").alias("c"), _ranges(F.col("found.mined")).alias("r"))
+    numeric = F.exists(
+        "params", lambda p: _type(p["type"]).isin(_NATIVE_NUMERIC) | _type(p["type"]).startswith("decimal")
     )
-
-
-def sampled_rows(with_candidates: DataFrame, n: int = vocab.SAMPLED_ROWS) -> DataFrame:
-    """GEN8 in long form."""
-    return _row_table(sampled(with_candidates, n), "sampled")
+    return _row_table(with_candidates.where(numeric), let(bound, rows), "sampled")
 
 
 # --- GEN10, SET1, SET3 ----------------------------------------------------------------------------------------
@@ -500,12 +538,16 @@ def simple_samples(param_type: Column) -> Column:
 
 def zip_rows(rules: DataFrame) -> DataFrame:
     """GEN10: at most three rows, row r taking the r-th sample of every parameter or its last one."""
+
+    def rows(sets: Column) -> Column:
+        longest = F.coalesce(F.array_max(F.transform(sets, F.size)), F.lit(1))
+        n = F.greatest(F.lit(1), F.least(F.lit(vocab.ZIP_ROWS), longest))
+        return F.transform(
+            F.sequence(F.lit(1), n), lambda r: F.transform(sets, lambda s: F.element_at(s, F.least(r, F.size(s))))
+        )
+
     sets = F.transform("params", lambda p: simple_samples(p["type"]))
-    n = F.greatest(F.lit(1), F.least(F.lit(vocab.ZIP_ROWS), F.coalesce(F.array_max(F.transform(sets, F.size)), F.lit(1))))
-    rows = F.transform(
-        F.sequence(F.lit(1), n), lambda r: F.transform(sets, lambda s: F.element_at(s, F.least(r, F.size(s))))
-    )
-    return _row_table(rules.select("rule_id", rows.alias("rows")), "simple")
+    return _row_table(rules, let(sets, rows), "simple")
 
 
 def union_candidates(*lists: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlock import vocab
+from driftlock.functions.bind import let
 from driftlock.functions.names import base_name, simple_name
 from driftlock.operators.tagging import (
     UNIT_TEXTS,
@@ -97,12 +98,14 @@ def reason_text(components: Column) -> Column:
             (-c["contribution"]).alias("least_first"), i.alias("place"), c["detail"].alias("detail")
         ),
     )
-    details = F.transform(F.array_sort(placed), lambda c: c["detail"])
     tested = F.transform(
         F.filter(components, lambda c: (c["name"] == "untested") & (c["contribution"] == 0)), lambda c: c["detail"]
     )
-    full = F.concat(details, F.filter(tested, lambda t: ~F.array_contains(details, t)))
-    return F.when(F.size(full) == 0, "low risk").otherwise(F.array_join(full, ", "))
+    stated = let(
+        F.transform(F.array_sort(placed), lambda c: c["detail"]),
+        lambda details: F.concat(details, F.filter(tested, lambda t: ~F.array_contains(details, t))),
+    )
+    return let(stated, lambda full: F.when(F.size(full) == 0, "low risk").otherwise(F.array_join(full, ", ")))
 
 
 # --- SL1 to SL5 -----------------------------------------------------------------------------------------------

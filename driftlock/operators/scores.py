@@ -40,10 +40,10 @@ def mutation_order() -> list[Column]:
 # --- AG5 ------------------------------------------------------------------------------------------------------
 
 
-def coverage_totals(coverage: DataFrame) -> DataFrame:
-    """AG5: summed line and branch counts with their rates; a rate is 0 when its total is 0."""
+def coverage_totals(coverage: DataFrame, by: list[str] = ()) -> DataFrame:
+    """AG5: summed line and branch counts with their rates, overall or by group; a rate is 0 when its total is 0."""
     names = ["lines_covered", "lines_valid", "branches_covered", "branches_valid"]
-    sums = coverage.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names])
+    sums = coverage.groupBy(*by).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names])
     return sums.withColumns(
         {
             "line_rate": F.coalesce(F.try_divide("lines_covered", "lines_valid"), F.lit(0.0)),

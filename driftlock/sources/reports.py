@@ -56,19 +56,23 @@ def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     return files.select(*_coverage_columns())
 
 
-def parse_coverage(reports: DataFrame, body: str = "value") -> DataFrame:
-    """SRC5 over a column of coverage documents."""
-    parsed = reports.select(F.from_xml(F.col(body), F.lit(_COVERAGE_ROOT)).alias("root"))
-    return parsed.select(*_coverage_columns("root"))
+def parse_coverage(reports: DataFrame, body: str = "value", keep: list[str] = ()) -> DataFrame:
+    """SRC5 over a column of coverage documents; the columns in ``keep`` travel along."""
+    parsed = reports.select(*keep, F.from_xml(F.col(body), F.lit(_COVERAGE_ROOT)).alias("root"))
+    return parsed.select(*keep, *_coverage_columns("root"))
 
 
 # --- SRC6 -----------------------------------------------------------------------------------------------------
 
 
+# A line whose first visible character does not start a comment.
+_PATTERN_LINE = r"^[\s\x{A0}]*[^\s\x{A0}#]"
+
+
 def distinct_patterns(lines: DataFrame, line: str, order: list[Column]) -> DataFrame:
     """SRC6: trimmed lines without blanks and comments, distinct ignoring case, the first spelling kept."""
-    kept = lines.select(trim_space(F.col(line)).alias("pattern"), F.struct(*order).alias("place")).where(
-        (F.col("pattern") != "") & ~F.col("pattern").startswith("#")
+    kept = lines.where(F.col(line).rlike(_PATTERN_LINE)).select(
+        trim_space(F.col(line)).alias("pattern"), F.struct(*order).alias("place")
     )
     return (
         kept.groupBy(F.lower("pattern").alias("key"))
@@ -87,13 +91,12 @@ def load_patterns(spark: SparkSession, inline: list[str] = (), path: str | None
         [(0, "", i, p) for i, p in enumerate(values)], "source int, file string, place bigint, pattern string"
     )
     if path is not None:
-        text = spark.read.text(path).select(
+        text = spark.read.text(path).where(F.col("value").rlike(_PATTERN_LINE)).select(
             F.lit(1).alias("source"),
             F.col("_metadata.file_path").alias("file"),
             F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("at"),
             trim_space(F.col("value")).alias("pattern"),
         )
-        text = text.where((F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
         given = given.select(
             "source", "file", F.struct(F.lit(0).cast("bigint").alias("file_block_start"), F.col("place").alias("id")).alias("at"), "pattern"
         ).unionByName(text)

@@ -55,8 +55,8 @@ def compare(spark, sf_dir: str, name: str):
     if got[0] != want[0]:
         return False, f"columns {got[0]} against {want[0]}", seconds
     if got[1] != want[1]:
-        extra = [r for r in got[1] if r not in want[1]][:3] if len(got[1]) < 20000 else []
-        lacking = [r for r in want[1] if r not in got[1]][:3] if len(got[1]) < 20000 else []
+        mine, theirs = set(got[1]), set(want[1])
+        extra, lacking = sorted(mine - theirs, key=str)[:3], sorted(theirs - mine, key=str)[:3]
         return False, f"{len(got[1])} rows against {len(want[1])}; extra {extra}; lacking {lacking}", seconds
     return True, f"{len(got[1])} rows", seconds
 
