@@ -81,7 +81,11 @@ def mined(rule_text: Column, dialect: str = "csharp") -> Column:
         )
 
     def literals(p: Column) -> Column:
-        texts = F.concat(_decided(p["plain"], _TEXT, dialect), _matches(p["args"], f"({_TEXT})"))
+        texts = F.concat(
+            _decided(p["plain"], _TEXT, dialect),
+            _matches(p["plain"], rf"({_TEXT})\s*=>"),
+            _matches(p["args"], f"({_TEXT})"),
+        )
         return let(
             numbers(p),
             lambda n: F.struct(
@@ -286,7 +290,8 @@ def guard_witnesses(g: Column, regex_witnesses: Column | None = None) -> Column:
     ``regex_witnesses`` is an optional ``map<pattern, array<value>>`` of verified values, as GEN5 finds them.
     """
     longest = vocab.SYNTH_STRING_LENGTH
-    floor = F.coalesce(F.least(F.lit(longest), F.array_min(g["lengths"])), F.lit(20))
+    # least() ignores nulls, so a rule without length guards is told apart first.
+    floor = F.when(F.size(g["lengths"]) > 0, F.least(F.lit(longest), F.array_min(g["lengths"]))).otherwise(20)
     base = F.greatest(F.lit(1), floor)
     top = F.array_max(g["lengths"])
     chars = g["letter"] | g["digit"]

@@ -39,7 +39,8 @@ def risk_components(
     callers = F.col("caller_count")
 
     def capped(value: Column, name: str) -> Column:
-        return F.lit(0.0) if caps[name] <= 0 else F.least(F.lit(1.0), value / F.lit(float(caps[name])))
+        share = F.coalesce(value, F.lit(0)) / F.lit(float(caps[name]))
+        return F.lit(0.0) if caps[name] <= 0 else F.least(F.lit(1.0), share)
 
     def text(value: Column) -> Column:
         return value.cast("string")

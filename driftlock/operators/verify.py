@@ -53,7 +53,8 @@ def _locked_columns(baseline: DataFrame, current: DataFrame, keys: list[str], co
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their row counts. Only the keys are shuffled, pre-counted per task."""
-    return df.groupBy(*comparable_columns(df, keys)).agg(F.count("*").alias("n")).where("n > 1")
+    counts = df.groupBy(*comparable_columns(df, keys)).agg(F.count("*").alias("duplicate_rows"))
+    return counts.where(F.col("duplicate_rows") > 1)
 
 
 def _differs(old: Column, new: Column, tolerance: float | None) -> Column:

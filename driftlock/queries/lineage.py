@@ -228,7 +228,7 @@ _SPANS = """
 
 
 def _span_tables(spark, sf_dir):
-    minute = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60).cast("bigint")
+    minute = F.timestamp_diff("MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), "ts")
     events = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("unit_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"),

@@ -30,7 +30,7 @@ def plain(value):
     if isinstance(value, int):
         return float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9)
+        return "nan" if math.isnan(value) else value
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None).isoformat()
     return value
