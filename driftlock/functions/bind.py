@@ -15,3 +15,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     place, and every lambda call, that reads one of its fields. The variable of a lambda is never copied.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def picked(choices: list[tuple[Column, str]]) -> Column:
+    """The texts whose condition holds, in order, as an array.
+
+    Concatenated constant arrays, because filtering an array takes a lambda, and a lambda takes the whole
+    projection out of generated code.
+    """
+    none = F.array().cast("array<string>")
+    if not choices:
+        return none
+    return F.concat(*[F.when(condition, F.array(F.lit(text))).otherwise(none) for condition, text in choices])

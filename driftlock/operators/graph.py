@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftlock import vocab
 from driftlock.functions.names import lock_name
-from driftlock.operators.lookup import BROADCAST_ROWS, lookup_join
+from driftlock.operators.lookup import BROADCAST_ROWS, hot_keys, lookup_join
 from driftlock.session import cut_lineage
 
 # --- JN1, JN2, AG3 --------------------------------------------------------------------------------------------
@@ -97,6 +97,9 @@ def changed_paths(df: DataFrame, root: str, exts: list[str] = vocab.TRACKED_EXTE
     return df.where((path != "") & tracked).select(absolute_path(path, root).alias("path"))
 
 
+_ROUNDS_PER_MERGE = 16
+
+
 def change_scope(
     units: DataFrame,
     edges: DataFrame,
@@ -107,7 +110,8 @@ def change_scope(
 
     Breadth-first: each round joins the newest ids with the edges and drops what was seen, so cycles end. Every
     round is checkpointed, which cuts the growing plan and keeps finished rounds when an executor is lost. A
-    frontier of counted, small size is broadcast and the edges stay where they are; a larger one is shuffled.
+    frontier of counted, small size is broadcast and the edges stay where they are; a larger one is shuffled,
+    with the callers of hubs split over tasks. Hubs are looked up once, when the first large frontier comes.
     """
     paths = changed.select(F.lower("path").alias("__path")).distinct()
     frontier = cut_lineage(
@@ -119,15 +123,23 @@ def change_scope(
     size = frontier.count()
     seen = frontier
     calls = edges.select("caller_id", "callee_id")
+    hubs = None
+    rounds = 0
     while size:
         newest = frontier.withColumnRenamed("unit_id", "callee_id")
-        reached = calls.join(F.broadcast(newest) if size <= broadcast_rows else newest, "callee_id")
+        if size > broadcast_rows and hubs is None:
+            hubs = hot_keys(calls, ["callee_id"])
+        reached = lookup_join(calls, newest, ["callee_id"], "inner", broadcast_rows=broadcast_rows, hot=hubs)
         frontier = cut_lineage(
             reached.select(F.col("caller_id").alias("unit_id")).distinct().join(seen, "unit_id", "left_anti")
         )
         size = frontier.count()
+        rounds += 1
         if size:
             seen = seen.unionByName(frontier)
+            # A long chain would otherwise make the union as wide as it is long.
+            if rounds % _ROUNDS_PER_MERGE == 0:
+                seen = cut_lineage(seen)
     # Callers outside the unit set drop out only here: they may still lead back to units.
     return units.select("unit_id").distinct().join(seen, "unit_id", "left_semi")
 

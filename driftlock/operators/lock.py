@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from driftlock import vocab
 from driftlock.functions.canonical import as_text
 from driftlock.functions.scrub import scrub, string_columns
-from driftlock.operators.verify import CHANGED, IDENTICAL, changed_columns, paired, schema_break, verify
+from driftlock.operators.verify import IDENTICAL, is_changed, paired, schema_break, verify
 from driftlock.session import cut_lineage
 
 # --- LK1 ------------------------------------------------------------------------------------------------------
@@ -260,7 +260,7 @@ def accept(
     both = F.col("in_old") & F.col("in_new")
     pairs = (
         paired(baseline, now, keys, cols, how="left")
-        .withColumn("__changed", both & (F.size(changed_columns(cols)) > 0))
+        .withColumn("__changed", both & is_changed(cols))
         .withColumn("__accept", F.col("__changed") & in_scope)
     )
     total, changed, accepted = pairs.agg(
@@ -285,17 +285,3 @@ def accept(
     )
     return Acceptance(rebased, accepted, changed - accepted)
 
-
-__all__ = [
-    "Acceptance",
-    "CHANGED",
-    "ErrorRule",
-    "GENERIC_CAUSES",
-    "NothingMatches",
-    "Target",
-    "accept",
-    "capture",
-    "diagnose_flaky",
-    "lock_batch",
-    "quarantine_flaky",
-]

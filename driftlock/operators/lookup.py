@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import ceil
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 # A key is hot when it owns more than this share of the rows; at most 1 / share keys can be hot.
@@ -12,17 +14,16 @@ HOT_SALTS = 64
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its counted size is within the limit; otherwise leave it to a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
-
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[tuple]:
+    """Keys that own more than ``share`` of the rows: fewer than 1 / share of them, so a list is safe.
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that own more than ``share`` of the rows. There are fewer than 1 / share of them."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    floor = (df.count() * share) + 1
-    return counts.where(F.col("__n") > floor).select(*keys)
+    One job: the rows are counted in passing, and only the 1 / share most frequent keys can qualify.
+    """
+    seen = Observation()
+    counts = df.observe(seen, F.count(F.lit(1)).alias("rows")).groupBy(*keys).agg(F.count("*").alias("__n"))
+    top = counts.orderBy(F.desc("__n")).limit(ceil(1 / share)).collect()
+    floor = seen.get["rows"] * share + 1
+    return [tuple(r)[:-1] for r in top if r["__n"] > floor]
 
 
 def lookup_join(
@@ -32,20 +33,24 @@ def lookup_join(
     how: str = "left",
     salts: int = HOT_SALTS,
     share: float = HOT_SHARE,
+    broadcast_rows: int = BROADCAST_ROWS,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``lookup``, which has at most one row per key, splitting hot keys of ``big``.
 
-    Rows of a hot key are spread over ``salts`` shuffle partitions and its single look-up row is repeated for
-    each; other keys are joined as they are.
+    A look-up of counted, small size is broadcast. Beyond that both sides are shuffled: rows of a hot key are
+    spread over ``salts`` partitions and its single look-up row is repeated for each; other keys are joined as
+    they are. A caller that joins the same ``big`` again may pass the ``hot`` keys it already knows.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    hot = hot_keys(big, keys, share).collect()  # fewer than 1 / share rows by definition
+    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return big.join(F.broadcast(lookup), keys, how)
+    if hot is None:
+        hot = hot_keys(big, keys, share)
     if not hot:
         return big.join(lookup, keys, how)
-    marks = big.sparkSession.createDataFrame(
-        [tuple(r) for r in hot], big.select(*keys).schema
-    ).withColumn("__hot", F.lit(True))
+    marks = big.sparkSession.createDataFrame(hot, big.select(*keys).schema).withColumn("__hot", F.lit(True))
     spread = F.when(
         F.col("__hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
     ).otherwise(0)

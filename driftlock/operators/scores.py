@@ -17,15 +17,18 @@ _STATUSES = {"killed": "Killed", "survived": "Survived", "no_coverage": "NoCover
 def mutation_scores(mutants: DataFrame) -> DataFrame:
     """AG4: counts and score per file, and overall as the row whose ``file`` is null.
 
-    Statuses other than the four are ignored, and files left without any are omitted. Report order is
-    ``mutation_order()``.
+    Statuses other than the four are ignored, and files left without any are omitted. The roll-up runs over the
+    counts per file, not over the mutants. Report order is ``mutation_order()``.
     """
     counts = [F.count_if(F.col("status") == s).alias(n) for n, s in _STATUSES.items()]
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _STATUSES]
     tested = F.expr(" + ".join(_STATUSES))
     caught = (F.col("killed") + F.col("timeout")).cast("double")
     return (
-        mutants.rollup("file")
-        .agg(*counts, F.grouping("file").alias("overall"))
+        mutants.groupBy("file")
+        .agg(*counts)
+        .rollup("file")
+        .agg(*sums, F.grouping("file").alias("overall"))
         .withColumn("tested", tested)
         .where((F.col("tested") > 0) | (F.col("overall") == 1))
         .withColumn("score", F.when(F.col("tested") == 0, 0.0).otherwise(100.0 * caught / F.col("tested")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlock import vocab
+from driftlock.functions.bind import picked
 from driftlock.functions.names import base_name, path_segments, token_text
 from driftlock.operators.ordered import cap_per_group
 
@@ -33,9 +34,7 @@ def domain_tags(signals: list[Column], rules: dict[str, list[str]] = vocab.DOMAI
     The tokens are matched as one string, one regular expression per rule, which stays inside generated code.
     """
     tokens = token_text(F.concat_ws(" ", *signals))
-    return F.array_compact(
-        F.array(*[F.when(tokens.rlike(_keyword_pattern(words)), F.lit(tag)) for tag, words in rules.items()])
-    )
+    return picked([(tokens.rlike(_keyword_pattern(words)), tag) for tag, words in rules.items()])
 
 
 def tag_domains(df: DataFrame, signals: list[str], rules: dict[str, list[str]] = vocab.DOMAIN_KEYWORDS) -> DataFrame:
@@ -109,8 +108,8 @@ def flags(imports: Column, bases: Column, attributes: Column, path: Column, rule
         )
         for suffix in rule.suffixes:
             hit = hit | F.coalesce(F.lower(path).endswith(suffix), F.lit(False))
-        raised.append(F.when(hit, F.lit(rule.flag)))
-    return F.array_compact(F.array(*raised))
+        raised.append((hit, rule.flag))
+    return picked(raised)
 
 
 def flag_rules(df: DataFrame, rules: list[FlagRule], name: str = "flags") -> DataFrame:

@@ -52,6 +52,12 @@ def _script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     The length table is kept for every k-th row only and the rows in between are recomputed on the way down:
     memory is O(sqrt(n) * m), so long texts are diffed exactly like short ones.
     """
+    # Equal lines in front are always matched, so the table starts behind them.
+    same = 0
+    while same < min(len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    head = [("  ", line) for line in a[:same]]
+    a, b = a[same:], b[same:]
     codes = {line: i for i, line in enumerate(dict.fromkeys(a + b))}
     left = np.array([codes[x] for x in a], dtype=np.int64)
     right = np.array([codes[x] for x in b], dtype=np.int64)
@@ -63,7 +69,8 @@ def _script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
         row = _lcs_row(row, right == left[x])
         if x % k == 0:
             kept[x] = row
-    edits, x, y = [], 0, 0
+    edits: list[tuple[str, str]] = []
+    x = y = 0
     block: dict[int, np.ndarray] = {}
     while x < n and y < m:
         if x not in block or x + 1 not in block:
@@ -82,7 +89,7 @@ def _script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
             y += 1
     edits += [("- ", line) for line in a[x:]]
     edits += [("+ ", line) for line in b[y:]]
-    return edits
+    return head + edits
 
 
 def unified_text(locked: str, current: str, context: int = 3) -> str:
@@ -108,10 +115,18 @@ def unified_text(locked: str, current: str, context: int = 3) -> str:
     return "\n".join(out)
 
 
-def unified_diff(pairs: DataFrame, keys: list[str], old: str = "old", new: str = "new", context: int = 3) -> DataFrame:
+def unified_diff(
+    pairs: DataFrame,
+    keys: list[str],
+    old: str = "old",
+    new: str = "new",
+    context: int = 3,
+    spread: int | None = None,
+) -> DataFrame:
     """LK5: ``(keys…, diff)`` per pair; the empty text when nothing changed.
 
-    Give it changed pairs only. Arrow batches go through one small kernel; each pair is diffed on its own.
+    Give it changed pairs only. Arrow batches go through one small kernel; each pair is diffed on its own. The
+    kernel costs far more than moving the texts, so few input partitions are worth a ``spread`` over many.
     """
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,5 +137,7 @@ def unified_diff(pairs: DataFrame, keys: list[str], old: str = "old", new: str =
             yield batch.drop(columns=["__old", "__new"]).assign(diff=texts)
 
     narrow = pairs.select(*keys, F.col(f"`{old}`").alias("__old"), F.col(f"`{new}`").alias("__new"))
+    if spread:
+        narrow = narrow.repartition(spread)
     schema = narrow.select(*keys).schema.add("diff", "string")
     return narrow.mapInPandas(diff, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftlock import vocab
+from driftlock.functions.bind import picked
 from driftlock.functions.canonical import as_text, comparable, comparable_columns
 
 IDENTICAL, CHANGED, MISSING, ADDED = "identical", "changed", "missing", "added"
@@ -57,6 +58,15 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.where(F.col("duplicate_rows") > 1)
 
 
+def _repeated(baseline: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that repeat on either side, found in one job over the key columns of both."""
+    return (
+        _net_counts(baseline, current, keys)
+        .where((F.col("n_old") > 1) | (F.col("n_new") > 1))
+        .withColumnsRenamed({"n_old": "rows_in_baseline", "n_new": "rows_in_current"})
+    )
+
+
 def _differs(old: Column, new: Column, tolerance: float | None) -> Column:
     differs = ~old.eqNullSafe(new)
     if tolerance is not None:
@@ -92,13 +102,19 @@ def paired(baseline: DataFrame, current: DataFrame, keys: list[str], cols: list[
     )
 
 
+def _differences(cols: list[str], tolerance: dict[str, float] | None) -> list[tuple[Column, str]]:
+    tolerance = tolerance or {}
+    return [(_differs(F.col(f"`old_{c}`"), F.col(f"`new_{c}`"), tolerance.get(c)), c) for c in cols]
+
+
+def is_changed(cols: list[str], tolerance: dict[str, float] | None = None) -> Column:
+    """Whether any column of a paired row differs."""
+    return reduce(lambda a, b: a | b, [d for d, _ in _differences(cols, tolerance)], F.lit(False))
+
+
 def changed_columns(cols: list[str], tolerance: dict[str, float] | None = None) -> Column:
     """Names of the columns of a paired row whose values differ."""
-    tolerance = tolerance or {}
-    flags = [
-        F.when(_differs(F.col(f"`old_{c}`"), F.col(f"`new_{c}`"), tolerance.get(c)), F.lit(c)) for c in cols
-    ]
-    return F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
+    return picked(_differences(cols, tolerance))
 
 
 def verify(
@@ -123,29 +139,21 @@ def verify(
     else:
         cols = _locked_columns(baseline, current, keys, cols)
         if on_duplicates == "fail":
-            for side, df in (("baseline", baseline), ("current", current)):
-                examples = duplicate_keys(df, keys).limit(5).collect()
-                if examples:
-                    raise DuplicateKeys(f"{side} has several rows for {[r.asDict() for r in examples]}")
-        both = F.col("in_old") & F.col("in_new")
-        changes = changed_columns(cols, tolerance)
-        verdicts = (
-            paired(baseline, current, keys, cols)
-            .select(
-                *[F.col(f"`{k}`") for k in keys],
-                "in_old",
-                "in_new",
-                F.when(both, changes).otherwise(F.array().cast("array<string>")).alias("changed_cols"),
-            )
-            .select(
-                *[F.col(f"`{k}`") for k in keys],
-                F.when(~F.col("in_new"), MISSING)
-                .when(~F.col("in_old"), ADDED)
-                .when(F.size("changed_cols") > 0, CHANGED)
-                .otherwise(IDENTICAL)
-                .alias("status"),
-                "changed_cols",
-            )
+            examples = _repeated(baseline, current, keys).limit(5).collect()
+            if examples:
+                raise DuplicateKeys(f"several rows for one key, for example {[r.asDict() for r in examples]}")
+        changed = F.col("in_old") & F.col("in_new") & is_changed(cols, tolerance)
+        # The names are put together for changed rows only; most rows stop at the comparison.
+        verdicts = paired(baseline, current, keys, cols).select(
+            *[F.col(f"`{k}`") for k in keys],
+            F.when(~F.col("in_new"), MISSING)
+            .when(~F.col("in_old"), ADDED)
+            .when(changed, CHANGED)
+            .otherwise(IDENTICAL)
+            .alias("status"),
+            F.when(changed, changed_columns(cols, tolerance))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("changed_cols"),
         )
     if reference_statuses:
         verdicts = verdicts.where(F.col("status") != ADDED).withColumn(
@@ -179,13 +187,12 @@ def verify_bag(
             F.max(value).alias(f"__max{i}"),
         ]
     single = (F.col("n_old") == 1) & (F.col("n_new") == 1) & F.col("differs")
-    flags = [
-        F.when(
-            (F.col(f"__c{i}") == 1) | ((F.col(f"__c{i}") == 2) & (F.col(f"__min{i}") != F.col(f"__max{i}"))),
-            F.lit(c),
-        )
-        for i, c in enumerate(cols)
-    ]
+    changed = picked(
+        [
+            ((F.col(f"__c{i}") == 1) | ((F.col(f"__c{i}") == 2) & (F.col(f"__min{i}") != F.col(f"__max{i}"))), c)
+            for i, c in enumerate(cols)
+        ]
+    )
     none = F.array().cast("array<string>")
     return (
         net.groupBy(*[F.col(f"`{k}`") for k in keys])
@@ -197,7 +204,7 @@ def verify_bag(
             .when(F.col("differs"), CHANGED)
             .otherwise(IDENTICAL)
             .alias("status"),
-            F.when(single, F.array_compact(F.array(*flags)) if flags else none).otherwise(none).alias("changed_cols"),
+            F.when(single, changed).otherwise(none).alias("changed_cols"),
             "n_old",
             "n_new",
         )
@@ -252,7 +259,7 @@ def cell_delta(
                 ),
             )
         )
-    rows = paired(baseline, current, keys, cols, how="inner")
+    rows = paired(baseline, current, keys, cols, how="inner").where(is_changed(cols, tolerance))
     return rows.select(
         *[F.col(f"`{k}`") for k in keys], F.explode(F.array_compact(F.array(*cells))).alias("cell")
     ).select(*[F.col(f"`{k}`") for k in keys], "cell.column", "cell.old", "cell.new")

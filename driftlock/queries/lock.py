@@ -62,16 +62,18 @@ def verify_reference_statuses(spark, sf_dir):
     return verdicts.groupBy("status").agg(F.count("*").alias("n"))
 
 
-_LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+# Lines have no key of their own: order and line number repeat, and so do part and supplier now and then.
+_LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+_SAME_LINE = " AND ".join(f"a.{k} = b.{k}" for k in _LINE_KEYS)
+_EITHER_LINE = ", ".join(f"coalesce(a.{k}, b.{k}) AS {k}" for k in _LINE_KEYS)
 
 
 @query(
     "verify_lineitem_jn7",
     with_derived(
         "lines_v1 lines_v2",
-        """
-        SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber,
-               coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey,
+        f"""
+        SELECT {_EITHER_LINE},
                CASE WHEN b.l_orderkey IS NULL THEN 'missing' WHEN a.l_orderkey IS NULL THEN 'added'
                     WHEN a.l_quantity IS DISTINCT FROM b.l_quantity OR a.l_discount IS DISTINCT FROM b.l_discount
                       OR a.l_returnflag IS DISTINCT FROM b.l_returnflag THEN 'changed' ELSE 'identical' END AS status,
@@ -79,8 +81,7 @@ _LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
                     CASE WHEN a.l_quantity IS DISTINCT FROM b.l_quantity THEN 'l_quantity' END,
                     CASE WHEN a.l_discount IS DISTINCT FROM b.l_discount THEN 'l_discount' END,
                     CASE WHEN a.l_returnflag IS DISTINCT FROM b.l_returnflag THEN 'l_returnflag' END) ELSE '' END AS changed_cols
-        FROM lines_v1 a FULL JOIN lines_v2 b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
-             AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey
+        FROM lines_v1 a FULL JOIN lines_v2 b ON {_SAME_LINE}
         """,
     ),
 )
@@ -91,7 +92,7 @@ def verify_lineitem(spark, sf_dir):
 
 _BAG = """
     WITH net AS (
-        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag,
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_returnflag,
                sum(o) AS o, sum(n) AS n
         FROM (SELECT *, 1 AS o, 0 AS n FROM lines_v1 UNION ALL SELECT *, 0 AS o, 1 AS n FROM lines_v2) GROUP BY ALL
     )
@@ -174,7 +175,7 @@ def cell_counts(spark, sf_dir):
     with_derived(
         "lines_v1 lines_v2",
         _BAG
-        + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag,
+        + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_returnflag,
                     CASE WHEN o > n THEN '-' ELSE '+' END AS side, CAST(abs(o - n) AS BIGINT) AS n FROM net WHERE o <> n""",
     ),
 )
@@ -658,7 +659,7 @@ def revenue_drift(spark, sf_dir):
         return joined.groupBy("o_custkey").agg(F.sum(price * (1 - rate)).alias("revenue"))
 
     pairs = v.paired(revenue(discount), revenue(waived), ["o_custkey"], ["revenue"])
-    return pairs.where(F.size(v.changed_columns(["revenue"])) > 0).select(
+    return pairs.where(v.is_changed(["revenue"])).select(
         "o_custkey",
         F.col("old_revenue").cast("double").alias("revenue_v1"),
         F.col("new_revenue").cast("double").alias("revenue_v2"),

@@ -51,10 +51,11 @@ DERIVED = {
         FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 490000
     """,
     "lines_v1": """
-        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag FROM lineitem
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_returnflag
+        FROM lineitem
     """,
     "lines_v2": """
-        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice,
                CASE WHEN l_quantity = 50 AND l_returnflag = 'R' THEN l_quantity - 1 ELSE l_quantity END AS l_quantity,
                CASE WHEN l_discount = 0 AND l_returnflag = 'A' THEN 0.01 ELSE l_discount END AS l_discount,
                l_returnflag

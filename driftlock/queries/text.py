@@ -178,7 +178,7 @@ def document_line_delta(spark, sf_dir):
 @query("unified_diff_lk5")
 def document_diff(spark, sf_dir):
     """Exact hunks of every changed document; checked against brute force in the tests."""
-    return unified_diff(changed_documents(spark, sf_dir), ["doc_id"])
+    return unified_diff(changed_documents(spark, sf_dir), ["doc_id"], spread=spark.sparkContext.defaultParallelism)
 
 
 # --- PRJ15 ----------------------------------------------------------------------------------------------------

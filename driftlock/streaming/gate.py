@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftlock.operators.verify import ADDED, CHANGED, IDENTICAL, changed_columns, paired
+from driftlock.operators.lookup import BROADCAST_ROWS
+from driftlock.operators.verify import ADDED, CHANGED, IDENTICAL, is_changed, paired
 
 
 def batch_verdicts(batch: DataFrame, baseline: DataFrame, keys: list[str], cols: list[str] | None = None) -> DataFrame:
     """Verdicts of the rows that are there: JN7 without ``missing``, which a part of the data cannot tell."""
     cols = [c for c in (cols or baseline.columns) if c not in keys]
-    changes = changed_columns(cols)
     return paired(baseline, batch, keys, cols, how="right").select(
         *[F.col(f"`{k}`") for k in keys],
         F.when(~F.col("in_old"), ADDED)
-        .when(F.size(changes) > 0, CHANGED)
+        .when(is_changed(cols), CHANGED)
         .otherwise(IDENTICAL)
         .alias("status"),
     )
@@ -33,12 +33,20 @@ def verify_stream(
 ) -> StreamingQuery:
     """ST1: verdict counts per micro-batch, written under ``out/batch_id=N``.
 
-    A batch that is run again after a failure overwrites its own folder, so counts are exact.
+    A batch that is run again after a failure overwrites its own folder, so counts are exact. A batch of counted,
+    small size broadcasts its keys to the baseline first, which is then scanned but not shuffled.
     """
+    null_safe = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        counts = batch_verdicts(batch, baseline, keys, cols).groupBy("status").agg(F.count("*").alias("n"))
+        batch.persist()
+        known = baseline
+        if batch.count() <= BROADCAST_ROWS:
+            wanted = batch.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
+            known = baseline.join(F.broadcast(wanted), null_safe, "left_semi")
+        counts = batch_verdicts(batch, known, keys, cols).groupBy("status").agg(F.count("*").alias("n"))
         counts.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
