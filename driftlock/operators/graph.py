@@ -129,7 +129,9 @@ def change_scope(
         newest = frontier.withColumnRenamed("unit_id", "callee_id")
         if size > broadcast_rows and hubs is None:
             hubs = hot_keys(calls, ["callee_id"])
-        reached = lookup_join(calls, newest, ["callee_id"], "inner", broadcast_rows=broadcast_rows, hot=hubs)
+        reached = lookup_join(
+            calls, newest, ["callee_id"], "inner", broadcast_rows=broadcast_rows, lookup_rows=size, hot=hubs
+        )
         frontier = cut_lineage(
             reached.select(F.col("caller_id").alias("unit_id")).distinct().join(seen, "unit_id", "left_anti")
         )

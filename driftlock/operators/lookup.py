@@ -34,17 +34,20 @@ def lookup_join(
     salts: int = HOT_SALTS,
     share: float = HOT_SHARE,
     broadcast_rows: int = BROADCAST_ROWS,
+    lookup_rows: int | None = None,
     hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``lookup``, which has at most one row per key, splitting hot keys of ``big``.
 
     A look-up of counted, small size is broadcast. Beyond that both sides are shuffled: rows of a hot key are
     spread over ``salts`` partitions and its single look-up row is repeated for each; other keys are joined as
-    they are. A caller that joins the same ``big`` again may pass the ``hot`` keys it already knows.
+    they are. A caller that knows the size of the look-up or the ``hot`` keys of ``big`` may pass them.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if lookup_rows is None:
+        lookup_rows = lookup.limit(broadcast_rows + 1).count()
+    if lookup_rows <= broadcast_rows:
         return big.join(F.broadcast(lookup), keys, how)
     if hot is None:
         hot = hot_keys(big, keys, share)

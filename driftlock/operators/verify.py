@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from driftlock import vocab
 from driftlock.functions.bind import picked
 from driftlock.functions.canonical import as_text, comparable, comparable_columns
 
 IDENTICAL, CHANGED, MISSING, ADDED = "identical", "changed", "missing", "added"
+DUPLICATE_MESSAGE = "several rows for one key"
 
 
 class SchemaBreak(Exception):
@@ -75,26 +77,100 @@ def _differs(old: Column, new: Column, tolerance: float | None) -> Column:
     return differs
 
 
-def paired(baseline: DataFrame, current: DataFrame, keys: list[str], cols: list[str], how: str = "full") -> DataFrame:
-    """Rows of both sides next to each other: the keys, ``old_<col>``, ``new_<col>``, ``in_old``, ``in_new``.
+def _filler(dtype: T.DataType) -> Column | None:
+    """A value to stand in for null in a join column, or nothing if the type has no simple one."""
+    if isinstance(dtype, T.NumericType):
+        return F.lit(0).cast(dtype)
+    if isinstance(dtype, T.StringType):
+        return F.lit("")
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(dtype)
+    return None
 
-    Keys are compared null-safe. Both sides are shuffled once on the keys; the verdict, the cell delta and the
-    acceptance are all projections of this one join.
+
+def _bit(i: int | None) -> Column:
+    return F.lit(0 if i is None else 2**i).cast("bigint")
+
+
+def _key(mark: str, i: int, dtype: T.DataType) -> Column:
+    """The i-th key of a side, null where its bit says so."""
+    value = F.col(f"__{mark}j{i}")
+    if _filler(dtype) is None:
+        return value
+    return F.when(F.col(f"__{mark}nulls").bitwiseAND(_bit(i)) == 0, value)
+
+
+def _side(df: DataFrame, mark: str, keys: list[str], cols: list[str], prefix: str, guard: bool) -> DataFrame:
+    """One side of a pairing: join columns, values, and the presence mark.
+
+    Which keys are null is one number and the keys themselves are filled: plain equality on these columns is
+    null-safe, they serve the guard as well as the join, and ``_key`` restores the keys from them.
     """
-    old = baseline.select(
-        *[comparable(F.col(f"`{k}`"), baseline.schema[k].dataType).alias(f"__o{i}") for i, k in enumerate(keys)],
-        *[comparable(F.col(f"`{c}`"), baseline.schema[c].dataType).alias(f"old_{c}") for c in cols],
-        F.lit(True).alias("__old"),
+    key_cols = [comparable(F.col(f"`{k}`"), df.schema[k].dataType) for k in keys]
+    fillers = [_filler(df.schema[k].dataType) for k in keys]
+    nulls = reduce(
+        lambda x, y: x + y,
+        [
+            F.when(c.isNull(), _bit(i)).otherwise(_bit(None))
+            for i, (c, f) in enumerate(zip(key_cols, fillers))
+            if f is not None
+        ],
+        _bit(None),
+    )
+    out = df.select(
+        *[
+            (c if f is None else F.coalesce(c, f)).alias(f"__{mark}j{i}")
+            for i, (c, f) in enumerate(zip(key_cols, fillers))
+        ],
+        nulls.alias(f"__{mark}nulls"),
+        *[comparable(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"{prefix}_{c}") for c in cols],
+        F.lit(True).alias(f"__{mark}"),
     )
-    new = current.select(
-        *[comparable(F.col(f"`{k}`"), current.schema[k].dataType).alias(f"__n{i}") for i, k in enumerate(keys)],
-        *[comparable(F.col(f"`{c}`"), current.schema[c].dataType).alias(f"new_{c}") for c in cols],
-        F.lit(True).alias("__new"),
+    if not guard:
+        return out
+    joined_on = [f"__{mark}j{i}" for i in range(len(keys))] + [f"__{mark}nulls"]
+    repeat = F.row_number().over(Window.partitionBy(*joined_on).orderBy(joined_on[0]))
+    side = "baseline" if prefix == "old" else "current"
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in joined_on[:-1]])
+    refuse = F.raise_error(F.concat(F.lit(f"{DUPLICATE_MESSAGE} in {side}: "), shown)).cast("boolean")
+    return out.withColumn("__repeat", repeat).withColumn(
+        f"__{mark}", F.when(F.col("__repeat") == 1, F.col(f"__{mark}")).otherwise(refuse)
     )
-    same_key = reduce(lambda a, b: a & b, [old[f"__o{i}"].eqNullSafe(new[f"__n{i}"]) for i in range(len(keys))])
-    in_old, in_new = F.col("__old").isNotNull(), F.col("__new").isNotNull()
+
+
+def paired(
+    baseline: DataFrame,
+    current: DataFrame,
+    keys: list[str],
+    cols: list[str],
+    how: str = "full",
+    guard: bool = False,
+) -> DataFrame:
+    """Rows of both sides next to each other: the keys, ``old_<col>``, ``new_<col>``, ``in_old``, ``in_new``.
+
+    Keys are compared null-safe. Both sides are shuffled once on the keys; the verdict, the cell delta and the
+    acceptance are all projections of this one join. ``guard`` makes the job fail on the second row of a key: a
+    row number over the shuffle and sort that the join needs anyway.
+    """
+    old = _side(baseline, "o", keys, cols, "old", guard)
+    new = _side(current, "n", keys, cols, "new", guard)
+    same = [
+        old[f"__oj{i}"] == new[f"__nj{i}"]
+        if _filler(baseline.schema[k].dataType) is not None
+        else old[f"__oj{i}"].eqNullSafe(new[f"__nj{i}"])
+        for i, k in enumerate(keys)
+    ]
+    same_key = reduce(lambda a, b: a & b, [*same, old["__onulls"] == new["__nnulls"]])
+    in_old, in_new = F.col("__o").isNotNull(), F.col("__n").isNotNull()
     return old.join(new, same_key, how).select(
-        *[F.when(in_old, F.col(f"__o{i}")).otherwise(F.col(f"__n{i}")).alias(k) for i, k in enumerate(keys)],
+        *[
+            F.when(in_old, _key("o", i, baseline.schema[k].dataType))
+            .otherwise(_key("n", i, current.schema[k].dataType))
+            .alias(k)
+            for i, k in enumerate(keys)
+        ],
         *[F.col(f"`old_{c}`") for c in cols],
         *[F.col(f"`new_{c}`") for c in cols],
         in_old.alias("in_old"),
@@ -123,15 +199,18 @@ def verify(
     keys: list[str],
     cols: list[str] | None = None,
     tolerance: dict[str, float] | None = None,
-    on_duplicates: str = "fail",
+    on_duplicates: str = "guard",
     reference_statuses: bool = False,
 ) -> DataFrame:
     """JN7: one verdict per key, ``(keys…, status, changed_cols)``.
 
-    ``on_duplicates`` says what to do when the keys repeat: ``fail`` checks first and raises, ``bag`` compares the
-    rows of each key as a bag (see ``verify_bag``), ``unchecked`` trusts the caller. ``reference_statuses``
-    reports a vanished row as identical and ignores rows without a baseline.
+    ``on_duplicates`` says what to do when the keys repeat: ``guard`` fails the job that computes the verdicts, at
+    no extra shuffle; ``fail`` counts the keys in a job of its own and raises before anything else runs; ``bag``
+    compares the rows of each key as a bag (see ``verify_bag``). ``reference_statuses`` reports a vanished row as
+    identical and ignores rows without a baseline.
     """
+    if on_duplicates not in ("guard", "fail", "bag"):
+        raise ValueError(f"on_duplicates: {on_duplicates!r}")
     if on_duplicates == "bag":
         if tolerance:
             raise ValueError("a tolerance needs unique keys")
@@ -141,10 +220,10 @@ def verify(
         if on_duplicates == "fail":
             examples = _repeated(baseline, current, keys).limit(5).collect()
             if examples:
-                raise DuplicateKeys(f"several rows for one key, for example {[r.asDict() for r in examples]}")
+                raise DuplicateKeys(f"{DUPLICATE_MESSAGE}, for example {[r.asDict() for r in examples]}")
         changed = F.col("in_old") & F.col("in_new") & is_changed(cols, tolerance)
         # The names are put together for changed rows only; most rows stop at the comparison.
-        verdicts = paired(baseline, current, keys, cols).select(
+        verdicts = paired(baseline, current, keys, cols, guard=on_duplicates == "guard").select(
             *[F.col(f"`{k}`") for k in keys],
             F.when(~F.col("in_new"), MISSING)
             .when(~F.col("in_old"), ADDED)

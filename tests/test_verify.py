@@ -78,7 +78,21 @@ def test_one_tampered_cell_is_one_change(spark):
 def test_duplicate_keys_are_refused(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "k int, t string")
     with pytest.raises(v.DuplicateKeys):
-        v.verify(df, df, ["k"])
+        v.verify(df, df, ["k"], on_duplicates="fail")
+    once = df.where("t = 'a'")
+    for old, new, side in ((df, once, "baseline"), (once, df, "current"), (once.limit(0), df, "current")):
+        with pytest.raises(Exception, match=f"several rows for one key in {side}: 1"):
+            v.verify(old, new, ["k"]).collect()
+
+
+def test_null_keys_meet_null_keys_only(spark):
+    schema = "a int, s string, d date, v int"
+    old = spark.createDataFrame([(None, "", None, 1), (0, None, None, 2), (0, "", None, 3)], schema)
+    new = spark.createDataFrame([(0, "", None, 3), (None, "", None, 1), (0, None, None, 9)], schema)
+    got = {(r.a, r.s): r.status for r in v.verify(old, new, ["a", "s", "d"]).collect()}
+    assert got == {(None, ""): "identical", (0, None): "changed", (0, ""): "identical"}
+    maps = spark.createDataFrame([({"x": 1}, 1), (None, 2)], "m map<string,int>, v int")
+    assert {r.status for r in v.verify(maps, maps, ["m"]).collect()} == {"identical"}
 
 
 def test_repeated_keys_as_bags(spark):
