@@ -91,6 +91,12 @@ def percent(fraction: Column) -> Column:
     return F.format_string("%.0f%%", fraction * 100)
 
 
+def table_cell(col: Column) -> Column:
+    """Text that fits one cell of a Markdown table: no line ends, bars escaped."""
+    flat = F.replace(F.replace(col, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    return F.replace(flat, F.lit("|"), F.lit("\\|"))
+
+
 def thousands(number: Column) -> Column:
     """A whole number with thousands separators."""
     return F.format_number(number.cast("double"), 0)

@@ -34,6 +34,9 @@ def score_units(
     """
     units = units.where(~flag_generated_path(F.col("path")))
     if refs is not None:
+        # Generated code is not analysed, so it does not count as a caller either.
+        callers = units.select(F.col("unit_id").alias("caller_id")).distinct()
+        refs = refs.join(callers, "caller_id", "left_semi")
         units = blast_radius(units, resolve_edges(units, refs))
     if test_refs is not None:
         units = mark_tested(units, test_refs)

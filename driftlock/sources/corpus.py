@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,8 @@ from driftlock import vocab
 from driftlock.functions.names import path_segments
 
 
-def _local_path(path):
-    """The path of a file URI without its scheme, percent-decoded."""
-    return F.url_decode(F.replace(F.regexp_replace(path, r"^[a-zA-Z][\w+.-]*:(?://[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+# Scheme and authority of a file URI; what follows is the path as the file system spells it.
+_SCHEME = r"^[a-zA-Z][\w+.-]*:(?://[^/]*)?"
 
 
 def scan_corpus(
@@ -33,10 +34,9 @@ def scan_corpus(
         .option("ignoreMissingFiles", "true")
         .load(root)
     )
-    base = root.split(":", 1)[-1] if ":" in root.split("/")[0] else root
-    base = "/" + base.strip("/")
-    path = _local_path(F.col("path"))
-    relative = F.when(path.startswith(base + "/"), F.substring(path, len(base) + 2, 1_000_000)).otherwise(path)
+    base = "/" + re.sub(_SCHEME, "", root).strip("/")
+    path = F.regexp_replace("path", _SCHEME, "")
+    relative = F.when(path.startswith(base + "/"), F.substr(path, F.lit(len(base) + 2))).otherwise(path)
     dropped = F.exists(path_segments(relative), lambda s: F.lower(s).isin([d.lower() for d in exclude_dirs]))
     return files.where(~dropped).select(
         path.alias("path"), F.decode("content", "UTF-8").alias("content"), "length"

@@ -131,6 +131,7 @@ def test_names(value):
     assert value(names.last_identifier(F.lit("Ns.Base<int, X.Y> "))) == "Base"
     assert value(names.percent(F.lit(0.256))) == "26%"
     assert value(names.thousands(F.lit(1234567))) == "1,234,567"
+    assert value(names.table_cell(F.lit("a|b\r\nc"))) == "a\\|b  c"
 
 
 @pytest.mark.parametrize(

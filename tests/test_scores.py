@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlock.operators import risk, scores
+from driftlock.plans import analyze as plans
 from driftlock.operators.ordered import prefix_sum, rank_hotspots, spend_ceiling
 from driftlock.sources import reports
 from driftlock.sources.baseline import write_report
@@ -93,7 +94,7 @@ def test_coverage_files(spark, tmp_path):
 
 def test_pricing(spark):
     usage = spark.createDataFrame(
-        [("claude-haiku-x", 1_000_000, 1_000_000, 0, 0), ("mid", 1_000_000, 1_000_000, 0, 0), ("OPUS-1", 1_000_000, 1_000_000, 0, 0), ("s", 0, 0, 1_000_000, 1_000_000)],
+        [("small-haiku-x", 1_000_000, 1_000_000, 0, 0), ("mid", 1_000_000, 1_000_000, 0, 0), ("OPUS-1", 1_000_000, 1_000_000, 0, 0), ("s", 0, 0, 1_000_000, 1_000_000)],
         "model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint",
     )
     priced = scores.price_usage(usage)
@@ -138,16 +139,41 @@ def test_patterns_and_usage(spark, tmp_path):
 
 
 def test_corpus(spark, tmp_path):
-    for name in ("a/x.cs", "a/bin/y.cs", "OBJ/z.cs", "binary/w.cs", "a/x.txt", "sp ace/v+1.cs"):
+    for name in ("a/x.cs", "a/bin/y.cs", "OBJ/z.cs", "binary/w.cs", "a/x.txt", "sp ace/v+1.cs", "p%41%.cs"):
         file = tmp_path / "bin" / name
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text("é;")
     files = scan_corpus(spark, str(tmp_path / "bin"), "*.cs").collect()
     names = sorted(r.path.split("/bin/", 1)[1] for r in files)
-    assert names == ["a/x.cs", "binary/w.cs", "sp ace/v+1.cs"]
+    assert names == ["a/x.cs", "binary/w.cs", "p%41%.cs", "sp ace/v+1.cs"]
     assert {(r.content, r.length) for r in files} == {("é;", 3)}
 
 
+def test_facts_to_report(spark):
+    rows = [
+        ("a", "Pay.Run", "src/Pay.cs", ["System.ServiceModel"], ["Page"], "Run", 0),
+        ("b", "Pay.Vat", "src/Pay.cs", [], [], "CalculateVat", 1),
+        ("g", "Form.Init", "src/Form.Designer.cs", [], [], "Init", 0),
+    ]
+    units = spark.createDataFrame(
+        rows, "unit_id string, display_name string, path string, usings array<string>, base_types array<string>, name string, arity int"
+    ).selectExpr(
+        "*", "array() as attributes", "1 as start_line", "'s' as signature", "5 as complexity", "10 as line_count", "true as is_public",
+        "cast(array() as array<string>) as seams", "cast(array() as array<string>) as obstacles",
+    )
+    refs = spark.createDataFrame([("a", "CalculateVat", 1, None), ("g", "CalculateVat", 1, None)], "caller_id string, name string, arity int, resolved_id string")
+    tests = spark.createDataFrame([("b",), ("b",)], "unit_id string")
+    done = plans.score_units(units.withColumn("attributes", F.col("attributes").cast("array<string>")), ["name"], refs, tests)
+    got = {r.unit_id: (r.tags, r.landmines, r.caller_count, r.has_tests) for r in done.collect()}
+    assert got == {"a": ([], ["WCF", "WebForms"], 0, False), "b": (["money"], [], 1, True)}
+    report = plans.readiness_report(done, top=1)
+    assert report["summary"].first().units == 2 and report["hotspots"].first().unit_id == "a"
+    mutants = spark.createDataFrame([("x/pay.CS", "Killed"), ("x/pay.CS", "Survived")], "file string, status string")
+    overlay = plans.score_overlay(done, mutants.withColumn("file", reports.normalized_file(F.col("file"))))
+    assert {r.score for r in overlay["rows"].collect()} == {50.0} and overlay["headline"].first()[0] == 50.0
+    assert overlay["mean_headline"].first()[0] == 50.0 and overlay["files"].first().units == 2
+
+
 def test_report_file(spark, tmp_path):
     write_report(scored(spark, unit("x")), str(tmp_path / "r"))
     row = spark.read.json(str(tmp_path / "r")).first().asDict()
