@@ -40,7 +40,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def rounds_end(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected links: (id, component), the component being the smallest id reached.
 
     Each round joins the links with the labels, takes the smallest label among a node's neighbours, and then jumps

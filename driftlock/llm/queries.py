@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlock.llm import decontam, line_dedup, packing, quality
+from driftlock.llm import decontam, jaccard, line_dedup, packing, quality
 from driftlock.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op8(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op4_ngram_jaccard_join")
+def op4(spark, sf_dir):
+    return jaccard.join_classes(documents(spark, sf_dir))
