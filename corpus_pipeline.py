@@ -16,7 +16,7 @@ from driftlock.llm.common import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule go. A null text has no words and goes."""
-    return quality.verdicts(docs.select(F.struct("*").alias("__doc"), "text")).where("kept").select("__doc.*")
+    return quality.keep(docs)
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlock.llm.common import SPACE_CLASS, strip_space, words_of
+from driftlock.functions.bind import let
+from driftlock.llm.common import SPACE, strip_space, words_of
 
 # Frequent function words of English, Spanish, French and German.
 STOP_WORDS = [
@@ -35,10 +36,16 @@ class Rule:
     per: str | None = None
     base: bool = False
 
+    def column(self, counts: Column) -> Column:
+        beyond = 100 * counts[self.measure], self.limit * (counts[self.per] if self.per else F.lit(100))
+        return beyond[0] < beyond[1] if self.side == "<" else beyond[0] > beyond[1]
+
     def sql(self) -> str:
         return f"100 * {self.measure} {self.side} {self.limit} * {self.per or '100'}"
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
+
 RULES = (
     Rule("few_words", "n_words", "<", 50, base=True),
     Rule("repeated_windows", "n_repeat_words", ">", 50, "n_words", base=True),
@@ -75,55 +82,65 @@ def repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(walked)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The documents with the counts that rules read.
+def measures(text: Column) -> Column:
+    """The counts that rules read, as one struct; a null text counts as empty.
 
-    A null text counts as empty: no words, one line without a word, all counts zero.
+    Every intermediate value is the variable of a lambda: the optimizer copies a column into each place that reads it,
+    also below a filter, and would split the text once for every word.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(text, F.lit(""))
     filled = F.filter(F.split(text, "\n"), lambda line: strip_space(line) != "")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return (
-        docs.withColumn("__words", words_of(text))
-        .withColumn("__lines", filled)
-        .withColumn(
-            "__windows",
-            F.when(
-                F.size("__words") >= 3,
-                F.transform(
-                    F.sequence(F.lit(0), F.size("__words") - 3),
-                    lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
-        .withColumns(
-            {
-                "n_words": F.size("__words").cast("long"),
-                "word_chars": F.length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long"),
-                "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-                "n_lines": F.size("__lines").cast("long"),
-                "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-                "n_repeat_words": repeated_words(F.col("__windows")),
-                "n_stop_words": F.size(F.array_intersect(F.col("__words"), stop)).cast("long"),
-            }
+
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - 3)
+        hashed = F.transform(starts, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+        return F.when(F.size(words) >= 3, hashed).otherwise(F.array().cast("array<bigint>"))
+
+    def counts(words: Column, lines: Column, found: Column) -> Column:
+        values = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.translate(text, SPACE, "")),
+            "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeated_words(found),
+            "n_stop_words": F.size(F.array_intersect(words, stop)),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
+
+    return let(words_of(text), lambda w: let(filled, lambda l: let(windows(w), lambda h: counts(w, l, h))))
+
+
+def judged(counts: Column, rules: tuple[Rule, ...]) -> Column:
+    """The counts with ``base_failed``, ``kept`` and ``failed_rules``, as one struct."""
+    none = F.array().cast("array<string>")
+
+    def judge(m: Column) -> Column:
+        fails = {r: r.column(m) for r in rules}
+        base = [fails[r] for r in rules if r.base]
+        names = [F.when(c, F.array(F.lit(r.name))).otherwise(none) for r, c in fails.items()]
+        return F.struct(
+            *[m[k].alias(k) for k in MEASURES],
+            reduce(or_, base, F.lit(False)).alias("base_failed"),
+            (~reduce(or_, fails.values(), F.lit(False))).alias("kept"),
+            F.concat(none, *names).alias("failed_rules"),
         )
-        .drop("__words", "__lines", "__windows")
-    )
+
+    return let(counts, judge)
 
 
 def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The measured documents with ``base_failed``, ``kept`` and the names of all failed rules.
+    """The documents with their counts, ``base_failed``, ``kept`` and the names of all failed rules.
 
-    An input column that has the name of a measure or verdict is replaced.
+    Input columns that have the name of a count or verdict are replaced.
     """
-    measured = measure(docs)
-    fails = {r: F.expr(r.sql()) for r in rules}
-    none = F.array().cast("array<string>")
-    base = [fails[r] for r in rules if r.base]
-    return measured.withColumns(
-        {
-            "base_failed": reduce(or_, base) if base else F.lit(False),
-            "kept": ~reduce(or_, fails.values()) if rules else F.lit(True),
-            "failed_rules": F.concat(none, *[F.when(c, F.array(F.lit(r.name))).otherwise(none) for r, c in fails.items()]),
-        }
-    )
+    results = [*MEASURES, "base_failed", "kept", "failed_rules"]
+    others = [c for c in docs.columns if c not in results]
+    found = docs.withColumn("__verdict", judged(measures(F.col("text")), rules))
+    return found.select(*[f"`{c}`" for c in others], *[F.col(f"__verdict.{c}").alias(c) for c in results])
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that pass every rule, with their columns as they were. A null text has no words and fails."""
+    return docs.where(judged(measures(F.col("text")), rules)["kept"])
