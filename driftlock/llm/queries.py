@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlock.llm import decontam, jaccard, line_dedup, packing, quality
+from driftlock.llm import decontam, jaccard, line_dedup, packing, quality, ring, secrets
 from driftlock.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,63 @@ def op8(spark, sf_dir):
 @query("op4_ngram_jaccard_join")
 def op4(spark, sf_dir):
     return jaccard.join_classes(documents(spark, sf_dir))
+
+
+@query("op5_bounded_ring")
+def op5(spark, sf_dir):
+    sized = documents(spark, sf_dir).select(
+        "doc_id",
+        "text",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return ring.assign(sized).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+CANDIDATE_SQL = secrets.CANDIDATE_RUN
+SECRETS_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (
+  SELECT 0 AS kind, $q${secrets.ASSIGN}$q$ AS p UNION ALL SELECT 1, 'AKIA[A-Z0-9]+' UNION ALL SELECT 2, '[0-9a-f]+'
+  UNION ALL SELECT 3, $q${CANDIDATE_SQL}$q$),
+m AS (
+  SELECT doc_id, kind, unnest(ms) AS m, unnest(bs[:len(ms)]) AS b, generate_subscripts(ms, 1) AS i FROM (
+    SELECT doc_id, kind,
+           CASE kind WHEN 0 THEN regexp_extract_all(t, $q${secrets.ASSIGN}$q$) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+')
+                WHEN 2 THEN regexp_extract_all(t, '[0-9a-f]+') ELSE regexp_extract_all(t, $q${CANDIDATE_SQL}$q$) END AS ms,
+           CASE kind WHEN 0 THEN string_split_regex(t, $q${secrets.ASSIGN}$q$) WHEN 1 THEN string_split_regex(t, 'AKIA[A-Z0-9]+')
+                WHEN 2 THEN string_split_regex(t, '[0-9a-f]+') ELSE string_split_regex(t, $q${CANDIDATE_SQL}$q$) END AS bs
+    FROM t, p) WHERE len(ms) > 0),
+s AS (
+  SELECT doc_id, kind, i, m, sum(length(b) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM m),
+base AS (
+  SELECT doc_id, kind, e - length(m) AS s, e FROM s
+  WHERE (kind = 0 AND length(regexp_extract(m, $q${secrets.ASSIGN}$q$, 2)) >= 8) OR (kind = 1 AND length(m) >= 16)
+     OR (kind = 2 AND length(m) >= 32)),
+c AS (
+  SELECT doc_id, i, m, e - length(m) AS s,
+         CASE WHEN regexp_matches(m, '^([0-9a-f]+|[0-9A-F]+)$') THEN {secrets.most_terms(secrets.CLASS_BITS["hex"])}
+              WHEN regexp_matches(m, '^[A-Za-z0-9]+$') THEN {secrets.most_terms(secrets.CLASS_BITS["letters_digits"])}
+              ELSE {secrets.most_terms(secrets.CLASS_BITS["base64"])} END AS most
+  FROM s WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+    AND NOT ({" OR ".join(f"contains(m, '{a}')" for a in secrets.ALLOWED)} OR {" OR ".join(f"regexp_matches(m, '{a}')" for a in secrets.ALLOWED_SHAPES)})),
+w AS (SELECT doc_id, i, m, s, most, unnest(range(0, length(m) - {secrets.WINDOW - 1})) AS k FROM c),
+h AS (
+  SELECT doc_id, i, s, most, k, ch, count(*) AS n
+  FROM (SELECT doc_id, i, s, most, k, unnest(string_split(substr(m, k + 1, {secrets.WINDOW}), '')) AS ch FROM w) GROUP BY ALL),
+g AS (SELECT doc_id, i, s, most, k, sum({secrets.TERMS}[n + 1]) AS total FROM h GROUP BY ALL),
+extra AS (SELECT doc_id, 3 AS kind, s + min(k) AS s, s + max(k) + {secrets.WINDOW} AS e FROM g WHERE total <= most GROUP BY doc_id, i, s),
+spans AS (SELECT *, {secrets.KINDS}[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM (SELECT * FROM base UNION ALL SELECT * FROM extra))
+SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+       count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE kind = 3) AS n_entropy,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY s, kind, e), '') AS spans
+FROM t LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op6_secret_scan", SECRETS_SQL)
+def op6(spark, sf_dir):
+    return secrets.report(documents(spark, sf_dir))
