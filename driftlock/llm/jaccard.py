@@ -134,8 +134,7 @@ def _describe(shared, percent: int, words: int):
     return describe
 
 
-BUCKETS = "sig bigint, id bigint, n int, prefix int"
-_BUCKET_ARROW = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("prefix", pa.int32())])
+BUCKETS = "sig bigint, id bigint, shape bigint"
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +170,13 @@ class Described:
             .groupBy("s1", "s2")
             .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sigs").alias("sigs"))
         )
-        rows = self.groups.select(F.explode("sigs").alias("sig"), "id", "n", "prefix")
-        met = rows.repartition("sig").sortWithinPartitions("sig", "n", "id").mapInArrow(_shared_only, BUCKETS)
-        self.buckets = stored(met, "buckets")
+        # The length of a prefix follows from the size of the set, unless it holds frequent tokens: one number has both.
+        shape = F.col("n").cast("long") * 2 + (F.col("prefix") < 0).cast("long")
+        rows = self.groups.select(F.explode("sigs").alias("sig"), "id", shape.alias("shape"))
+        met = stored(rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only, BUCKETS), "buckets")
+        n = F.expr("shape div 2")
+        prefix = F.when(F.col("shape") % 2 == 1, -1).otherwise(n - F.ceil(percent * n / 100) + 1)
+        self.buckets = met.select("sig", "id", n.alias("n"), prefix.alias("prefix"))
 
 
 def _similar(percent: int):

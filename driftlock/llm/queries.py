@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlock.llm import decontam, jaccard, line_dedup, packing, quality, ring, secrets
+from driftlock.llm import decontam, jaccard, licenses, line_dedup, packing, quality, ring, secrets, toxicity
 from driftlock.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,15 @@ FROM t LEFT JOIN spans USING (doc_id) GROUP BY doc_id
 @query("op6_secret_scan", SECRETS_SQL)
 def op6(spark, sf_dir):
     return secrets.report(documents(spark, sf_dir))
+
+
+@query("op9_license_scan")
+def op9(spark, sf_dir):
+    return licenses.report(documents(spark, sf_dir))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(docs, model)

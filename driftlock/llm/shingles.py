@@ -26,12 +26,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
+# Bytes that are hashed at a time; powers are kept for so many places.
+BLOCK = 1 << 20
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out)
 
 
+_UP, _DOWN = _powers(_BASE, BLOCK), _powers(_BACK, BLOCK)
+
+
 def utf8_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of the texts in them); a null text is empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -52,9 +59,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start[1:] &= space[:-1] | edge[1:-1]
     end[:-1] &= space[1:] | edge[1:-1]
     a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[_LOWER[raw]] * _powers(_BASE, len(raw)), out=total[1:])
-    words = mixed((total[b] - total[a]) * _powers(_BACK, len(raw))[a] + (b - a).astype(np.uint64))
+    words = np.empty(len(a), np.uint64)
+    at = 0
+    while at < len(a):
+        # As many whole words as fit into a block; one that is longer has a block of its own.
+        upto = max(at + 1, int(np.searchsorted(b, a[at] + BLOCK, "right")))
+        first, last = a[at], b[upto - 1]
+        n = int(last - first)
+        up, down = (_UP, _DOWN) if n <= BLOCK else (_powers(_BASE, n), _powers(_BACK, n))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUE[_LOWER[raw[first:last]]] * up[:n], out=total[1:])
+        begin, end_ = a[at:upto] - first, b[at:upto] - first
+        words[at:upto] = mixed((total[end_] - total[begin]) * down[begin] + (end_ - begin).astype(np.uint64))
+        at = upto
     return words, np.searchsorted(offsets, a, "right") - 1
 
 
