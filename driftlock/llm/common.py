@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +73,20 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         labels = after.select("id", "component")
         if after.where("component <> old").isEmpty():
             return labels
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column: those whose value stands alone go. One row is held back between batches."""
+    held, out = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        key = batch.column(0).to_numpy()
+        same = np.r_[False, key[1:] == key[:-1]]
+        keep = same | np.r_[same[1:], False]
+        if held is not None and out:
+            keep[0] = False
+        yield batch.filter(pa.array(keep))
+        held, out = batch.slice(batch.num_rows - 1), bool(keep[-1])

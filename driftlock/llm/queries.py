@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlock.llm import decontam, jaccard, licenses, line_dedup, packing, quality, ring, secrets, toxicity
+from driftlock.llm import decontam, jaccard, licenses, line_dedup, packing, quality, repeats, ring, secrets, toxicity
 from driftlock.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,9 @@ def op10(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_documents(docs, model)
+
+
+@query("op2_run_length_index")
+def op2(spark, sf_dir):
+    done = repeats.remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -48,3 +48,20 @@ def join_classes(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int
     sets = {i: shingles(t) for i, t in rows}
     found = classes(sets, similar_pairs(sets))
     return {i: (len(sets[i]), found[i]) for i in sets}
+
+
+def remove_repeats(rows: list[tuple[int, str | None]], window: int) -> list[tuple[int, int, int, int, bytes]]:
+    raws = [(i, (t or "").encode()) for i, t in rows]
+    seen: dict[bytes, int] = defaultdict(int)
+    for _, raw in raws:
+        for p in range(len(raw) - window + 1):
+            seen[raw[p : p + window]] += 1
+    out = []
+    for i, raw in raws:
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - window + 1):
+            if seen[raw[p : p + window]] > 1:
+                gone[p : p + window] = b"\1" * window
+        spans = sum(1 for p in range(len(gone)) if gone[p] and (p == 0 or not gone[p - 1]))
+        out.append((i, len(raw), sum(gone), spans, bytes(b for b, g in zip(raw, gone) if not g)))
+    return out
