@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftlock import vocab
 from driftlock.functions.bind import let
@@ -16,8 +17,11 @@ from driftlock.operators.ordered import prefix_sum
 
 # --- GEN1 -----------------------------------------------------------------------------------------------------
 
-_NUMBER = r"-?\d+(?:\.\d+)?[mMdDfFlL]?"
-_TEXT = r"\"[^\"]*\"|'[^']*'"
+# Digits may be grouped by underscores; whole numbers may be hexadecimal, others may have an exponent.
+_NUMBER = r"-?(?:0[xX][0-9a-fA-F_]+[uUlL]{0,2}|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?(?:[uU][lL]?|[lL][uU]?|[mMdDfF])?)"
+# A quote after a backslash belongs to the text.
+_TEXT = r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'"
+ESCAPED = {'\\"': '"', "\\'": "'", "\\n": "\n", "\\t": "\t", "\\r": "\r"}
 _PREDICATES = "StartsWith|EndsWith|Contains|Equals|IndexOf|IsMatch|Match"
 _COMPARE = {"csharp": r"<=|>=|==|!=|<|>", "sql": r"<=|>=|<>|!=|==|=|<|>"}
 _WORDS = {"csharp": r"case|is|not|or|and|when", "sql": r"when|and|or|between|like|in\s*\("}
@@ -30,7 +34,15 @@ def _matches(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _unquote(literals: Column) -> Column:
-    return F.transform(literals, lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+    def plain(s: Column) -> Column:
+        inner = F.substring(s, F.lit(2), F.length(s) - 2)
+        # A doubled backslash is set aside first, so that what follows it is not read as an escape.
+        inner = F.replace(inner, F.lit("\\\\"), F.lit("\x00"))
+        for written, meant in ESCAPED.items():
+            inner = F.replace(inner, F.lit(written), F.lit(meant))
+        return F.replace(inner, F.lit("\x00"), F.lit("\\"))
+
+    return F.transform(literals, plain)
 
 
 def _decided(text: Column, literal: str, dialect: str) -> Column:
@@ -45,7 +57,13 @@ def _decided(text: Column, literal: str, dialect: str) -> Column:
 
 
 def _digits(number: Column) -> Column:
-    return F.regexp_replace(number, "[mMdDfFlL]$", "")
+    """A number literal as plain decimal digits: no suffix, no underscores, hexadecimal digits converted."""
+    bare = F.replace(number, F.lit("_"), F.lit(""))
+    hexadecimal = F.regexp_extract(bare, "^-?0[xX]([0-9a-fA-F]+)[uUlL]*$", 1)
+    sign = F.when(bare.startswith("-"), "-").otherwise("")
+    return F.when(hexadecimal != "", F.concat(sign, F.conv(hexadecimal, 16, 10))).otherwise(
+        F.regexp_replace(bare, "[uUlLmMdDfF]+$", "")
+    )
 
 
 def _typed(numbers: Column, test, cast: str) -> Column:
@@ -90,9 +108,9 @@ def mined(rule_text: Column, dialect: str = "csharp") -> Column:
             numbers(p),
             lambda n: F.struct(
                 F.array_sort(F.array_distinct(_unquote(texts))).alias("strings"),
-                _typed(n, lambda x: x.rlike(r"^-?\d+[lL]?$"), "bigint").alias("ints"),
-                _typed(n, lambda x: x.rlike(r"[mM]$"), "decimal(38,10)").alias("decimals"),
-                _typed(n, lambda x: x.rlike(r"[dDfF]$|\.\d+$"), "double").alias("doubles"),
+                _typed(n, lambda x: x.rlike(r"^-?(?:0[xX][0-9a-fA-F_]+|[\d_]+)[uUlL]*$"), "bigint").alias("ints"),
+                _typed(n, lambda x: x.rlike(r"^-?\d.*[mM]$"), "decimal(38,10)").alias("decimals"),
+                _typed(n, lambda x: ~x.rlike("^-?0[xX]") & x.rlike(r"[dDfF]$|\.[\d_]+(?:[eE][+-]?\d+)?$|[eE][+-]?\d+$"), "double").alias("doubles"),
             ),
         )
 
@@ -130,7 +148,7 @@ def mine_boundaries(rules: DataFrame, dialect: str = "csharp") -> DataFrame:
         F.arrays_zip(_matches(bare, right, 1).alias("param"), _matches(bare, right, 2).alias("number")),
         F.arrays_zip(_matches(bare, left, 2).alias("param"), _matches(bare, left, 1).alias("number")),
     )
-    number = F.regexp_replace("p.number", "[mMdDfFlL]$", "").try_cast("double")
+    number = _digits(F.col("p.number")).try_cast("double")
     return (
         rules.select("rule_id", F.explode(pairs).alias("p"))
         .select("rule_id", "p.param", number.alias("literal"))
@@ -615,14 +633,18 @@ def boundary_coverage(df: DataFrame, literals: DataFrame) -> DataFrame:
 
     ``literals(rule_id, param, literal)`` names columns of ``df``. The columns are first reduced to counts per
     distinct value; boundaries are then placed among those counts by a running sum, so rows are never paired with
-    boundaries. A zero marks a branch that the data does not exercise.
+    boundaries. A zero marks a branch that the data does not exercise. Only numeric columns are counted, as decimals,
+    so whole numbers beyond 2^53 stay apart; a value that no decimal(38, 18) holds is left out.
     """
-    wanted = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("string", "array", "map", "struct")]
-    cells = F.array(*[F.struct(F.lit(c).alias("param"), F.col(f"`{c}`").cast("double").alias("value")) for c in wanted])
+    exact = "decimal(38,18)"
+    wanted = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    none = F.array().cast(f"array<struct<param: string, value: {exact}>>")
+    cells = F.concat(none, *[F.array(F.struct(F.lit(c).alias("param"), F.col(f"`{c}`").try_cast(exact).alias("value"))) for c in wanted])
     counts = (
         df.select(F.inline(cells)).where("value is not null").groupBy("param", "value").agg(F.count("*").alias("n"))
     )
-    marks = literals.select("param", "literal").distinct()
+    literals = literals.withColumn("__at", F.col("literal").try_cast(exact)).where("__at is not null")
+    marks = literals.select("param", F.col("__at").alias("literal")).distinct()
     totals = counts.groupBy("param").agg(F.sum("n").alias("total"))
 
     line = counts.select("param", "value", "n", F.lit(1).alias("is_value")).unionByName(
@@ -651,6 +673,6 @@ def boundary_coverage(df: DataFrame, literals: DataFrame) -> DataFrame:
         .withColumn("n_above", F.col("total") - F.col("n_below") - F.col("n_at"))
         .drop("total")
     )
-    return literals.join(placed, ["param", "literal"]).select(
+    return literals.join(placed.withColumnRenamed("literal", "__at"), ["param", "__at"]).select(
         "rule_id", "param", "literal", "n_below", "n_at_minus_1", "n_at", "n_at_plus_1", "n_above"
     )

@@ -108,7 +108,8 @@ def change_scope(
 ) -> DataFrame:
     """JN8: ids of units in changed files plus everything that transitively calls them.
 
-    Breadth-first: each round joins the newest ids with the edges and drops what was seen, so cycles end. Every
+    Breadth-first: each round joins the newest ids with the edges and drops what was seen, so cycles end. A caller
+    that is no unit is not walked through: edges of such callers are dropped before the first round. Every
     round is checkpointed, which cuts the growing plan and keeps finished rounds when an executor is lost. A
     frontier of counted, small size is broadcast and the edges stay where they are; a larger one is shuffled,
     with the callers of hubs split over tasks. Hubs are looked up once, when the first large frontier comes.
@@ -122,7 +123,8 @@ def change_scope(
     )
     size = frontier.count()
     seen = frontier
-    calls = edges.select("caller_id", "callee_id")
+    known = units.select(F.col("unit_id").alias("caller_id")).distinct()
+    calls = cut_lineage(edges.select("caller_id", "callee_id").join(known, "caller_id", "left_semi"))
     hubs = None
     rounds = 0
     while size:
@@ -142,8 +144,7 @@ def change_scope(
             # A long chain would otherwise make the union as wide as it is long.
             if rounds % _ROUNDS_PER_MERGE == 0:
                 seen = cut_lineage(seen)
-    # Callers outside the unit set drop out only here: they may still lead back to units.
-    return units.select("unit_id").distinct().join(seen, "unit_id", "left_semi")
+    return seen
 
 
 def lock_names(units: DataFrame) -> DataFrame:

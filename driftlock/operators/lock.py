@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from driftlock import vocab
 from driftlock.functions.canonical import as_text
-from driftlock.functions.scrub import scrub, string_columns
+from driftlock.functions.scrub import scrub, string_columns, text_columns
 from driftlock.operators.verify import IDENTICAL, is_changed, paired, schema_break, verify
 from driftlock.session import cut_lineage
 
@@ -154,7 +154,7 @@ def diagnose_flaky(
     for c in cols:
         old, new = F.col(f"`old_{c}`"), F.col(f"`new_{c}`")
         found.append(F.when(~old.eqNullSafe(new), _cause(old, new, run_a.schema[c].dataType)))
-    pairs = paired(run_a, run_b, all_keys, cols)
+    pairs = paired(run_a, run_b, all_keys, cols, guard=True)
     unequal = F.when(F.col("in_old") & F.col("in_new"), F.array_compact(F.array(*found))).otherwise(
         F.array(F.lit("randomness"))
     )
@@ -211,7 +211,7 @@ def lock_batch(
             one = target.capture()
         except AnalysisException as error:
             lines = [line.strip() for line in str(error).splitlines() if line.strip()]
-            results.append((i, target.name, False, 1, list(dict.fromkeys(lines))[: vocab.DIAGNOSTIC_LINES]))
+            results.append((i, target.name, False, 1, list(dict.fromkeys(lines))))
             continue
         entries = one if entries is None else entries.unionByName(one)
         results.append((i, target.name, True, 1, []))
@@ -246,7 +246,8 @@ def accept(
     """LK7: promote changed entries in scope to the baseline, scrubbed; everything else stays as it was.
 
     A scope is required: a part of the entry name (ignoring case) or all. Missing and added rows are never
-    promoted. The new baseline is one left join that picks the side per row; write it as the next version.
+    promoted. The new baseline is one left join that picks the side per row; write it as the next version. Keys that
+    repeat on either side make it fail, so a baseline never gains rows.
     """
     if not accept_all and not (name and name.strip()):
         raise ValueError("say which changes to accept: a part of the name, or all")
@@ -254,12 +255,12 @@ def accept(
     if errors:
         raise AnalysisException("; ".join(errors))
     cols = [c for c in baseline.columns if c not in keys]
-    now = scrub(current.select(*baseline.columns), string_columns(baseline, without=keys), None)
+    now = scrub(current.select(*baseline.columns), text_columns(baseline, without=keys), None)
     label = F.col(f"`{name_col or keys[0]}`").cast("string")
     in_scope = F.lit(True) if accept_all else F.contains(F.lower(label), F.lit(name.lower()))
     both = F.col("in_old") & F.col("in_new")
     pairs = (
-        paired(baseline, now, keys, cols, how="left")
+        paired(baseline, now, keys, cols, how="left", guard=True)
         .withColumn("__changed", both & is_changed(cols))
         .withColumn("__accept", F.col("__changed") & in_scope)
     )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftlock import vocab
 from driftlock.functions.bind import picked
 from driftlock.functions.canonical import as_text, comparable, comparable_columns
 
@@ -39,13 +38,13 @@ def schema_break(baseline_schema: T.StructType, current: DataFrame | T.StructTyp
             errors.append(f"error: locked column '{field.name}' is missing")
         elif types[field.name] != was:
             errors.append(f"error: locked column '{field.name}' changed type from {was} to {types[field.name]}")
-    return list(dict.fromkeys(errors))[: vocab.DIAGNOSTIC_LINES]
+    return list(dict.fromkeys(errors))
 
 
 # --- JN7 ------------------------------------------------------------------------------------------------------
 
 
-def _locked_columns(baseline: DataFrame, current: DataFrame, keys: list[str], cols: list[str] | None) -> list[str]:
+def locked_columns(baseline: DataFrame, current: DataFrame, keys: list[str], cols: list[str] | None) -> list[str]:
     cols = [c for c in (cols or baseline.columns) if c not in keys]
     locked = T.StructType([baseline.schema[c] for c in [*keys, *cols]])
     errors = schema_break(locked, current)
@@ -147,15 +146,17 @@ def paired(
     cols: list[str],
     how: str = "full",
     guard: bool = False,
+    guard_new: bool | None = None,
 ) -> DataFrame:
     """Rows of both sides next to each other: the keys, ``old_<col>``, ``new_<col>``, ``in_old``, ``in_new``.
 
     Keys are compared null-safe. Both sides are shuffled once on the keys; the verdict, the cell delta and the
     acceptance are all projections of this one join. ``guard`` makes the job fail on the second row of a key: a
-    row number over the shuffle and sort that the join needs anyway.
+    row number over the shuffle and sort that the join needs anyway. It is part of the join condition, so a count of
+    the result runs it too for all keys that meet. ``guard_new`` sets it apart for the current side, where a stream may repeat keys.
     """
     old = _side(baseline, "o", keys, cols, "old", guard)
-    new = _side(current, "n", keys, cols, "new", guard)
+    new = _side(current, "n", keys, cols, "new", guard if guard_new is None else guard_new)
     same = [
         old[f"__oj{i}"] == new[f"__nj{i}"]
         if _filler(baseline.schema[k].dataType) is not None
@@ -164,6 +165,8 @@ def paired(
     ]
     same_key = reduce(lambda a, b: a & b, [*same, old["__onulls"] == new["__nnulls"]])
     in_old, in_new = F.col("__o").isNotNull(), F.col("__n").isNotNull()
+    if guard:
+        same_key = same_key & old["__o"] & new["__n"]
     return old.join(new, same_key, how).select(
         *[
             F.when(in_old, _key("o", i, baseline.schema[k].dataType))
@@ -216,7 +219,7 @@ def verify(
             raise ValueError("a tolerance needs unique keys")
         verdicts = verify_bag(baseline, current, keys, cols).drop("n_old", "n_new")
     else:
-        cols = _locked_columns(baseline, current, keys, cols)
+        cols = locked_columns(baseline, current, keys, cols)
         if on_duplicates == "fail":
             examples = _repeated(baseline, current, keys).limit(5).collect()
             if examples:
@@ -250,7 +253,7 @@ def verify_bag(
     a key that owns a large share of the table never meets in one task. Only what did not cancel keeps its
     values for the second aggregation. ``changed_cols`` is filled when a key has one row on each side.
     """
-    cols = _locked_columns(baseline, current, keys, cols)
+    cols = locked_columns(baseline, current, keys, cols)
     net = _net_counts(baseline, current, [*keys, *cols])
     left_over = F.col("n_old") != F.col("n_new")
     aggregates = [
@@ -322,9 +325,9 @@ def cell_delta(
 ) -> DataFrame:
     """LK6: ``(keys…, column, old, new)`` for every changed cell of rows present on both sides.
 
-    One join; values turn into text only for cells that changed.
+    One join; values turn into text only for cells that changed. Keys that repeat make the job fail.
     """
-    cols = _locked_columns(baseline, current, keys, cols)
+    cols = locked_columns(baseline, current, keys, cols)
     tolerance = tolerance or {}
     cells = []
     for c in cols:
@@ -338,7 +341,7 @@ def cell_delta(
                 ),
             )
         )
-    rows = paired(baseline, current, keys, cols, how="inner").where(is_changed(cols, tolerance))
+    rows = paired(baseline, current, keys, cols, how="inner", guard=True).where(is_changed(cols, tolerance))
     return rows.select(
         *[F.col(f"`{k}`") for k in keys], F.explode(F.array_compact(F.array(*cells))).alias("cell")
     ).select(*[F.col(f"`{k}`") for k in keys], "cell.column", "cell.old", "cell.new")

@@ -11,6 +11,7 @@ from driftlock.operators import scores
 from driftlock.operators import verify as v
 from driftlock.plans.scope import verify_scoped
 from driftlock.queries.registry import derived, query, table, with_derived
+from driftlock.queries.text import _scrub_sql
 from driftlock.session import scratch_path
 from driftlock.sources import baseline as store
 from driftlock.streaming import gate
@@ -247,6 +248,28 @@ def baseline_versions(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
+@query(
+    "baseline_secrets_src9",
+    f"""SELECT count(*) AS total, count(*) AS identical, count(*) FILTER (WHERE redactions > 0) AS redacted
+        FROM ({_scrub_sql("documents", "doc_id")})""",
+)
+def baseline_secrets(spark, sf_dir):
+    """Texts with secrets inside structs, arrays and maps: stored scrubbed, and the same table still verifies."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.struct(F.array("text").alias("parts"), "lang").alias("body"),
+        F.create_map(F.lit("text"), "text").alias("fields"),
+    )
+    root = scratch_path(spark, "secrets")
+    store.write_baseline(docs, root, "docs", ["doc_id"])
+    verdicts = store.verify_baseline(docs, root, "docs")
+    locked = store.read_baseline(spark, root, "docs").select("doc_id", F.col("body.parts")[0].alias("a"), F.col("fields")["text"].alias("b"))
+    both = locked.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    changed = (F.col("a") == F.col("b")) & (F.col("a") != F.col("text"))
+    counts = v.verify_summary(verdicts).select("total", "identical")
+    return counts.crossJoin(both.agg(F.count_if(changed).alias("redacted")))
+
+
 @query(
     "accept_lk7",
     with_derived(

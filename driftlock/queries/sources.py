@@ -13,19 +13,25 @@ from driftlock.sources import corpus, reports
 
 @query(
     "scan_corpus_src1",
-    """SELECT lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes, count(DISTINCT source) > 0 AS has_files
-       FROM documents WHERE lang <> 'de' GROUP BY lang""",
+    """SELECT lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes, count(*) AS n_lines, sum(n) AS n_chars FROM (
+         SELECT lang, text, CAST(length(text) AS BIGINT) + 1 AS n FROM documents WHERE lang NOT IN ('de', 'es')) GROUP BY lang""",
 )
 def scan_corpus(spark, sf_dir):
-    """Documents written as a tree of text files and scanned; the German folder is called Bin and is left out."""
+    """Documents written as a tree of text files, a folder per language, and scanned.
+
+    The German folder is called Bin, and the Spanish one lies in a folder called obj: both are left out by the scan.
+    Contents come back whole: their characters are counted, and each document has ended with one line feed.
+    """
     root = scratch_path(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
-    folder = F.when(F.col("lang") == "de", "Bin").otherwise(F.col("lang"))
-    docs.select(folder.alias("lang"), "source", F.col("text").alias("value")).write.partitionBy("lang", "source").text(root)
+    for lang, folder in (("de", "Bin"), ("es", "obj/es"), ("en", "en"), ("fr", "fr")):
+        docs.where(F.col("lang") == lang).select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(f"{root}/{folder}")
     files = corpus.scan_corpus(spark, root, "*.txt")
-    lang = F.regexp_extract("path", "lang=([^/]*)/", 1)
-    found = files.where(~F.lower(lang).isin("bin"))
-    return found.groupBy(lang.alias("lang")).agg(F.sum("length").alias("n_bytes"), (F.count("*") > 0).alias("has_files"))
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("lang")).agg(
+        F.sum("length").alias("n_bytes"),
+        F.sum(F.size(F.split("content", "\n")) - 1).alias("n_lines"),
+        F.sum(F.length("content")).cast("long").alias("n_chars"),
+    )
 
 
 @query(

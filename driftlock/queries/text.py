@@ -78,10 +78,10 @@ def code_of_replies(spark, sf_dir):
     """
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
     e AS (SELECT doc_id, pos, length(line) AS n FROM l WHERE length(line) > 200),
-    firsts AS (SELECT doc_id, n, min(pos) AS pos FROM e GROUP BY doc_id, n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) <= 25),
+    firsts AS (SELECT doc_id, n, min(pos) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS rank FROM e GROUP BY doc_id, n),
     kept AS (SELECT doc_id, pos, regexp_replace(line, '\\s+$', '') AS line FROM l WHERE regexp_replace(line, '\\s+$', '') <> ''),
     tails AS (SELECT doc_id, line, pos FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) <= 30)
-    SELECT doc_id, string_agg('src/f' || CAST(n AS STRING) || '.cs(1,2): error CS0103: x', chr(10) ORDER BY pos) AS diagnostics,
+    SELECT doc_id, string_agg('src/f' || CAST(n AS STRING) || '.cs(1,2): error CS0103: x', chr(10) ORDER BY pos) FILTER (WHERE rank <= 25) AS diagnostics,
            string_agg('src/f' || CAST(n AS STRING) || '.cs', ',' ORDER BY pos) AS broken FROM firsts GROUP BY doc_id
     UNION ALL
     SELECT doc_id, string_agg(line, chr(10) ORDER BY pos), '' FROM tails WHERE doc_id NOT IN (SELECT doc_id FROM e) GROUP BY doc_id
@@ -101,7 +101,7 @@ def diagnostics(spark, sf_dir):
         "\n",
     )
     logs = table(spark, sf_dir, "documents").select("doc_id", log.alias("log"))
-    files = F.slice(broken_files(F.col("log")), 1, 25)
+    files = broken_files(F.col("log"))
     return logs.select(
         "doc_id",
         F.array_join(extract_diagnostics(F.col("log"), "error CS"), "\n").alias("diagnostics"),

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlock import vocab
-from driftlock.functions.scrub import scrub, string_columns
-from driftlock.operators.verify import fingerprint
+from driftlock.functions.scrub import refuse_secrets, scrub, string_columns, text_columns
+from driftlock.operators.verify import cell_delta, fingerprint, verify
 
 _MANIFEST = """
-    version int, format int, schema string, n_rows bigint, hash_xor bigint, hash_sum string
+    version int, format int, schema string, n_rows bigint, hash_xor bigint, hash_sum string, folder string,
+    keys array<string>, scrubbed array<string>
 """
 
 
@@ -50,9 +52,11 @@ def write_baseline(
 ) -> int:
     """SRC9: write the next version of a baseline, secrets scrubbed, and return its number.
 
-    Data goes into a folder of its own that must not exist yet, so a version that is being read is never
-    overwritten. The manifest follows the data and commits it: a version without a manifest does not exist. Its
-    counts come from the written files, not from a second run of the plan.
+    Data goes into a folder of its own, named anew for each attempt, so a version that is being read is never
+    overwritten and what a failed attempt left behind is in nobody's way. The manifest follows the data and commits
+    it: it names the folder, the keys and the scrubbed columns, and a version without a manifest does not exist. Its
+    counts come from the written files, not from a second run of the plan. Strings are scrubbed at any depth; a key
+    that holds a secret makes the write fail.
     """
     spark = df.sparkSession
     folder = _folder(root, name)
@@ -60,15 +64,20 @@ def write_baseline(
     number = version if version is not None else (done[-1] + 1 if done else 1)
     if number in done:
         raise ValueError(f"{name} already has a version {number}")
-    cols = string_columns(df, without=keys) if scrub_cols is None else scrub_cols
-    data = f"{folder}/data/version={number}"
-    scrub(df, cols, None).write.mode("errorifexists").parquet(data)
+    cols = text_columns(df, without=keys) if scrub_cols is None else scrub_cols
+    attempt = f"version={number}-{uuid.uuid4().hex}"
+    data = f"{folder}/data/{attempt}"
+    checked = df.withColumns({k: refuse_secrets(F.col(f"`{k}`"), k) for k in string_columns(df) if k in keys})
+    scrub(checked, cols, None).write.mode("errorifexists").parquet(data)
     digest = fingerprint(spark.read.parquet(data))
     digest.select(
         F.lit(number).alias("version"),
         F.lit(vocab.FORMAT_VERSION).alias("format"),
         F.lit(df.schema.json()).alias("schema"),
         "*",
+        F.lit(attempt).alias("folder"),
+        F.array(*[F.lit(k) for k in keys]).cast("array<string>").alias("keys"),
+        F.array(*[F.lit(c) for c in cols]).cast("array<string>").alias("scrubbed"),
     ).coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest/{number}")
     return number
 
@@ -85,12 +94,43 @@ def read_baseline(spark: SparkSession, root: str, name: str, version: int | None
     number = done[-1] if version is None else version
     if number not in done:
         raise FileNotFoundError(f"baseline {name} has no version {number}")
-    stamp = read_manifest(spark, root, name, number)["format"]
+    manifest = read_manifest(spark, root, name, number)
+    stamp = manifest["format"]
     if stamp > vocab.FORMAT_VERSION:
         warnings.warn(
             f"baseline {name} has format {stamp}, this code understands {vocab.FORMAT_VERSION}", stacklevel=2
         )
-    return spark.read.parquet(f"{folder}/data/version={number}")
+    return spark.read.parquet(f"{folder}/data/{manifest['folder'] or f'version={number}'}")
+
+
+def scrubbed_like(current: DataFrame, root: str, name: str, version: int | None = None) -> DataFrame:
+    """The current output with the columns scrubbed that were scrubbed when the baseline was written.
+
+    Only so can it be compared: else an unchanged row that holds a secret would look changed, and the difference
+    would show the secret.
+    """
+    spark = current.sparkSession
+    done = versions(spark, root, name)
+    manifest = read_manifest(spark, root, name, done[-1] if version is None else version)
+    return scrub(current, [c for c in manifest["scrubbed"] or [] if c in current.columns], None)
+
+
+def verify_baseline(current: DataFrame, root: str, name: str, version: int | None = None, **options) -> DataFrame:
+    """JN7 against a stored baseline: its keys, and both sides scrubbed alike. Options are those of ``verify``."""
+    spark = current.sparkSession
+    locked = read_baseline(spark, root, name, version)
+    done = versions(spark, root, name)
+    manifest = read_manifest(spark, root, name, done[-1] if version is None else version)
+    return verify(locked, scrubbed_like(current, root, name, version), manifest["keys"], **options)
+
+
+def baseline_cells(current: DataFrame, root: str, name: str, version: int | None = None, **options) -> DataFrame:
+    """LK6 against a stored baseline; scrubbed values only."""
+    spark = current.sparkSession
+    locked = read_baseline(spark, root, name, version)
+    done = versions(spark, root, name)
+    manifest = read_manifest(spark, root, name, done[-1] if version is None else version)
+    return cell_delta(locked, scrubbed_like(current, root, name, version), manifest["keys"], **options)
 
 
 def read_manifest(spark: SparkSession, root: str, name: str, version: int) -> dict:

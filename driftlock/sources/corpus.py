@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ def scan_corpus(
     """SRC1: ``files(path, content, length)`` of every file below ``root`` that matches the glob.
 
     A file is dropped when a segment of its path below the root is an excluded folder, ignoring case. The folder
-    test runs on the listed path before any content is decoded. Unreadable files are skipped.
+    test reads the listed path only, so files of excluded folders are never opened. Bytes that are no UTF-8 become
+    replacement characters. Unreadable files are skipped.
     """
     files = (
         spark.read.format("binaryFile")
@@ -34,10 +36,15 @@ def scan_corpus(
         .option("ignoreMissingFiles", "true")
         .load(root)
     )
-    base = "/" + re.sub(_SCHEME, "", root).strip("/")
+    base = "/" + unquote(re.sub(_SCHEME, "", root)).strip("/")
     path = F.regexp_replace("path", _SCHEME, "")
-    relative = F.when(path.startswith(base + "/"), F.substr(path, F.lit(len(base) + 2))).otherwise(path)
-    dropped = F.exists(path_segments(relative), lambda s: F.lower(s).isin([d.lower() for d in exclude_dirs]))
-    return files.where(~dropped).select(
-        path.alias("path"), F.decode("content", "UTF-8").alias("content"), "length"
+    def excluded(listed):
+        # Listed paths are encoded as URIs.
+        start = quote(base) + "/"
+        below = F.regexp_replace(listed, _SCHEME, "")
+        below = F.when(below.startswith(start), F.substr(below, F.lit(len(start) + 1))).otherwise(below)
+        return F.exists(path_segments(below), lambda s: F.lower(s).isin([d.lower() for d in exclude_dirs]))
+
+    return files.where(~excluded(F.col("_metadata.file_path"))).select(
+        path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "length"
     )

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftlock.operators.lookup import BROADCAST_ROWS
-from driftlock.operators.verify import ADDED, CHANGED, IDENTICAL, is_changed, paired
+from driftlock.operators.verify import ADDED, CHANGED, IDENTICAL, is_changed, locked_columns, paired
 
 
 def batch_verdicts(batch: DataFrame, baseline: DataFrame, keys: list[str], cols: list[str] | None = None) -> DataFrame:
-    """Verdicts of the rows that are there: JN7 without ``missing``, which a part of the data cannot tell."""
-    cols = [c for c in (cols or baseline.columns) if c not in keys]
-    return paired(baseline, batch, keys, cols, how="right").select(
+    """Verdicts of the rows that are there: JN7 without ``missing``, which a part of the data cannot tell.
+
+    A retyped or missing column is refused, and so is a baseline whose keys repeat; a stream may repeat keys.
+    """
+    cols = locked_columns(baseline, batch, keys, cols)
+    return paired(baseline, batch, keys, cols, how="right", guard=True, guard_new=False).select(
         *[F.col(f"`{k}`") for k in keys],
         F.when(~F.col("in_old"), ADDED)
         .when(is_changed(cols), CHANGED)
