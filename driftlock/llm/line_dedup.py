@@ -25,6 +25,8 @@ MIN_DOCS = 3
 SHARD_KEYS = 200_000
 # Requests for a shard are spread over so many copies of it, so a line in a third of all documents has as many readers.
 COPIES = 16
+# Documents per copy of a shard, about: more documents make more shards, so each gets a bounded part of the requests.
+COPY_DOCS = 50_000
 # Slots of a level for each key that is left.
 SPARE = 2.0
 
@@ -105,6 +107,8 @@ class Shard:
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(documents that hold the key, largest of them); 0 documents for a key that the shard doesn't hold."""
+        if not len(self.prints):
+            return np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
         at = self.perfect.number(h1, h2)
         known = at >= 0
         known[known] = self.prints[at[known]] == h2[known]
@@ -202,13 +206,21 @@ def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
+def build_index(
+    docs: DataFrame,
+    min_chars: int = MIN_CHARS,
+    min_docs: int = MIN_DOCS,
+    shard_keys: int = SHARD_KEYS,
+    copies: int = COPIES,
+    copy_docs: int = COPY_DOCS,
+) -> tuple[DataFrame, int]:
     """(one row per shard, number of shards) over the distinct hashes of lines that ``min_docs`` documents hold."""
     pairs = F.array_distinct(F.filter(F.arrays_zip("h1", "h2"), lambda p: p["h1"].isNotNull()))
     lines = _hashed(docs, min_chars).select("id", F.explode(pairs).alias("p")).select("id", "p.h1", "p.h2")
     counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("owner"))
     frequent = stored(counted.where(F.col("n") >= min_docs), "frequent-lines")
-    shards = -(-max(1, frequent.count()) // shard_keys)
+    # Enough shards for the keys to fit, and for the documents whose requests a copy of a shard gets.
+    shards = max(1, -(-frequent.count() // shard_keys), -(-docs.count() // (copies * copy_docs)))
     # The same unsigned remainder as the requests take: the upper half first, then the carry of 2^64.
     shard = F.pmod(F.pmod(F.col("h1"), F.lit(shards)) + F.when(F.col("h1") < 0, F.lit(2**64 % shards)).otherwise(0), F.lit(shards))
     index = frequent.withColumn("shard", shard.cast("int")).groupBy("shard").applyInPandas(_build, INDEX)
@@ -219,7 +231,7 @@ def dropped_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, copies: int = COPIES
 ) -> DataFrame:
     """(id, text_hash, places): the places, from 0, of the lines that a document loses."""
-    index, shards = build_index(docs, min_chars, min_docs, shard_keys)
+    index, shards = build_index(docs, min_chars, min_docs, shard_keys, copies)
     # pmod by a shard without any frequent line: an empty row stands in, so that each request finds a shard.
     spark = docs.sparkSession
     empty = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
