@@ -162,12 +162,23 @@ def scoped_locks(locks: DataFrame, units: DataFrame, affected: DataFrame) -> Dat
 
 
 def api_usage(uses: DataFrame) -> DataFrame:
-    """AG7: per type the number of uses, the assembly, and the first place in scan order ``seq``."""
-    first = F.min(F.struct("seq", "assembly", "file", "line"))
-    return (
-        uses.groupBy("type_name")
-        .agg(F.count("*").alias("n_uses"), first.alias("first"))
-        .select("type_name", "first.assembly", "n_uses", "first.file", "first.line")
+    """AG7: per type the number of uses, the assembly, and the first place in scan order ``seq``.
+
+    Counts and first places are numbers, so every use is aggregated by hash; only the uses at a first place are
+    looked at again for their texts.
+    """
+    counts = uses.groupBy("type_name").agg(F.count("*").alias("n_uses"), F.min("seq").alias("seq"))
+    return _with_first(uses, counts, "seq")
+
+
+def _with_first(rows: DataFrame, counts: DataFrame, order: str) -> DataFrame:
+    """The counts per type with the place of the row that comes first."""
+    at = counts.select(F.col("type_name").alias("__type"), F.col(order).alias("__first"))
+    same = F.col("type_name").eqNullSafe(F.col("__type")) & F.col(order).eqNullSafe(F.col("__first"))
+    first = F.min(F.struct("assembly", "file", "line")).alias("first")
+    places = rows.select("type_name", order, "assembly", "file", "line").join(at, same).groupBy("__type").agg(first)
+    return counts.join(places, F.col("type_name").eqNullSafe(F.col("__type"))).select(
+        "type_name", "first.assembly", "n_uses", "first.file", "first.line"
     )
 
 
@@ -181,10 +192,6 @@ def merge_usage(parts: DataFrame) -> DataFrame:
     )
 
 
-def usage_order() -> list[Column]:
-    return [F.desc("n_uses"), F.col("type_name")]
-
-
 def missing_in_target(
     uses: DataFrame, target_catalog: DataFrame, prefixes: list[str] = vocab.FRAMEWORK_PREFIXES
 ) -> DataFrame:
@@ -208,8 +215,10 @@ def unknown_ids(df: DataFrame, catalog: DataFrame, id_col: str, group_col: str,
 
     A group without any catalog entry is not judged. Blank ids are unknown.
     """
-    ids = df.where(~F.col(group_col).isin(exempt)).select(group_col, id_col).distinct()
-    judged = ids.join(catalog.select(group_col).distinct(), group_col, "left_semi")
+    # Counted, because the optimizer lifts a distinct above the joins, and all rows would meet on a few groups.
+    ids = df.where(~F.col(group_col).isin(exempt)).groupBy(group_col, id_col).agg(F.count("*").alias("__n"))
+    groups = catalog.where(F.col(group_col).isNotNull()).select(group_col).distinct()
+    judged = lookup_join(ids, groups, [group_col], "inner").drop("__n")
     return judged.join(catalog.select(group_col, id_col).distinct(), [group_col, id_col], "left_anti")
 
 

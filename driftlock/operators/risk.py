@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftlock import vocab
 from driftlock.functions.bind import let
 from driftlock.functions.names import base_name, simple_name
+from driftlock.operators.lookup import lookup_join
 from driftlock.operators.tagging import (
     UNIT_TEXTS,
     classify_seamability,
@@ -207,12 +208,16 @@ def readiness_summary(scored: DataFrame, threshold: float = vocab.HIGH_RISK_THRE
     )
 
 
-def landmine_counts(units: DataFrame) -> DataFrame:
-    """AG2: units per landmine, ignoring case; the spelling is the alphabetically first one seen."""
+def landmine_counts(units: DataFrame, order: str | None = None) -> DataFrame:
+    """AG2: units per landmine, ignoring case.
+
+    The spelling is that of the first unit by the column ``order``; without one, the alphabetically first.
+    """
+    place = F.col(order) if order else F.lit(0)
     return (
-        units.select(F.explode("landmines").alias("landmine"))
+        units.select(place.alias("__place"), F.posexplode("landmines").alias("__pos", "landmine"))
         .groupBy(F.lower("landmine").alias("__key"))
-        .agg(F.min("landmine").alias("landmine"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("__place", (F.col("__pos") if order else F.lit(0)).alias("pos"), "landmine"))["landmine"].alias("landmine"), F.count("*").alias("n"))
         .select("landmine", "n")
     )
 
@@ -232,9 +237,7 @@ def overlay_scores(rows: DataFrame, scores: DataFrame, path: str = "path") -> Da
     ``scores(file, score)`` is reduced to one row per name first, so the join cannot multiply rows.
     """
     by_name = scores.groupBy(F.lower(base_name(F.col("file"))).alias("__file")).agg(F.max("score").alias("score"))
-    return (
-        rows.withColumn("__file", F.lower(base_name(F.col(path)))).join(by_name, "__file", "left").drop("__file")
-    )
+    return lookup_join(rows.withColumn("__file", F.lower(base_name(F.col(path)))), by_name, ["__file"]).drop("__file")
 
 
 def file_rollup(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def mutation_scores(mutants: DataFrame) -> DataFrame:
     """AG4: counts and score per file, and overall as the row whose ``file`` is null.
 
     Statuses other than the four are ignored, and files left without any are omitted. The roll-up runs over the
-    counts per file, not over the mutants. Report order is ``mutation_order()``.
+    counts per file, not over the mutants. A report lists the overall row first, then files by the number tested.
     """
     counts = [F.count_if(F.col("status") == s).alias(n) for n, s in _STATUSES.items()]
     sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _STATUSES]
@@ -36,10 +36,6 @@ def mutation_scores(mutants: DataFrame) -> DataFrame:
     )
 
 
-def mutation_order() -> list[Column]:
-    return [F.desc("is_overall"), F.desc("tested"), F.col("file")]
-
-
 # --- AG5 ------------------------------------------------------------------------------------------------------
 
 

@@ -53,12 +53,6 @@ def locked_columns(baseline: DataFrame, current: DataFrame, keys: list[str], col
     return cols
 
 
-def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once, with their row counts. Only the keys are shuffled, pre-counted per task."""
-    counts = df.groupBy(*comparable_columns(df, keys)).agg(F.count("*").alias("duplicate_rows"))
-    return counts.where(F.col("duplicate_rows") > 1)
-
-
 def _repeated(baseline: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that repeat on either side, found in one job over the key columns of both."""
     return (

@@ -17,8 +17,8 @@ def rules(spark, sf_dir, extra: list[tuple[str, str]] = ()):
         *[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in [*_PARAMS, *extra]]
     )
     few = derived(spark, sf_dir, "rules_part").select("rule_id", params.alias("params"), "rule_text")
-    # Rules are short and expanding one takes long, so they are spread over all cores first.
-    return few.repartition(spark.sparkContext.defaultParallelism)
+    # Rules are short and expanding one takes long, so they are spread first, over as many tasks as the session shuffles to.
+    return few.repartition("rule_id")
 
 
 def _null_text(col):

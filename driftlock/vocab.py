@@ -101,7 +101,6 @@ SAMPLED_ROWS = 16
 SYNTH_STRING_LENGTH = 512
 ZIP_ROWS = 3
 DIAGNOSTIC_LINES = 25
-DIAGNOSTIC_LINES_PER_FILE = 10
 TAIL_LINES = 30
 FLAKY_CAUSES = 4
 
