@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -209,15 +210,55 @@ def lock_batch(
             continue
         try:
             one = target.capture()
-        except AnalysisException as error:
-            lines = [line.strip() for line in str(error).splitlines() if line.strip()]
-            results.append((i, target.name, False, 1, list(dict.fromkeys(lines))))
+        except Exception as error:  # whatever a target raises while it is planned is its own
+            results.append((i, target.name, False, 1, _diagnostics(error)))
             continue
         entries = one if entries is None else entries.unionByName(one)
         results.append((i, target.name, True, 1, []))
     return entries, spark.createDataFrame(results, _RESULTS)
 
 
+def lock_batch_to(
+    spark: SparkSession, targets: list[Target], path: str, max_targets: int | None = None
+) -> DataFrame:
+    """LK12 at run time: write the entries of all targets below ``path`` and report on each.
+
+    One job writes them all. If it fails, the batch is halved and each half is tried by itself, until the target that
+    fails stands alone and is reported; the rest completes. A failed job commits nothing, so no entry is written
+    twice. ``attempts`` counts the jobs a target took part in.
+    """
+    limit = len(targets) if max_targets is None else max_targets
+    results = {i: (False, 0, ["not processed"]) for i in range(limit, len(targets))}
+    planned: dict[int, DataFrame] = {}
+    for i, target in enumerate(targets[:limit]):
+        try:
+            planned[i] = target.capture()
+        except Exception as error:  # whatever a target raises while it is planned is its own
+            results[i] = (False, 1, _diagnostics(error))
+
+    def attempt(part: list[int], tried: int) -> None:
+        if not part:
+            return
+        try:
+            reduce(DataFrame.unionByName, [planned[i] for i in part]).write.mode("append").parquet(path)
+            results.update({i: (True, tried, []) for i in part})
+        except Exception as error:
+            if len(part) == 1:
+                results[part[0]] = (False, tried, _diagnostics(error))
+                return
+            attempt(part[: len(part) // 2], tried + 1)
+            attempt(part[len(part) // 2 :], tried + 1)
+
+    attempt(sorted(planned), 1)
+    rows = [(i, targets[i].name, *results[i]) for i in sorted(results)]
+    return spark.createDataFrame(rows, _RESULTS)
+
+
+def _diagnostics(error: Exception) -> list[str]:
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+    return list(dict.fromkeys(line for line in lines if not line.startswith("at ")))
+
+
 # --- LK7 ------------------------------------------------------------------------------------------------------
 
 

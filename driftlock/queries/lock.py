@@ -445,6 +445,31 @@ def lock_batch(spark, sf_dir):
     )
 
 
+@query(
+    "lock_batch_runtime_lk12",
+    """SELECT 0 AS "position", 'orders' AS unit, TRUE AS success, (SELECT count(*) FROM orders) AS n_entries
+       UNION ALL SELECT 1, 'ratio', FALSE, 0
+       UNION ALL SELECT 2, 'customers', TRUE, (SELECT count(*) FROM customer)""",
+)
+def lock_batch_runtime(spark, sf_dir):
+    """Three targets of one job; one divides by zero while it runs, the others are written all the same."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+
+    def simple(df, unit, key, outcome):
+        return locking.capture(df.withColumn("unit", F.lit(unit)), lambda d: d, "unit", key, [key], [outcome])
+
+    wrong = orders.withColumn("ratio", F.expr("o_totalprice / (o_orderkey - o_orderkey)"))
+    targets = [
+        locking.Target("orders", lambda: simple(orders, "orders", "o_orderkey", "o_totalprice")),
+        locking.Target("ratio", lambda: simple(wrong, "ratio", "o_orderkey", "ratio")),
+        locking.Target("customers", lambda: simple(customer, "customers", "c_custkey", "c_acctbal")),
+    ]
+    path = scratch_path(spark, "batch")
+    results = locking.lock_batch_to(spark, targets, path)
+    counts = spark.read.parquet(path).groupBy(F.col("unit_id").alias("unit")).agg(F.count("*").alias("n_entries"))
+    return results.join(counts, "unit", "left").fillna(0, ["n_entries"]).select("position", "unit", "success", "n_entries")
+
+
 # --- prove ----------------------------------------------------------------------------------------------------
 
 _ORDER_BOUNDS = {"o_totalprice": [0.0], "o_orderstatus": ["F"]}
