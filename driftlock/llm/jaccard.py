@@ -8,9 +8,9 @@ frequent ones as pairs, so a token that a third of all documents hold never make
 
 Classes only steer cost. Any set of frequent tokens gives the same links, so that set may be bounded and broadcast.
 
-Buckets are not expanded into pairs. Members are first verified against one leader of their bucket, twice with other
-leaders; what is then in one component needs no more. Pairs across components are left, and of these only the ones
-that share as many prefix tokens as a similarity of the threshold implies.
+Buckets are not expanded into pairs. Members are first verified against a leader of their bucket; what is then in one
+component needs no more. Pairs across components are left, and of these only the ones that share as many tokens as a
+similarity of the threshold implies.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlock.llm.common import components, stored
+from driftlock.llm.common import components, shared_keys, stored
 from driftlock.llm.shingles import mixed, shingle_sets
 from driftlock.operators.lookup import lookup_join
 
@@ -70,43 +70,45 @@ def _pair_signatures(tokens: np.ndarray, e: int, n_rare: int, size_class: int, p
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(signatures of a sorted token set, length of its prefix or -1 if the prefix holds frequent tokens)."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """(signatures of a sorted token set, how many of them are single rare tokens, number of its rare tokens).
+
+    Single tokens come first, in the global order, so the place of a signature among them is its place in the set.
+    """
     n = len(tokens)
     e = missing(n, percent)
     at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
     often = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
     rare = tokens[~often]
     if len(rare) > e:
-        return rare[: e + 1], e + 1
+        return rare[: e + 1], e + 1, len(rare)
     pairs = [_pair_signatures(tokens[often], e, len(rare), c, percent) for c in size_classes(n, percent)]
-    return np.concatenate([rare, *pairs]), -1
+    return np.concatenate([rare, *pairs]), len(rare), len(rare)
 
 
-def _count_tokens(percent: int, words: int):
+def _count_tokens(words: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text"), words)
-            heads = [s[: 2 * missing(len(s), percent) + 1] for s in sets]
-            tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *heads]), return_counts=True)
+            tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
             tokens, n = tokens[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
 
     return count
 
 
-def frequent_tokens(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, frequent: int = FREQUENT, told: int = TOLD) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, words: int = WORDS, frequent: int = FREQUENT, told: int = TOLD) -> np.ndarray:
     """The frequent tokens, sorted.
 
     Every document is read. Tokens are summed per Arrow batch and those found once there are left out, so what is
     shuffled is small; a token spread thinner than that over all batches may stay rare, which costs time, never links.
     """
-    counted = docs.select("text").mapInArrow(_count_tokens(percent, words), "token bigint, n bigint")
+    counted = docs.select("text").mapInArrow(_count_tokens(words), "token bigint, n bigint")
     top = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent).orderBy(F.desc("n"), "token").limit(told)
     return np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
 
-SETS = "id bigint, text_hash bigint, n int, s1 bigint, s2 bigint, prefix int, sigs array<bigint>"
+SETS = "id bigint, text_hash bigint, n int, s1 bigint, s2 bigint, singles int, rare int, sigs array<bigint>"
 
 
 def _describe(shared, percent: int, words: int):
@@ -114,18 +116,18 @@ def _describe(shared, percent: int, words: int):
         frequent = shared.value
         for batch in batches:
             sets = shingle_sets(batch.column("text"), words)
-            made = [signatures(s, frequent, percent) if len(s) else (s, 0) for s in sets]
+            made = [signatures(s, frequent, percent) if len(s) else (s, 0, 0) for s in sets]
             s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             s2 = np.array([np.bitwise_xor.reduce(mixed(s)) if len(s) else 0 for s in sets], np.uint64)
             id_ = batch.column("doc_id").cast(pa.int64())
             none = id_.is_null().to_numpy(zero_copy_only=False)
             ids = np.where(none, (s1 >> np.uint64(2)).astype(np.int64) + NO_ID, id_.fill_null(0).to_numpy())
-            offsets = np.concatenate([[0], np.cumsum([len(g) for g, _ in made])]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.uint64), *[g for g, _ in made]]).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(g) for g, _, _ in made])]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *[g for g, _, _ in made]]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([p for _, p in made], pa.int32()),
+                    pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *[pa.array([m[k] for m in made], pa.int32()) for k in (1, 2)],
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
                 names=[c.split()[0] for c in SETS.split(", ")],
@@ -135,24 +137,9 @@ def _describe(shared, percent: int, words: int):
 
 
 BUCKETS = "sig bigint, id bigint, shape bigint"
-
-
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature: those of signatures that stand alone go. One row is held back between batches."""
-    held, held_emitted = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.concat_batches([held, batch])
-        sig = batch.column("sig").to_numpy()
-        same = np.r_[False, sig[1:] == sig[:-1]]
-        keep = same | np.r_[same[1:], False]
-        if held is not None and held_emitted:
-            keep[0] = False
-        last = keep[-1] or (held_emitted and len(sig) == 1)
-        yield batch.filter(pa.array(keep))
-        held, held_emitted = batch.slice(batch.num_rows - 1), bool(last)
+# A shape holds the size of the set, then the place of a single token or the number of rare tokens, then whether the
+# prefix goes on to frequent tokens, then whether this is a pair of them.
+_SIZE, _PLACE = 34, 2
 
 
 class Described:
@@ -161,22 +148,30 @@ class Described:
     def __init__(self, docs: DataFrame, percent: int, words: int, frequent: int, told: int):
         spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        often = spark.sparkContext.broadcast(frequent_tokens(self.docs, percent, words, frequent, told))
+        often = spark.sparkContext.broadcast(frequent_tokens(self.docs, words, frequent, told))
         hashed = self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
         self.sets = stored(hashed.mapInArrow(_describe(often, percent, words), SETS), "sets")
         # Equal sets are one: copies collapse before anything is compared.
         self.groups = (
             self.sets.where("n > 0")
             .groupBy("s1", "s2")
-            .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sigs").alias("sigs"))
+            .agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "singles", "rare", "sigs")])
+        )
+        pair = F.col("pos") >= F.col("singles")
+        shape = F.shiftleft(F.col("n").cast("long"), _SIZE) + F.shiftleft(F.when(pair, F.col("rare")).otherwise(F.col("pos")).cast("long"), _PLACE)
+        deep = F.col("rare") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
+        rows = self.groups.select("id", "n", "singles", "rare", F.posexplode("sigs").alias("pos", "sig")).select(
+            "sig", "id", (shape + deep.cast("long") * 2 + pair.cast("long")).alias("shape")
+        )
+        met = stored(rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(shared_keys, BUCKETS), "buckets")
+        self.buckets = met.select(
+            "sig",
+            "id",
+            F.shiftright("shape", _SIZE).alias("n"),
+            F.shiftright("shape", _PLACE).bitwiseAND(F.lit(2 ** (_SIZE - _PLACE) - 1)).alias("place"),
+            (F.shiftright("shape", 1) % 2 == 1).alias("deep"),
+            (F.col("shape") % 2 == 1).alias("pair"),
         )
-        # The length of a prefix follows from the size of the set, unless it holds frequent tokens: one number has both.
-        shape = F.col("n").cast("long") * 2 + (F.col("prefix") < 0).cast("long")
-        rows = self.groups.select(F.explode("sigs").alias("sig"), "id", shape.alias("shape"))
-        met = stored(rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_only, BUCKETS), "buckets")
-        n = F.expr("shape div 2")
-        prefix = F.when(F.col("shape") % 2 == 1, -1).otherwise(n - F.ceil(percent * n / 100) + 1)
-        self.buckets = met.select("sig", "id", n.alias("n"), prefix.alias("prefix"))
 
 
 def _similar(percent: int):
@@ -251,49 +246,88 @@ def _current(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lookup_join(rows, labels, ["id"]).withColumn("component", F.coalesce("component", "id"))
 
 
-def _leads(buckets: DataFrame, labels: DataFrame | None, percent: int, turn: int) -> DataFrame:
-    """Each id with the leader it shares most buckets with, over buckets that hold several components.
+def _needed(percent: int) -> Column:
+    """The overlap that two sets of sizes ``n`` and ``n_b`` need."""
+    return F.ceil(F.lit(percent) * (F.col("n") + F.col("n_b")) / F.lit(100 + percent))
+
+
+def _may_meet(percent: int) -> Column:
+    """Whether a row of a bucket and another may stand for a link.
 
-    A bucket is led by the id that comes first by a hash which changes with every turn; only ids of a fitting size
-    and of another component follow.
+    Sizes must fit and components differ. What shares a rare token is found by that token as well, so for a pair of
+    frequent tokens the sets may be taken to share frequent tokens only, and must have enough of them.
     """
-    rows = _current(buckets, labels)
-    order = F.xxhash64("id", F.lit(turn))
-    first = rows.groupBy("sig").agg(
-        F.min(F.struct(order.alias("o"), F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))).alias("l")
-    )
-    near = rows.join(first, "sig").select("sig", "id", "n", "component", "l.lead", "l.lead_n", "l.lead_component")
-    fits = (F.col("component") != F.col("lead_component")) & (
-        F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
+    sizes = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
+    frequent = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= _needed(percent)
+    return (F.col("component") != F.col("component_b")) & sizes & (~F.col("pair") | frequent)
+
+
+def _counted(met: DataFrame, percent: int) -> DataFrame:
+    """(id, id_b, c) of the pairs of rows that share enough.
+
+    All common tokens up to the last common single one are counted; behind it each set has only so many left. Beyond
+    the prefix that ends first its set has only so many left; the prefix of a deep set ends after all rare tokens.
+    """
+    single = ~F.col("pair")
+
+    def rest(n: str, deep: str) -> Column:
+        return F.when(F.col(deep), 0).otherwise(F.ceil(F.lit(percent) * F.col(n) / F.lit(100)) - 1)
+
+    counted = met.groupBy("id", "id_b", "n", "n_b", "deep", "deep_b").agg(
+        F.sum(F.when(single, F.col("times")).otherwise(0)).alias("c"),
+        F.max("pair").alias("pair"),
+        F.max(F.when(single, F.col("place"))).alias("last"),
+        F.max(F.when(single, F.col("place_b"))).alias("last_b"),
     )
-    shared = near.where(fits).groupBy("id", "lead").agg(F.count("*").alias("c"))
-    return shared.groupBy("id").agg(F.max(F.struct("c", "lead")).alias("m")).select(F.col("id").alias("a"), F.col("m.lead").alias("b"))
+    beyond = F.when(~(F.col("deep") & F.col("deep_b")), F.greatest(rest("n", "deep"), rest("n_b", "deep_b")))
+    left = F.least(F.col("n") - 1 - F.col("last"), F.col("n_b") - 1 - F.col("last_b"), beyond)
+    return counted.where(F.col("pair") | (F.col("c") + left >= _needed(percent)))
+
+
+def _leads(buckets: DataFrame, labels: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """Each id with the leader it shares most with, over buckets that hold several components.
+
+    A bucket of a pair of frequent tokens is led by the id with the fewest rare tokens, which is the most central;
+    other buckets by the id that comes first by a hash. The hash changes with every turn.
+    """
+    own = F.struct(
+        F.when(F.col("pair"), F.col("place")).otherwise(0).alias("rare"), F.xxhash64("id", F.lit(turn)).alias("o"),
+        F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"),
+        F.col("deep").alias("deep_b"),
+    )
+    led = _current(buckets, labels).withColumn("lead", F.min(own).over(Window.partitionBy("sig")))
+    theirs = [f"lead.{c}_b" for c in ("id", "n", "place", "component", "deep")]
+    met = led.select("id", "n", "place", "pair", "deep", "component", F.lit(1).alias("times"), *theirs)
+    shared = _counted(met.where(_may_meet(percent)), percent)
+    best = F.max_by("id_b", F.struct("c", "id_b"))
+    return shared.groupBy("id").agg(best.alias("b")).select(F.col("id").alias("a"), "b")
 
 
 def _across(buckets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """All pairs of different components that share buckets, less those that share too few prefix tokens.
+    """All pairs of different components that share buckets and enough tokens.
 
-    Tokens up to the end of the earlier prefix are in both prefixes if they are common, and the rest of that document
-    is at most the longer remainder of the two, so a linked pair shares at least the overlap it needs less that.
+    Buckets with the same members, of which similar sets have many, are joined as one: 128 bits over the members name
+    it, and it carries how many buckets it stands for and the last place of each member in them.
     """
-    rows = _current(buckets, labels)
-    mixed_ = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rows = rows.join(mixed_.select("sig"), "sig")
-    other = rows.select(*[F.col(c).alias(f"{c}_b") if c != "sig" else F.col(c) for c in rows.columns])
-    pairs = rows.join(other, "sig").where(
-        (F.col("id") < F.col("id_b"))
-        & (F.col("component") != F.col("component_b"))
-        & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
+    whole = Window.partitionBy("sig")
+    rows = _current(buckets, labels).withColumns(
+        {
+            "lo": F.min("component").over(whole),
+            "hi": F.max("component").over(whole),
+            "m1": F.sum(F.xxhash64("id").cast("decimal(38,0)")).over(whole),
+            "m2": F.bit_xor(F.xxhash64(F.lit(7), "id")).over(whole),
+        }
     )
-    counted = pairs.groupBy("id", "id_b", "n", "n_b", "prefix", "prefix_b").agg(F.count("*").alias("c"))
-    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("n_b")) / F.lit(100 + percent))
-    rest = F.greatest(F.col("n") - F.col("prefix"), F.col("n_b") - F.col("prefix_b"))
-    enough = (F.col("prefix") < 0) | (F.col("prefix_b") < 0) | (F.col("c") >= overlap - rest)
-    return counted.where(enough).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    own = ["id", "n", "deep", "component"]
+    rows = rows.where("lo < hi").groupBy("m1", "m2", "pair", *own).agg(F.max("place").alias("place"), F.count("*").alias("times"))
+    rows = stored(rows, "mixed")
+    other = rows.select("m1", "m2", "pair", *[F.col(c).alias(f"{c}_b") for c in [*own, "place"]])
+    met = rows.join(other, ["m1", "m2", "pair"]).where((F.col("id") < F.col("id_b")) & _may_meet(percent))
+    return _counted(met, percent).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
 def link_classes(
-    docs: DataFrame, percent: int = PERCENT, words: int = WORDS, frequent: int = FREQUENT, told: int = TOLD, turns: int = 2
+    docs: DataFrame, percent: int = PERCENT, words: int = WORDS, frequent: int = FREQUENT, told: int = TOLD, turns: int = 1
 ) -> DataFrame:
     """(id, text_hash, n_shingles, s1, s2, component) for each row of ``docs``.
 
