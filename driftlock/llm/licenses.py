@@ -1,15 +1,17 @@
 """License scans by conditional compression.
 
 A block of text that says little beyond a license template compresses to almost nothing once the template is the
-dictionary. Blocks are the sentences from a trigger word on, cut to the number of sentences of a template. Each block
-is compressed alone and with every template of fitting length as a raw dictionary; templates are ranked by how much
-smaller it gets, and the best are confirmed word by word: a difference in a word that tells licenses apart refutes a
-template, other differences are reported. Texts are read where they are; nothing is shuffled.
+dictionary. Blocks are made of words, wherever their lines end: from a trigger word on, the words that a template has
+before and after its own trigger, and as many more as may differ, with comment marks left out. Each block is compared
+with every template word by word, and what is left is compressed alone and with the template as a raw dictionary. A
+difference in a word that tells licenses apart refutes a template, other differences are reported; of the templates left
+the one that explains most words is named. Texts are read where they are; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -65,24 +67,22 @@ LEVEL = 3
 # Least share of its own compressed size that a block must save, and words in which it may differ, per hundred.
 LEAST_SAVED = 35
 MOST_DIFFERENT = 20
-# Templates of the ranking that are compared word by word.
-CONFIRMED = 4
 
-_TRIGGER = re.compile("|".join(TRIGGERS), re.I)
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?![ \t\n]|$)[^.!?\n]*)*[.!?]?")
+_TRIGGER = re.compile("|".join(t.replace(" ", r"\s+") for t in TRIGGERS), re.I)
+_MAYBE = re.compile("|".join(t.split()[0] for t in TRIGGERS), re.I)
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+# Marks of comments at both ends of a line, which are no part of the text.
+_COMMENT = re.compile(
+    r"^[ \t]*(?:<!--|\(\*|[/*#;%!>|~'\-]+|\"\"\"|(?:dnl|rem|REM)\b)[ \t]*|[ \t]*(?:-->|\*+[/)]|[*#|]+)[ \t\r]*$", re.M
+)
+# What parts the words of a declaration from words around it that are not its own.
+_BREAK = re.compile(r"[\r\n]|[.!?:;][\"')\]]*(?=\s|$)")
+_CLOSING = re.compile(r"[\"')\]]*[.!?:;]?")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text; lines end sentences, and so do marks before white space."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        while a < b and text[a].isspace():
-            a += 1
-        if a < b:
-            out.append((a, b))
-    return out
+def without_comments(text: str) -> str:
+    """The text with spaces for its comment marks, so places stay."""
+    return _COMMENT.sub(lambda m: " " * len(m.group()), text)
 
 
 def normal(text: str) -> str:
@@ -97,22 +97,39 @@ def words(text: str) -> list[str]:
 class Template:
     name: str
     text: str
-    units: int
-    # Sentences before the first one with a trigger.
-    lead: int
     words: tuple[str, ...]
+    different: frozenset[str]
+    # Words at which a trigger starts, and words in which a block may differ.
+    triggers: tuple[int, ...]
+    allowed: int
 
 
 def templates(known: dict[str, list[str]]) -> list[Template]:
     out = []
     for name, texts in known.items():
         for text in texts:
-            spans = sentences(text)
-            lead = next((i for i, (a, b) in enumerate(spans) if _TRIGGER.search(text[a:b])), 0)
-            out.append(Template(name, normal(text), len(spans), lead, tuple(words(text))))
+            own = words(text)
+            starts = [m.start() for m in _WORD.finditer(text)]
+            at = sorted({bisect_right(starts, m.start()) - 1 for m in _TRIGGER.finditer(text)})
+            out.append(Template(name, normal(text), tuple(own), frozenset(own), tuple(at or [0]), MOST_DIFFERENT * len(own) // 100))
     return out
 
 
+class Text:
+    """The words of a text, with places, and which of them have a break before them."""
+
+    def __init__(self, text: str):
+        self.text = without_comments(text)
+        places = [m.span() for m in _WORD.finditer(self.text)]
+        self.starts = [a for a, _ in places]
+        self.ends = [b for _, b in places]
+        self.words = [self.text[a:b].lower() for a, b in places]
+
+    def broken(self, i: int) -> bool:
+        """Whether a line or a sentence ends between word i - 1 and word i."""
+        return i <= 0 or i >= len(self.words) or _BREAK.search(self.text, self.ends[i - 1], self.starts[i] + 1) is not None
+
+
 class Scanner:
     def __init__(self, known: dict[str, list[str]]):
         self.templates = templates(known)
@@ -129,53 +146,69 @@ class Scanner:
         ]
         self.judge = lru_cache(maxsize=4096)(self._judge)
 
-    def _judge(self, block: str, number: int) -> tuple[int, int, tuple[str, ...]] | None:
-        """(share saved, words that differ, those words) if the template explains the block, else None."""
-        template = self.templates[number]
-        raw = block.encode()
-        if not len(template.text) / 2 <= len(raw) <= len(template.text) * 2 + 40:
-            return None
+    def _judge(self, block: str, number: int) -> int:
+        """The share that a block saves with the template."""
+        raw = block.encode(errors="replace")
         size = len(self.alone.compress(raw))
-        saved = 100 * (size - len(self.with_[number].compress(raw))) // size
-        return (saved, number, ()) if saved >= LEAST_SAVED else None
+        return 100 * (size - len(self.with_[number].compress(raw))) // size
+
+    def confirm(self, text: Text, first: int, number: int) -> tuple[int, int, int, int, list[str]] | None:
+        """(first word, end word, words that agree, words that differ, the differences) of the block that lies about the
+        word ``first``, or None if a deciding word differs or too many do.
 
-    def confirm(self, block: str, number: int) -> tuple[int, list[str]] | None:
-        """(words that differ, the differences), or None if a deciding word differs or too many do."""
-        mine, theirs = words(block), list(self.templates[number].words)
+        Words at the ends that are not the template's belong to the block as far as its line and sentence go.
+        """
+        template = self.templates[number]
+        theirs, slack = template.words, 2 * template.allowed + 1
+        low, high = max(0, first - slack), max(0, first + len(theirs) + slack)
+        mine = text.words[low:high]
+        if len(template.different.difference(mine)) > template.allowed:
+            return None
+        codes = SequenceMatcher(None, theirs, mine, autojunk=False).get_opcodes()
+        equal = [code for code in codes if code[0] == "equal"]
+        if not equal:
+            return None
+        head, tail = low + equal[0][3], low + equal[-1][4]
+        start, end = head, tail
+        while not text.broken(start) and head - start <= template.allowed:
+            start -= 1
+        while not text.broken(end) and end - tail <= template.allowed:
+            end += 1
+        within = [(theirs[a:b], mine[c:d]) for what, a, b, c, d in codes if what != "equal" and equal[0][3] <= c and d <= equal[-1][4]]
+        pairs = [(theirs[: equal[0][1]], text.words[start:head]), *within, (theirs[equal[-1][2] :], text.words[tail:end])]
         changes, count = [], 0
-        for what, a, b, c, d in SequenceMatcher(None, theirs, mine, autojunk=False).get_opcodes():
-            if what == "equal":
+        for gone, new in pairs:
+            if not gone and not new:
                 continue
-            gone, new = theirs[a:b], mine[c:d]
-            if any(w in DECIDING or any(ch.isdigit() for ch in w) for w in gone + new):
+            if any(w in DECIDING or any(ch.isdigit() for ch in w) for w in (*gone, *new)):
                 return None
             count += max(len(gone), len(new))
             changes.append("-" + " ".join(gone) + "+" + " ".join(new))
-        return (count, changes) if 100 * count <= MOST_DIFFERENT * len(theirs) else None
+        return (start, end, sum(e[2] - e[1] for e in equal), count, changes) if count <= template.allowed else None
 
-    def scan(self, text: str) -> list[dict]:
+    def scan(self, raw: str) -> list[dict]:
         """The licenses declared in a text, in order: name, place, share saved and differences."""
-        if not _TRIGGER.search(text):
+        if not _MAYBE.search(raw):
             return []
-        units = sentences(text)
+        text = Text(raw)
         found: list[dict] = []
-        for i, (a, b) in enumerate(units):
-            if not _TRIGGER.search(text, a, b) or found and found[-1]["end"] >= b:
+        for m in _TRIGGER.finditer(text.text):
+            if found and m.start() < found[-1]["end"]:
                 continue
-            ranked = []
-            for number, t in enumerate(self.templates):
-                first = max(0, i - t.lead)
-                last = min(len(units), first + t.units) - 1
-                start, end = units[first][0], units[last][1]
-                if (score := self.judge(normal(text[start:end]), number)) is not None:
-                    ranked.append((-score[0], number, start, end))
-            best = None
-            for saved, number, start, end in sorted(ranked)[:CONFIRMED]:
-                if (same := self.confirm(text[start:end], number)) is not None and (best is None or same[0] < best["differences"]):
-                    best = {
-                        "name": self.templates[number].name, "start": start, "end": end,
-                        "saved": -saved, "differences": same[0], "changes": same[1],
-                    }
+            at = bisect_right(text.starts, m.start()) - 1
+            best, rank = None, None
+            for number, template in enumerate(self.templates):
+                for first in sorted({at - k for k in template.triggers}):
+                    if (same := self.confirm(text, first, number)) is None:
+                        continue
+                    a, b, agree, count, changes = same
+                    start, end = text.starts[a], _CLOSING.match(text.text, text.ends[b - 1]).end()
+                    if not a <= at < b or found and start < found[-1]["end"]:
+                        continue
+                    saved = self.judge(normal(text.text[start:end]), number)
+                    if saved >= LEAST_SAVED and (rank is None or (agree - count, saved) > rank):
+                        rank = agree - count, saved
+                        best = {"name": template.name, "start": start, "end": end, "saved": saved, "differences": count, "changes": changes}
             if best is not None:
                 found.append(best)
         return found

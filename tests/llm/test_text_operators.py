@@ -1,6 +1,7 @@
 """Line dedup, repeats, decontamination, quality rules, secrets, licenses."""
 
 import random
+import textwrap
 
 import brute
 import numpy as np
@@ -167,3 +168,32 @@ def test_every_license_template_is_found_as_itself(spark):
     df = spark.createDataFrame(rows, "doc_id string, text string")
     for r in licenses.find_licenses(df).collect():
         assert [x["name"] for x in r["licenses"]][:1] == [r["doc_id"].split("|")[0]], r["doc_id"]
+
+
+def wrapped(text, width, first="", mark="", last=""):
+    return "\n".join([*([first] if first else []), *[mark + line for line in textwrap.wrap(text, width)], *([last] if last else [])])
+
+
+@pytest.mark.parametrize("first, mark, last", [("", "", ""), ("", "# ", ""), ("", "// ", ""), ("/*", " * ", " */"), ("<!--", "  ", "-->"), ("", "dnl ", ""), ("", "-- ", "")])
+@pytest.mark.parametrize("width", [24, 70])
+def test_wrapped_and_commented_licenses_are_found_whole(first, mark, last, width):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            notice = wrapped(t, width, first, mark, last)
+            text = f"{mark}Copyright (c) 2020 Some Body\n{notice}\n{mark}\nint main;\nno more of it, 1999\n"
+            found = scanner.scan(text)
+            assert [(x["name"], x["differences"]) for x in found] == [(name, 0)], (name, text)
+            assert licenses.words(licenses.without_comments(text)[found[0]["start"] : found[0]["end"]]) == licenses.words(t)
+
+
+def test_licenses_in_words_around_them():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    mit, apache = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["Apache-2.0"][1]
+    text = f"MIT License\n\n{wrapped(mit, 70)}\n\nThe above copyright notice.\n\n{wrapped(apache, 60, mark='# ')} You may obtain a copy of it.\n"
+    assert [(x["name"], x["differences"]) for x in scanner.scan(text)] == [("MIT", 0), ("Apache-2.0", 0)]
+    assert [(x["name"], x["differences"]) for x in scanner.scan(mit.replace("obtaining", "who gets") + " The above notice")] == [("MIT", 2)]
+    assert scanner.scan("It was at no time and by nobody released under the MIT License.") == []
+    assert scanner.scan("Licensed under\nCC BY-NC-\nSA 4.0.") == []
+    gpl = licenses.TEMPLATES["GPL-3.0"][1]
+    assert scanner.scan(wrapped(gpl.replace("General", "Lesser General"), 50)) == []
