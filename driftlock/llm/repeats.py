@@ -8,8 +8,9 @@ text place and the common prefix with the row before, for the last row that with
 the common prefix shrinks by one with each step, so one pass over the text streams the matching statistics of every
 place against all other places, and a window that matches elsewhere in its full length is marked.
 
-Anchors with very many different runs are split by the bytes that all windows of a short stretch share, so a shard of
-the index holds a bounded part of them.
+Anchors with very many different runs are split by the bytes that all windows of a short stretch share, their core. The
+different bytes of each core are counted, and shards are made for as many. A core that has more than a shard of them
+needs no index: it is split into its windows, and those that occur twice are counted as hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from driftlock.llm.shingles import utf8_parts
 from driftlock.operators.lookup import lookup_join
 
 WINDOW = 400
-# Bytes of different runs that a shard of the index holds, about; the runs of one anchor beyond it are split.
+# Bytes of different pieces that a shard of the index holds on average; anchors and cores with more are split.
 SHARD_BYTES = 2_000_000
 # Windows of a stretch into which runs of such anchors are split.
 STRETCH = 16
@@ -175,13 +176,13 @@ def _find_runs(window: int):
     return find
 
 
-PIECE = "shard int, u bigint, h bigint, c bigint, off int, n int, bytes binary"
+PIECE = "key bigint, u bigint, h bigint, c bigint, off int, n int, bytes binary"
 _PIECE_ARROW = pa.schema(
-    [("shard", pa.int32()), ("u", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())]
+    [("key", pa.int64()), ("u", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())]
 )
 
 
-def _cut(shards: int, window: int, stretch: int):
+def _cut(window: int, stretch: int):
     """The bytes of chosen runs; of runs of split anchors, the bytes of each stretch of windows."""
 
     def parts(h: int, place: int, split: bool) -> list[tuple[int, int, int, int]]:
@@ -214,7 +215,7 @@ def _cut(shards: int, window: int, stretch: int):
                         else:
                             key = run["h"] & (2**64 - 1)
                         u = xxhash.xxh3_64_intdigest(bytes_, seed=key) - 2**63
-                        rows.append((key % shards, u, run["h"], run["c"], off, n, bytes_))
+                        rows.append((key - 2**63, u, run["h"], run["c"], off, n, bytes_))
                 if len(rows) > 20_000:
                     yield _piece_batch(rows)
                     rows = []
@@ -236,12 +237,67 @@ def _index(window: int):
         for i, many in enumerate(group["copies"].to_numpy() > 1):
             if many:
                 ranges[i] = ([0], [int(group["n"].iloc[i])])
-        out = pd.DataFrame({"shard": group["shard"], "u": group["u"], "firsts": [r[0] for r in ranges], "counts": [r[1] for r in ranges]})
+        out = pd.DataFrame({"key": group["key"], "u": group["u"], "firsts": [r[0] for r in ranges], "counts": [r[1] for r in ranges]})
         return out[[len(r[0]) > 0 for r in ranges]]
 
     return index
 
 
+ONE = "key bigint, u bigint, copies bigint, first int, low bigint, high bigint"
+
+
+def _windows(window: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of stretches as hashes of 128 bits."""
+        for batch in batches:
+            places, firsts, hashes = [], [], []
+            for i, piece in enumerate(batch.column("bytes")):
+                raw = piece.as_py()
+                for first in range(len(raw) - window + 1):
+                    places.append(i)
+                    firsts.append(first)
+                    hashes.append(xxhash.xxh3_128_digest(raw[first : first + window]))
+            halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            kept = batch.select(["key", "u", "copies"]).take(pa.array(places, pa.int64()))
+            columns = [*kept.columns, pa.array(firsts, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "first", "low", "high"])
+
+    return windows
+
+
+def _different(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("key", "u").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+
+
+def _marks(pieces: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    """(key, u, firsts, counts): the repeated windows of each different piece, as ranges.
+
+    Equal windows have equal keys. Keys with at most a shard of different bytes are dealt to indexes, the others are
+    split into windows.
+    """
+    size = (F.col("n") + F.lit(window)).cast("long")
+    sizes = pieces.select("key", "u", "n").distinct().groupBy("key").agg(F.sum(size).alias("size"))
+    sizes = stored(sizes, "cores")
+    large = F.col("size") > shard_bytes
+    told = sizes.agg(F.sum(F.when(~large, F.col("size"))).alias("small"), F.count_if(large).alias("large")).first()
+    shards = max(1, -(-int(told["small"] or 0) // shard_bytes))
+    if told["large"]:
+        flagged = lookup_join(pieces, sizes.where(large).select("key", F.lit(True).alias("large")), ["key"])
+        small, rest = flagged.where("large is null").drop("large"), flagged.where("large").drop("large")
+    else:
+        small, rest = pieces, None
+    indexed = _different(small).withColumn("shard", F.pmod("key", F.lit(shards)))
+    kind = "key bigint, u bigint, firsts array<int>, counts array<int>"
+    marks = indexed.groupBy("shard").applyInPandas(_index(window), kind)
+    if rest is None:
+        return marks
+    single = stored(_different(rest).select("key", "u", "copies", "bytes").mapInArrow(_windows(window), ONE), "windows")
+    twice = single.groupBy("low", "high").agg(F.sum("copies").alias("total")).where("total > 1").select("low", "high")
+    found = lookup_join(single, stored(twice, "repeated-windows"), ["low", "high"], how="inner")
+    firsts = found.groupBy("key", "u").agg(F.array_sort(F.collect_list("first")).alias("firsts"))
+    return marks.unionByName(firsts.withColumn("counts", F.transform("firsts", lambda _: F.lit(1))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumns({"text": text, "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(text)})
@@ -258,19 +314,16 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHAR
     size = (F.col("place").bitwiseAND(F.lit((1 << _COUNT) - 1)) + window - 1).cast("long")
     anchors = units.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(size).alias("size")).where("kinds > 1")
     anchors = stored(anchors.select("h", "size", (F.col("size") > shard_bytes).alias("split")), "anchors")
-    total = anchors.agg(F.sum("size").alias("t")).first()["t"] or 0
-    shards = max(1, -(-int(total) // shard_bytes))
     chosen = stored(units.join(anchors.select("h", "split"), "h").select("id", "th", "h", "c", "place", "split"), "chosen")
     needed = lookup_join(texts, chosen.select("id", "th").distinct(), ["id", "th"], how="inner")
     listed = chosen.groupBy("id", "th").agg(F.collect_list(F.struct("h", "c", "place", "split")).alias("runs"))
     # Repeated rows of the table are one source of bytes.
     sources = needed.join(listed, ["id", "th"]).dropDuplicates(["id", "th"]).select("text", "runs")
-    pieces = stored(sources.mapInArrow(_cut(shards, window, stretch), PIECE), "pieces")
-    different = pieces.groupBy("shard", "u").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
-    marks = different.groupBy("shard").applyInPandas(_index(window), "shard int, u bigint, firsts array<int>, counts array<int>")
+    pieces = stored(sources.mapInArrow(_cut(window, stretch), PIECE), "pieces")
+    marks = _marks(pieces, window, shard_bytes)
     found = (
-        pieces.select("shard", "u", "h", "c", "off")
-        .join(marks, ["shard", "u"])
+        pieces.select("key", "u", "h", "c", "off")
+        .join(marks, ["key", "u"])
         .select("h", "c", F.transform(F.arrays_zip("firsts", "counts"), lambda r: F.struct((r["firsts"] + F.col("off")).alias("first"), r["counts"].alias("count"))).alias("spans"))
         .groupBy("h", "c")
         .agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -70,6 +70,30 @@ def test_repeats_of_near_copies_that_split_an_anchor(spark):
     assert by_repr(got) == by_repr(brute.remove_repeats(made, 400))
 
 
+def test_repeats_of_a_passage_with_other_neighbours_meet_in_no_large_group(spark, monkeypatch):
+    rnd = random.Random(6)
+    passage = "".join(rnd.choice("abcdefghij ") for _ in range(430))
+    made = [(i, "".join(rnd.choice("klmnopqrst ") for _ in range(450)).join(["", passage]) + str(i) * 9 + passage[: 400 + i % 30]) for i in range(150)]
+    made += [(500 + i, f"{i:03}" * 40 + passage + f"{i:03}" * 40) for i in range(150)]
+    real, shard_bytes = repeats._index, 20_000
+
+    def bounded(window):
+        inner = real(window)
+
+        def index(group):
+            # A stretch has 415 bytes at most; one core of the passage's edges has 150 of them or more.
+            of_key = group["bytes"].map(len).groupby(group["key"]).sum() if "key" in group else group["bytes"].map(len)
+            assert of_key.max() <= shard_bytes and group["bytes"].map(len).sum() <= 3 * shard_bytes
+            return inner(group)
+
+        return index
+
+    monkeypatch.setattr(repeats, "_index", bounded)
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    got = [(r[0], r[1], r[2], r[3], bytes(r[4])) for r in repeats.remove_repeats(df, shard_bytes=shard_bytes).collect()]
+    assert by_repr(got) == by_repr(brute.remove_repeats(made, 400))
+
+
 def test_repeats_of_edge_rows(edge, nothing):
     assert repeats.remove_repeats(nothing).collect() == []
     small = [(i, t) for i, t in ROWS if not t or len(t) < 10_000] + [(20, "periodic " * 120), (None, "x" * 900), (None, "x" * 900)]
