@@ -22,6 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD = (
+    f"{_BSD_OPENING} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_NO_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+
 # The wording by which licenses are declared.
 TEMPLATES = {
     "Apache-2.0": [
@@ -43,11 +51,10 @@ TEMPLATES = {
     ],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
-    "BSD-3-Clause": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", f"{_BSD} {_AS_IS}"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", f"{_BSD} {_NO_NAMES} {_AS_IS}"],
+    # The opening alone does not say which.
+    "BSD-2-Clause or BSD-3-Clause or BSD-4-Clause": [_BSD_OPENING],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC0-1.0": ["Released under CC0 1.0."],
@@ -61,7 +68,7 @@ TRIGGERS = ["licens", "licenc", "permission", "redistribut", "public domain", "r
 # Words that tell one license from another: these must agree.
 DECIDING = [
     "apache", "mit", "gnu", "general", "lesser", "affero", "bsd", "mozilla", "isc", "cc", "cc0", "by", "sa", "nc", "nd",
-    "attribution", "sharealike", "noncommercial", "noderivatives", "clause", "unencumbered", "not", "no",
+    "attribution", "sharealike", "noncommercial", "noderivatives", "clause", "unencumbered", "not", "no", "neither", "nor", "endorse",
 ]
 LEVEL = 3
 # Least share of its own compressed size that a block must save, and words in which it may differ, per hundred.
@@ -77,6 +84,8 @@ _COMMENT = re.compile(
 )
 # What parts the words of a declaration from words around it that are not its own.
 _BREAK = re.compile(r"[\r\n]|[.!?:;][\"')\]]*(?=\s|$)")
+# Numbers of list items. They are no words of a license, but a version may look like one at the start of a line.
+_NUMBER = re.compile(r"(?:^|(?<=[.,:;]\s)|(?<=\sand\s))[ \t]*\(?([0-9]{1,2}|[a-z])[.)](?=\s)", re.M | re.I)
 _CLOSING = re.compile(r"[\"')\]]*[.!?:;]?")
 
 
@@ -105,18 +114,26 @@ class Template:
 
 
 def templates(known: dict[str, list[str]]) -> list[Template]:
-    out = []
+    """The templates of a table; a text that several licenses share is one, with all their names."""
+    names: dict[tuple[str, ...], list[str]] = {}
     for name, texts in known.items():
         for text in texts:
-            own = words(text)
-            starts = [m.start() for m in _WORD.finditer(text)]
-            at = sorted({bisect_right(starts, m.start()) - 1 for m in _TRIGGER.finditer(text)})
-            out.append(Template(name, normal(text), tuple(own), frozenset(own), tuple(at or [0]), MOST_DIFFERENT * len(own) // 100))
+            shared = names.setdefault(tuple(words(text)), [])
+            if name not in shared:
+                shared.append(name)
+    out = []
+    for text in (text for texts in known.values() for text in texts):
+        if (own := tuple(words(text))) not in names:
+            continue
+        starts = [m.start() for m in _WORD.finditer(text)]
+        at = sorted({bisect_right(starts, m.start()) - 1 for m in _TRIGGER.finditer(text)})
+        name = " or ".join(names.pop(own))
+        out.append(Template(name, normal(text), own, frozenset(own), tuple(at or [0]), MOST_DIFFERENT * len(own) // 100))
     return out
 
 
 class Text:
-    """The words of a text, with places, and which of them have a break before them."""
+    """The words of a text, with places, which of them have a break before them, and which number a list."""
 
     def __init__(self, text: str):
         self.text = without_comments(text)
@@ -124,6 +141,11 @@ class Text:
         self.starts = [a for a, _ in places]
         self.ends = [b for _, b in places]
         self.words = [self.text[a:b].lower() for a, b in places]
+        self.numbers = {m.start(1) for m in _NUMBER.finditer(self.text)}
+
+    def own(self, start: int, end: int) -> list[str]:
+        """Words without those that number a list."""
+        return [self.words[i] for i in range(start, end) if self.starts[i] not in self.numbers]
 
     def broken(self, i: int) -> bool:
         """Whether a line or a sentence ends between word i - 1 and word i."""
@@ -174,8 +196,8 @@ class Scanner:
             start -= 1
         while not text.broken(end) and end - tail <= template.allowed:
             end += 1
-        within = [(theirs[a:b], mine[c:d]) for what, a, b, c, d in codes if what != "equal" and equal[0][3] <= c and d <= equal[-1][4]]
-        pairs = [(theirs[: equal[0][1]], text.words[start:head]), *within, (theirs[equal[-1][2] :], text.words[tail:end])]
+        within = [(theirs[a:b], text.own(low + c, low + d)) for what, a, b, c, d in codes if what != "equal" and equal[0][3] <= c and d <= equal[-1][4]]
+        pairs = [(theirs[: equal[0][1]], text.own(start, head)), *within, (theirs[equal[-1][2] :], text.own(tail, end))]
         changes, count = [], 0
         for gone, new in pairs:
             if not gone and not new:

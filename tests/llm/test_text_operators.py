@@ -221,3 +221,33 @@ def test_licenses_in_words_around_them():
     assert scanner.scan("Licensed under\nCC BY-NC-\nSA 4.0.") == []
     gpl = licenses.TEMPLATES["GPL-3.0"][1]
     assert scanner.scan(wrapped(gpl.replace("General", "Lesser General"), 50)) == []
+
+
+@pytest.mark.parametrize("width, marks", [(72, "1. |2. |3. "), (72, "* |* |* "), (10**6, "1. |2. |3. "), (50, "(a) |(b) |(c) ")])
+def test_texts_that_differ_only_later_get_their_own_names(width, marks):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    start = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    source = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    binary = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    names = "Neither the name of Some Body nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    as_is = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL'
+
+    def found(*clauses):
+        listed = [m + c for m, c in zip(marks.split("|"), clauses)]
+        return [x["name"] for x in scanner.scan("\n\n".join(wrapped(t, width) for t in [start, *listed, as_is]))]
+
+    assert found(source, binary) == ["BSD-2-Clause"]
+    assert found(source, binary, names) == ["BSD-3-Clause"]
+    assert found() == ["BSD-2-Clause or BSD-3-Clause or BSD-4-Clause"]
+
+
+def test_every_candidate_of_a_large_table_is_compared():
+    near = {f"V{i}.0": [f"This work is licensed under the Some Public License, version {i}.0 International."] for i in range(1, 40)}
+    scanner = licenses.Scanner(near)
+    for name, (text,) in near.items():
+        assert [(x["name"], x["differences"]) for x in scanner.scan(text)] == [(name, 0)]
+    # The two nearest share the deciding word and lie behind many that are refused.
+    odd = "This work was licensed to all under the Some Public License, version 39.0 International."
+    assert [x["name"] for x in licenses.Scanner(near | {"V39.0": [odd.replace("was", "is")]}).scan(odd)] == ["V39.0"]
+    shared = licenses.Scanner({"A": ["Licensed under the common terms."], "B": ["Licensed under the common terms."]})
+    assert [x["name"] for x in shared.scan("Licensed under the common\nterms.")] == ["A or B"]
