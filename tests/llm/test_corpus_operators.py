@@ -71,6 +71,32 @@ def test_packing_keeps_all_limits():
     assert all(sum(y - x for _, x, y in b) == 100 for b in bins) and (lengths - done).sum() < 100
 
 
+def test_packing_counts_the_tokens_that_bear_a_loss(spark):
+    """Prompts bear no loss: a limit that binds for answers is kept, and is not filled up by prompts."""
+    prompt, answer = "Größe 漢字 of the question? " * 9, "an answer of some words, a b c d. " * 4
+    made = [(i, prompt + answer * (i % 3), [(len(prompt), len(prompt + answer * (i % 3)))]) for i in range(60)]
+    made += [(60, answer, None), (61, prompt, []), (62, "a <|endoftext|> b", [(2, 15)]), (63, answer * 40, [(0, None), None]), (64, None, [(0, 9)])]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, bears array<struct<start: bigint, end: bigint>>").coalesce(1)
+    pieces = packing.pack_documents(df, 512, 16, 100, window=20, loss_ranges="bears").collect()
+    sequences = check_packing(pieces, [r[:2] for r in made], 512, 16)
+    for s in sequences.values():
+        assert sum(p["loss_tokens"] for p in s) <= 100
+    # More prompt than the limit shares a sequence, which was not possible when all tokens counted.
+    assert max(sum(p["length"] - 1 for p in s) for s in sequences.values()) > 200
+    assert max(sum(p["loss_tokens"] for p in s) for s in sequences.values()) == 100
+
+    def marks(doc):
+        ids = packing.token_ids(made[doc][1] or "")
+        ranges = made[doc][2] and [r and {"start": r[0], "end": r[1]} for r in made[doc][2]]
+        count = packing.bearing_tokens(made[doc][1] or "", ids, ranges)
+        return None if count is None else np.diff(count, prepend=0).tolist()
+
+    assert marks(60) is None and set(marks(61)) == {0} and set(marks(63)) == {1} and marks(64) == [1]
+    assert marks(62)[0] == 0 and marks(62)[-2:] == [0, 0] and sum(marks(62)) == 1
+    of_answer, bare = len(packing.token_ids(answer)), len(packing.token_ids(prompt))
+    assert abs(sum(marks(1)) - of_answer) <= 2 and set(marks(1)[: bare - 3]) == {0} and marks(1)[-1] == 1
+
+
 @pytest.mark.parametrize("frequent", [32, 2])
 def test_jaccard_equals_brute_force(table, rows, frequent):
     got = {r[0]: (r[1], r[2]) for r in jaccard.join_classes(table, frequent=frequent).collect()}
