@@ -28,8 +28,18 @@ class SecretShape:
 _MARK = vocab.REDACTED
 _SECRET_WORD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret)"
 
-# Escapes that a quoted value is stepped over; one with more ends at its first quote, as if it had none.
-_ESCAPES = 200
+
+def _value(quote: str) -> str:
+    """A value that is not empty, and its closing quote.
+
+    Escapes are stepped over, however many: a possessive repetition keeps no place to return to. Where that finds no
+    closing quote, the value ends at the first quote, as if it had no escapes.
+    """
+    plain = rf"[^{quote}\\]*+"
+    return rf"(?!{quote})(?:{plain}(?:\\[\s\S]{plain})*+|[^{quote}]+){quote}"
+
+
+_DOUBLE, _SINGLE = _value('"'), _value("'")
 
 # Whole blocks and self-describing tokens first, so that an assignment around one is not counted again.
 SHAPES = (
@@ -45,13 +55,13 @@ SHAPES = (
     SecretShape(
         "quoted",
         ('"',),
-        rf'(?i)({_SECRET_WORD}"?\s*[:=]\s*)"(?!\[REDACTED\]")(?:[^"\\]*(?:\\.[^"\\]*){{0,{_ESCAPES}}}|[^"]+)(?<=[^"])"',
+        rf'(?i)({_SECRET_WORD}"?\s*[:=]\s*)"(?!\[REDACTED\]"){_DOUBLE}',
         rf'$1"{_MARK}"',
     ),
     SecretShape(
         "single-quoted",
         ("'",),
-        rf"(?i)({_SECRET_WORD}'?\s*[:=]\s*)'(?!\[REDACTED\]')(?:[^'\\]*(?:\\.[^'\\]*){{0,{_ESCAPES}}}|[^']+)(?<=[^'])'",
+        rf"(?i)({_SECRET_WORD}'?\s*[:=]\s*)'(?!\[REDACTED\]'){_SINGLE}",
         rf"$1'{_MARK}'",
     ),
     SecretShape(

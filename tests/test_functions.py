@@ -173,6 +173,20 @@ def test_scrub(spark):
     assert got == {i: (want, n) for i, (_, want, n) in enumerate(SECRETS)}
 
 
+@pytest.mark.parametrize("q", ['"', "'"])
+def test_scrub_steps_over_any_number_of_escapes(spark, q):
+    lines = "line\\n" * 300
+    values = [
+        lines + f"\\{q}hidden\\{q} more", f"{{\\{q}a\\{q}: 1}}" * 20_000 + "x", f"ab\\{q}hidden\\{q}", f"a\\\n b\\{q}hidden",
+        f"\\{q}hidden", "\\\\", "x" * 200_000 + f"\\{q}hidden",
+    ]
+    made = [(i, f"let secret = {q}{v}{q}, n = {q}1{q};") for i, v in enumerate(values)]
+    df = spark.createDataFrame([*made, (-1, f"secret = {q}{q}; b = {q}c{q}"), (-2, f"secret = {q}C:\\dir\\{q}")], "i int, t string")
+    got = {r.i: (r.t, r.redactions) for r in scrub(df, ["t"]).collect()}
+    want = {i: (f"let secret = {q}[REDACTED]{q}, n = {q}1{q};", 1) for i, _ in made}
+    assert got == want | {-1: (f"secret = {q}{q}; b = {q}c{q}", 0), -2: (f"secret = {q}[REDACTED]{q}", 1)}
+
+
 def test_scrub_twice_changes_nothing(spark):
     df = spark.createDataFrame([(t,) for t, _, _ in SECRETS], "t string")
     once = scrub(df, ["t"], None)
