@@ -628,22 +628,44 @@ def pattern_witness(df: DataFrame, col: str, patterns: list[str]) -> DataFrame:
     return out
 
 
+_NUMBER_TYPE = "struct<side: int, exact: decimal(38,18), double: double, whole: decimal(38,0)>"
+
+
+def _number(x: Column) -> Column:
+    """A number in a form that orders all of them, null if it is none."""
+    exact, double, zero = x.try_cast("decimal(38,18)"), x.try_cast("double"), F.lit(0)
+    side = F.when(exact.isNotNull(), 0).when(double < 0, -1).otherwise(1)
+    number = F.struct(
+        side.alias("side"),
+        F.coalesce(exact, zero.cast("decimal(38,18)")).alias("exact"),
+        F.when(exact.isNull(), double).otherwise(F.lit(0.0)).alias("double"),
+        F.when(exact.isNull(), F.coalesce(x.try_cast("decimal(38,0)"), zero)).otherwise(zero).cast("decimal(38,0)").alias("whole"),
+    )
+    return F.when(double.isNotNull(), number.cast(_NUMBER_TYPE))
+
+
+def _number_after(number: Column, step: Column) -> Column:
+    """The number a step further, null where no decimal holds it."""
+    whole = F.when(number["whole"] != 0, F.try_add(number["whole"], step))
+    return F.when(number["side"] == 0, _number(number["exact"] + step)).otherwise(_number(whole))
+
+
 def boundary_coverage(df: DataFrame, literals: DataFrame) -> DataFrame:
     """GEN11: how many rows lie below, just below, at, just above and above each mined boundary.
 
     ``literals(rule_id, param, literal)`` names columns of ``df``. The columns are first reduced to counts per
     distinct value; boundaries are then placed among those counts by a running sum, so rows are never paired with
     boundaries. A zero marks a branch that the data does not exercise. Only numeric columns are counted, as decimals,
-    so whole numbers beyond 2^53 stay apart; a value that no decimal(38, 18) holds is left out.
+    so whole numbers beyond 2^53 stay apart. Values that no decimal(38, 18) holds are compared as doubles, equal ones as
+    whole numbers as far as a decimal holds those, and lie beyond all decimals by their sign; NaN is above all.
     """
-    exact = "decimal(38,18)"
     wanted = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    none = F.array().cast(f"array<struct<param: string, value: {exact}>>")
-    cells = F.concat(none, *[F.array(F.struct(F.lit(c).alias("param"), F.col(f"`{c}`").try_cast(exact).alias("value"))) for c in wanted])
+    none = F.array().cast(f"array<struct<param: string, value: {_NUMBER_TYPE}>>")
+    cells = F.concat(none, *[F.array(F.struct(F.lit(c).alias("param"), _number(F.col(f"`{c}`")).alias("value"))) for c in wanted])
     counts = (
         df.select(F.inline(cells)).where("value is not null").groupBy("param", "value").agg(F.count("*").alias("n"))
     )
-    literals = literals.withColumn("__at", F.col("literal").try_cast(exact)).where("__at is not null")
+    literals = literals.withColumn("__at", _number(F.col("literal"))).where("__at is not null")
     marks = literals.select("param", F.col("__at").alias("literal")).distinct()
     totals = counts.groupBy("param").agg(F.sum("n").alias("total"))
 
@@ -657,7 +679,7 @@ def boundary_coverage(df: DataFrame, literals: DataFrame) -> DataFrame:
     )
     near = (
         marks.select("param", "literal", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"))
-        .withColumn("value", F.col("literal") + F.col("step"))
+        .withColumn("value", F.when(F.col("step") == 0, F.col("literal")).otherwise(_number_after(F.col("literal"), F.col("step"))))
         .join(counts, ["param", "value"])
         .groupBy("param", "literal")
         .agg(

@@ -152,3 +152,18 @@ def test_boundary_coverage_keeps_large_numbers_apart_and_skips_dates(spark):
     marks = spark.createDataFrame([("r", "a", float(big))], "rule_id string, param string, literal double")
     row = gen.boundary_coverage(df, marks).first()
     assert (row.n_at, row.n_at_plus_1, row.n_above) == (1, 1, 1)
+
+
+def test_boundary_coverage_counts_values_beyond_the_decimals(spark):
+    inf, nan = float("inf"), float("nan")
+    data = spark.createDataFrame([(v,) for v in [1.0, 1e20, 1e20, 3e25, -1e30, inf, -inf, nan, 1e300]], "q double")
+    bounds = spark.createDataFrame([("r", "q", x) for x in ["1", "1e20", "-1e30", "1e300", "Infinity", "-Infinity", "NaN", "word"]], "rule_id string, param string, literal string")
+    got = {r.literal: (r.n_below, r.n_at_minus_1, r.n_at, r.n_at_plus_1, r.n_above) for r in gen.boundary_coverage(data, bounds).collect()}
+    assert got == {
+        "1": (2, 0, 1, 0, 6), "1e20": (3, 0, 2, 0, 4), "-1e30": (1, 0, 1, 0, 7), "1e300": (6, 0, 1, 0, 2),
+        "Infinity": (7, 0, 1, 0, 1), "-Infinity": (0, 0, 1, 0, 8), "NaN": (8, 0, 1, 0, 0),
+    }
+    whole = spark.createDataFrame([(str(x),) for x in (10**25 - 1, 10**25, 10**25, 10**25 + 1, 10**20 - 1)], "q string").select(F.col("q").cast("decimal(38,0)"))
+    marks = spark.createDataFrame([("r", "q", str(10**25)), ("r", "q", str(10**20))], "rule_id string, param string, literal string")
+    got = {r.literal: (r.n_below, r.n_at_minus_1, r.n_at, r.n_at_plus_1, r.n_above) for r in gen.boundary_coverage(whole, marks).collect()}
+    assert got == {str(10**25): (2, 1, 2, 1, 1), str(10**20): (1, 1, 0, 0, 4)}
