@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlock.llm import decontam, jaccard, licenses, line_dedup, packing, quality, repeats, ring, secrets, toxicity
+from driftlock.llm import decontam, jaccard, licenses, line_dedup, merkle, packing, quality, repeats, ring
+from driftlock.llm import secrets, toxicity
 from driftlock.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +205,58 @@ def op10(spark, sf_dir):
 def op2(spark, sf_dir):
     done = repeats.remove_repeats(documents(spark, sf_dir))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _sql_field(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+def merkle_sql(tree_levels: int = 24) -> str:
+    """Level by level: nodes of all groups, then of the root, with a path of siblings that grows for every leaf."""
+    fields = " || ".join(_sql_field(f) for f in merkle.FIELDS)
+    other = " || ".join(_sql_field("replace(text, chr(10), '')" if f == "text" else f) for f in merkle.FIELDS)
+    # The CRC of the id, bit by bit: a character is mixed in, then eight shifts.
+    crc = """list_reduce(flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(CAST(doc_id AS VARCHAR), '')]),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END, 4294967295::BIGINT)"""
+    steps = [
+        f"""leaf AS MATERIALIZED (
+  SELECT doc_id, source, sha256({fields}) AS leaf,
+         sha256(CASE WHEN (4294967295 - {crc}) % 2 = 0 THEN {other} ELSE {fields} END) AS folded,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256({fields})) - 1 AS p, count(*) OVER (PARTITION BY source) AS n
+  FROM documents)"""
+    ]
+    start = "SELECT source, p, n, leaf AS d FROM leaf", "SELECT doc_id, source, p, leaf, folded, '' AS proof FROM leaf"
+    for k in range(tree_levels):
+        nodes, path = (f"SELECT * FROM {t}{k - 1}" for t in "nw") if k else start
+        if k == tree_levels // 2:
+            # From here on the nodes are the digests of the groups.
+            nodes = f"SELECT 0 AS source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS n, d, source AS named FROM n{k - 1}"
+            steps.append(f"s{k} AS MATERIALIZED ({nodes})")
+            steps.append(f"g AS MATERIALIZED (SELECT doc_id, 0 AS source, s.p, leaf, s.d AS subroot, folded, proof FROM w{k - 1} w JOIN s{k} s ON w.source IS NOT DISTINCT FROM s.named)")
+            nodes, path = f"SELECT source, p, n, d FROM s{k}", "SELECT * FROM g"
+        steps.append(
+            f"""x{k} AS MATERIALIZED (
+  SELECT source, p, n, d, coalesce(string_agg(d, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(d, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM ({nodes}) WINDOW r AS (PARTITION BY source, p // {merkle.ARITY} ORDER BY p))"""
+        )
+        steps.append(
+            f"""n{k} AS MATERIALIZED (
+  SELECT source, p // {merkle.ARITY} AS p, CAST(ceil(max(n) / {merkle.ARITY}) AS BIGINT) AS n,
+         CASE WHEN max(n) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY p)) END AS d FROM x{k} GROUP BY source, p // {merkle.ARITY})"""
+        )
+        steps.append(
+            f"""w{k} AS MATERIALIZED (
+  SELECT w.* REPLACE (w.p // {merkle.ARITY} AS p, CASE WHEN x.n = 1 THEN folded ELSE sha256(l || folded || r) END AS folded,
+         CASE WHEN x.n = 1 THEN proof ELSE proof || l || r END AS proof)
+  FROM ({path}) w JOIN x{k} x ON w.source IS NOT DISTINCT FROM x.source AND w.p = x.p)"""
+        )
+    last = tree_levels - 1
+    return f"""WITH {", ".join(steps)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = d AS verified FROM w{last}, n{last}"""
+
+
+@query("op11_merkle_manifest", merkle_sql())
+def op11(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return merkle.prove(docs, checked=merkle.without_line_feeds(docs))
