@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlock.llm import decontam, jaccard, licenses, line_dedup, merkle, packing, quality, repeats, ring
+from driftlock.llm import align, debruijn, decontam, jaccard, licenses, line_dedup, merkle, packing, quality, repeats, ring
 from driftlock.llm import secrets, toxicity
 from driftlock.llm.common import documents
 
@@ -260,3 +260,32 @@ SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, folded A
 def op11(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return merkle.prove(docs, checked=merkle.without_line_feeds(docs))
+
+
+@query("op12_hash_alignment")
+def op12(spark, sf_dir):
+    return align.align_documents(documents(spark, sf_dir))
+
+
+SPANS_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] AS w
+  FROM documents),
+e AS (SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+k AS (
+  SELECT rid, a, i, md5(string_agg(a, ' ') OVER ahead) AS k, count(*) OVER ahead AS n
+  FROM e WINDOW ahead AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {debruijn.WINDOW - 1} FOLLOWING)),
+twice AS (SELECT k FROM k WHERE n = {debruijn.WINDOW} GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT rid, a, i, n = {debruijn.WINDOW} AND k IN (SELECT k FROM twice) AS hit FROM k),
+gone AS (
+  SELECT rid, a, i, bool_or(hit) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {debruijn.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM hit),
+kept AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(a, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM gone GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op13_debruijn_spans", SPANS_SQL)
+def op13(spark, sf_dir):
+    done = debruijn.remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
