@@ -8,14 +8,16 @@ run with the same anchor, is one edge of the graph as a whole; runs with rivals
 
 Edges with two occurrences are kept. A node with one edge in and one edge out does not branch, and the two are glued by
 a join over nodes. Glued edges that follow each other at their source coordinates (the least document and word that has
-them) are one path at once; the few links between paths of different sources are closed by joins as components. Every
-run then knows its stretches of paths, every document looks its runs up, and spans are merged along a path. A span is
-removed only if its edges have a second source coordinate, and edges are equal only if 128 bits agree at both.
+them) are one path at once; the few links between paths of different sources are followed by joins that double their
+reach each round. Every run then knows its stretches of paths, every document looks its runs up, and spans are merged
+along a path. A span is removed only if its edges have a second source coordinate, and edges are equal only if 128 bits
+agree at both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftlock.llm.anchors import _least
-from driftlock.llm.common import components, stored
+from driftlock.llm.common import stored
 from driftlock.llm.shingles import _joined
 from driftlock.operators.lookup import HOT_SHARE, lookup_join
 
@@ -198,10 +200,35 @@ def _paths(edges: DataFrame) -> DataFrame:
     stretches = stored(heads.withColumn("stretch", stretch).select("u", "prev", "head", "stretch"), "stretches")
     # Glued edges with different sources: the end of one stretch and the head of another.
     ends = stretches.where("head and prev is not null").select(F.col("prev").alias("u"), F.col("stretch").alias("to"))
-    links = ends.join(stretches.select("u", F.col("stretch").alias("from")), "u").where("`from` <> to")
-    joined = components(links, "from", "to").select(F.col("id").alias("stretch"), "component")
-    whole = lookup_join(stretches.select("u", "stretch"), stored(joined, "joined-stretches"), ["stretch"])
-    return stored(whole.select("u", F.coalesce("component", "stretch").alias("path")), "paths")
+    links = ends.join(stretches.select("u", F.col("stretch").alias("from")), "u").where("`from` <> to").select("to", "from")
+    joined = lookup_join(stretches.select("u", "stretch"), _first_stretches(stored(links, "stretch-links")), ["stretch"])
+    return stored(joined.select("u", F.coalesce("first", "stretch").alias("path")), "paths")
+
+
+def _first_stretches(links: DataFrame) -> DataFrame:
+    """(stretch, first) for stretches that follow another one: where their chain begins.
+
+    A stretch follows one other at most, and one at most follows it, so links are chains and cycles. Every round doubles
+    how far back a stretch looks, until all look at a beginning; what doesn't after as many doublings as the number of
+    links has bits is a cycle, which is named by its least member.
+    """
+    ahead = links.select(F.col("to").alias("stretch"), F.col("from").alias("at"), F.least("to", "from").alias("least"))
+    begins = links.select(F.col("from").alias("at")).join(links.select(F.col("to").alias("at")), "at", "left_anti")
+    walk = stored(ahead.join(begins.withColumn("done", F.lit(True)), "at", "left").withColumn("done", F.coalesce("done", F.lit(False))), "chains")
+    finished = [walk.where("done")]
+    open_ = walk.where("not done")
+    for _ in range(links.count().bit_length() + 1):
+        if open_.isEmpty():
+            break
+        there = walk.select(F.col("stretch").alias("at"), F.col("at").alias("next"), F.col("least").alias("other"), "done")
+        # A stretch that still looks at another is the only one to do so.
+        step = open_.drop("done").join(there, "at").select("stretch", F.col("next").alias("at"), F.least("least", "other").alias("least"), "done")
+        step = stored(step, "chains")
+        finished.append(step.where("done"))
+        open_ = step.where("not done")
+        walk = reduce(DataFrame.unionByName, [open_, *finished])
+    first = F.when(F.col("done"), F.col("at")).otherwise(F.col("least"))
+    return stored(reduce(DataFrame.unionByName, [open_, *finished]).select("stretch", first.alias("first")), "chain-beginnings")
 
 
 def _merged(entries: Column) -> Column:

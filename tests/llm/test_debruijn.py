@@ -112,3 +112,17 @@ def test_paths_do_not_pass_a_branching_node(spark):
         assert [s["first"] for s in r["spans"]] == [40, 40 + 80 - 34]
         paths[r["id"]] = [s["path"] for s in r["spans"]]
     assert len({p[0] for p in paths.values()}) == 1 and paths[0] == paths[2] and paths[1] == paths[3] and paths[0][1] != paths[1][1]
+
+
+def test_chains_and_cycles_get_one_name(spark):
+    rng = np.random.default_rng(1)
+    ids, links, want, at = rng.permutation(10_000).tolist(), [], {}, 0
+    for size, cycle in [(2, False), (3, False), (57, False), (200, False), (2, True), (5, True), (64, True)]:
+        chain = ids[at : at + size]
+        at += size
+        links += [(b, a) for a, b in zip(chain, chain[1:])] + ([(chain[0], chain[-1])] if cycle else [])
+        want |= {x: min(chain) if cycle else chain[0] for x in (chain if cycle else chain[1:])}
+    found = debruijn._first_stretches(spark.createDataFrame(links, "`to` bigint, `from` bigint"))
+    assert {r["stretch"]: r["first"] for r in found.collect()} == want
+    none = spark.createDataFrame([], "`to` bigint, `from` bigint")
+    assert debruijn._first_stretches(none).collect() == []
