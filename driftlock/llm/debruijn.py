@@ -6,7 +6,8 @@ and neighbours with one anchor form a run. Only runs whose anchor occurs twice c
 there, which is most of a corpus. Equal runs are one source with a number of copies. A run without a rival, a different
 run with the same anchor, is one edge of the graph as a whole; runs with rivals are split into their k-mers.
 
-Edges with two occurrences are kept. A node with one edge in and one edge out does not branch, and the two are glued by
+Texts are stored once in blocks, as a table bucketed by block, and are never shuffled: what joins find out is sent to the
+blocks. Edges with two occurrences are kept. A node with one edge in and one edge out does not branch, and the two are glued by
 a join over nodes. Glued edges that follow each other at their source coordinates (the least document and word that has
 them) are one path at once; the few links between paths of different sources are followed by joins that double their
 reach each round. Every run then knows its stretches of paths, every document looks its runs up, and spans are merged
@@ -16,32 +17,33 @@ agree at both.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from driftlock.llm.anchors import _least
 from driftlock.llm.common import stored
 from driftlock.llm.shingles import _joined
-from driftlock.operators.lookup import HOT_SHARE, lookup_join
+from driftlock.operators.lookup import HOT_SALTS, HOT_SHARE
+from driftlock.session import scratch_path
 
 WINDOW = 35
 # Words of the grams among which a window chooses its anchor.
 GRAM = 8
-# Bytes of text that a task looks at together, and windows of it at a time.
-TEXT_BYTES = 4 << 20
-BLOCK = 1 << 19
-# Look-up rows that hold stretches are wider than a key and a flag.
-WIDE_ROWS = 100_000
-NO_ID = -(2**63)
+# Bytes of text of a block, unless one text has more, and windows that a task looks at together.
+BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 1 << 14
+WINDOWS = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
-_COUNT_BITS = 8
 
 _hash = xxhash.xxh3_64_intdigest
 
@@ -73,9 +75,9 @@ def anchor_runs(words: Words, window: int, gram: int) -> Iterator[tuple[np.ndarr
     """(number of the text, anchor hash, first window in all words, windows) of the runs of all texts."""
     hashes = np.fromiter(map(_hash, words.flat), np.uint64, len(words.flat))
     owner = np.repeat(np.arange(len(words.counts)), words.counts)
-    for at in range(0, len(hashes) - window + 1, BLOCK):
-        part = hashes[at : at + BLOCK + window - 1]
-        own = owner[at : at + BLOCK + window - 1]
+    for at in range(0, len(hashes) - window + 1, WINDOWS):
+        part = hashes[at : at + WINDOWS + window - 1]
+        own = owner[at : at + WINDOWS + window - 1]
         grams = _joined(part, gram)
         keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         chosen = (_least(keys, window - gram + 1) & _PLACE).astype(np.int64)
@@ -89,40 +91,82 @@ def anchor_runs(words: Words, window: int, gram: int) -> Iterator[tuple[np.ndarr
         yield text[first], grams[chosen[first]], at + inside[first], count
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as bytes): rows with a bounded size of text, or one long text."""
-    texts, first, size = [], 0, 0
-    for i, text in enumerate(batch.column("text").cast(pa.large_binary())):
-        raw = text.as_py()
-        if texts and size + len(raw) > TEXT_BYTES:
-            yield first, texts
-            texts, first, size = [], i, 0
-        texts.append(raw)
-        size += len(raw)
-    if texts:
-        yield first, texts
+def _blocks(kind: pa.DataType):
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(kind)), ("texts", pa.list_(pa.string()))])
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        parts: list[pa.RecordBatch] = []
+        size = rows = 0
 
-# A place holds the first window of a run in its text and the number of windows.
-RUN = "h bigint, c bigint, id bigint, th bigint, place bigint"
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            columns = [table.column(c).combine_chunks() for c in ("doc_id", "text")]
+            lists = [pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), c) for c in columns]
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], schema=schema)
+
+        for batch in batches:
+            lengths = np.array([len(t.as_buffer()) for t in batch.column("text")], np.int64)
+            first = 0
+            for i, n in enumerate(lengths.tolist()):
+                if rows and (size + n > BLOCK_BYTES or rows >= BLOCK_ROWS):
+                    parts.append(batch.slice(first, i - first))
+                    yield flush()
+                    first, size, rows, number = i, 0, 0, number + 1
+                size, rows = size + n, rows + 1
+            parts.append(batch.slice(first))
+        if rows:
+            yield flush()
+
+    return blocks
+
+
+def _stored_blocks(docs: DataFrame) -> DataFrame:
+    """(block, ids, texts): documents in blocks of bounded text, stored where they are read, bucketed by block.
+
+    A join with rows that are dealt by block does not move the texts.
+    """
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kind = docs.schema["doc_id"].dataType
+    shape = f"block bigint, ids array<{kind.simpleString()}>, texts array<string>"
+    name, buckets = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(_blocks(to_arrow_type(kind)), shape)
+    writer = rows.write.format("parquet").bucketBy(buckets, "block").option("path", scratch_path(spark, "word-blocks"))
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
+# A place holds the row in its block, the first window of a run and the number of windows.
+_START_BITS, _COUNT_BITS = 34, 8
+RUN = "h bigint, c bigint, block bigint, place bigint"
 
 
 def _find_runs(window: int, gram: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = (batch.column(c).to_numpy() for c in ("id", "th"))
-            for row, texts in _portions(batch):
-                words = Words(texts)
+            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts")):
+                words = Words([t.as_py() for t in texts.values.cast(pa.large_binary())])
                 for text, h, first, count in anchor_runs(words, window, gram):
                     c = words.hashes(first, count + window - 1)
-                    place = ((first - words.firsts[text]) << _COUNT_BITS) | count
-                    columns = [h.view(np.int64), c, ids[row + text], hashes[row + text], place]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "id", "th", "place"])
+                    place = (((text << _START_BITS) | (first - words.firsts[text])) << _COUNT_BITS) | count
+                    columns = [h.view(np.int64), c, np.full(len(h), block), place]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["h", "c", "block", "place"])
 
     return find
 
 
-EDGE = "h bigint, c bigint, i int, n int, e bigint, f bigint, t bigint, copies bigint, id bigint, th bigint, pos bigint"
+def _unpacked(place: int) -> tuple[int, int, int]:
+    """(row, first window, number of windows)"""
+    start = place >> _COUNT_BITS
+    return start >> _START_BITS, start & ((1 << _START_BITS) - 1), place & ((1 << _COUNT_BITS) - 1)
+
+
+# ``at`` tells a source coordinate as one number, which is enough to see what follows what: bits of the document's hash,
+# the word, and the number of windows.
+_AT_WORD, _AT_COUNT = 22, 5
+EDGE = "h bigint, c bigint, i int, n int, u bigint, f bigint, t bigint, copies bigint, at bigint"
 _EDGE_NAMES = [c.split()[0] for c in EDGE.split(", ")]
 
 
@@ -131,78 +175,85 @@ def _cut_edges(window: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = (batch.column(c).to_pylist() for c in ("id", "th"))
-            texts = batch.column("text").cast(pa.large_binary())
-            for id_, th, text, runs in zip(ids, hashes, texts, batch.column("runs").to_pylist()):
-                words = Words([text.as_py()])
+            for block, texts, runs in zip(batch.column("block").to_pylist(), batch.column("texts"), batch.column("runs").to_pylist()):
+                words = Words([t.as_py() for t in texts.values.cast(pa.large_binary())])
                 out: list[tuple] = []
                 for run in runs:
-                    start, count = run["place"] >> _COUNT_BITS, run["place"] & ((1 << _COUNT_BITS) - 1)
-                    places = np.arange(start, start + count + 1)
+                    row, start, count = _unpacked(run["place"])
+                    places = np.arange(count + 1) + (start + words.firsts[row])
                     h, c, copies = run["h"], run["c"], run["copies"]
+                    doc = _hash(b"%d %d" % (block, row)) >> 37
+                    at = (doc << (_AT_WORD + _AT_COUNT)) | (start % (1 << _AT_WORD) << _AT_COUNT)
                     if run["rivals"]:
                         nodes = words.hashes(places, window - 1).tolist()
-                        edges = words.hashes(places[:-1], window).tolist()
-                        out += [(h, c, i, 1, edges[i], nodes[i], nodes[i + 1], copies, id_, th, start + i) for i in range(count)]
+                        edges = (words.hashes(places[:-1], window) ^ np.int64(h)).tolist()
+                        out += [(h, c, i, 1, edges[i], nodes[i], nodes[i + 1], copies, at + (i << _AT_COUNT) + 1) for i in range(count)]
                     else:
                         f, t = words.hashes(places[[0, -1]], window - 1).tolist()
-                        out.append((h, c, 0, count, c, f, t, copies, id_, th, start))
+                        out.append((h, c, 0, count, c ^ h, f, t, copies, at + count))
                 columns = [pa.array(x, pa.int32() if name in "in" else pa.int64()) for name, x in zip(_EDGE_NAMES, zip(*out))]
                 yield pa.RecordBatch.from_arrays(columns, names=_EDGE_NAMES)
 
     return cut
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows that are equal in id and text have one key; a null id gets the least one."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
-    return docs.select("doc_id", text.alias("text"), id_, F.xxhash64(text).alias("th"))
+def _hot(counts: DataFrame, column: str, n: str) -> list[int]:
+    """Keys that own more than a share of all rows; fewer than its inverse can."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > total * HOT_SHARE + 1).select(column).distinct().collect()]
 
 
-def _live_runs(texts: DataFrame, window: int, gram: int) -> DataFrame:
+def _met(big: DataFrame, lookup: DataFrame, keys: list[str], column: str, hot: list[int]) -> DataFrame:
+    """The rows of ``big`` with their look-up row, if there is one. Rows of hot keys are spread, their look-up rows repeated."""
+    if not hot:
+        return big.join(lookup, keys)
+    is_hot = F.col(column).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*big.columns), F.lit(HOT_SALTS)).cast("int")).otherwise(0)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return big.withColumn("salt", salt).join(lookup.withColumn("salt", F.explode(salts)), [*keys, "salt"]).drop("salt")
+
+
+def _live_runs(blocks: DataFrame, window: int, gram: int) -> DataFrame:
     """The runs whose anchor occurs twice, one row per occurrence."""
-    runs = stored(texts.mapInArrow(_find_runs(window, gram), RUN), "runs")
+    runs = stored(blocks.select("block", "texts").mapInArrow(_find_runs(window, gram), RUN), "runs")
     anchors = stored(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    floor = runs.count() * HOT_SHARE + 1
-    # Fewer than 1 / HOT_SHARE anchors can own more than that share.
-    hot = [(r["h"],) for r in anchors.where(F.col("n") > floor).collect()]
-    return stored(lookup_join(runs, anchors.select("h"), ["h"], how="inner", hot=hot), "live-runs")
+    return stored(_met(runs, anchors.select("h"), ["h"], "h", _hot(anchors, "h", "n")), "live-runs")
 
 
-def _edges(texts: DataFrame, live: DataFrame, window: int) -> DataFrame:
-    source = F.min(F.struct("id", "th", "place")).alias("s")
-    kinds = stored(live.groupBy("h", "c").agg(F.count("*").alias("copies"), source), "different-runs")
-    rivals = stored(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("rivals")), "rivals")
-    flagged = lookup_join(kinds, rivals, ["h"])
-    run = F.struct("h", "c", "s.place", "copies", F.coalesce("rivals", F.lit(False)).alias("rivals"))
-    listed = stored(flagged.groupBy("s.id", "s.th").agg(F.collect_list(run).alias("runs")), "sources")
-    # Repeated rows of the table are one source of words.
-    wanted = lookup_join(texts, listed.select("id", "th", F.lit(True).alias("source")), ["id", "th"], how="inner")
-    sources = wanted.dropDuplicates(["id", "th"]).join(listed, ["id", "th"]).select("id", "th", "text", "runs")
-    return stored(sources.mapInArrow(_cut_edges(window), EDGE), "edges").withColumn("u", F.xxhash64("h", "e", "n"))
-
-
-def _paths(edges: DataFrame) -> DataFrame:
-    """(u, path) of all repeated edges: the path is named by one of its edges."""
-    repeated = edges.groupBy("u", "n").agg(
-        F.sum("copies").alias("copies"), F.min(F.struct("id", "th", "pos")).alias("s"), F.min("f").alias("f"), F.min("t").alias("t")
-    )
-    repeated = stored(repeated.where("copies > 1").select("u", "n", "s.*", "f", "t"), "repeated-edges")
+def _edges(blocks: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
+    """(h, c, i, n, u, f, t, copies, at): the edges of one source of each different run."""
+    anchors = stored(kinds.groupBy("h").agg(F.count("*").alias("n")), "run-kinds")
+    flagged = _met(kinds, anchors.select("h", (F.col("n") > 1).alias("rivals")), ["h"], "h", _hot(anchors, "h", "n"))
+    run = F.struct("h", "c", "s.place", "copies", "rivals")
+    listed = flagged.groupBy("s.block").agg(F.collect_list(run).alias("runs"))
+    return stored(blocks.select("block", "texts").join(listed, "block").mapInArrow(_cut_edges(window), EDGE), "edges")
+
+
+def _paths(edges: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(u, path) of all repeated edges, the path being named by one of its edges, and the edges that very many runs have."""
+    sums = F.sum("copies").alias("copies"), F.count("*").alias("runs")
+    repeated = edges.groupBy("u").agg(*sums, F.min("at").alias("at"), F.min("f").alias("f"), F.min("t").alias("t"))
+    repeated = stored(repeated.where("copies > 1"), "repeated-edges")
     alone = F.count("*") == 1
     out = repeated.groupBy(F.col("f").alias("node")).agg(F.min("u").alias("u"), alone.alias("one")).where("one")
     into = repeated.groupBy(F.col("t").alias("node")).agg(F.min("u").alias("prev"), alone.alias("one")).where("one")
     glue = out.join(into, "node").where("u <> prev").select("u", "prev")
-    along = Window.partitionBy("id", "th").orderBy("pos", "u")
-    before = (F.lag("u").over(along) == F.col("prev")) & (F.lag("pos").over(along) + F.lag("n").over(along) == F.col("pos"))
-    heads = repeated.select("u", "n", "id", "th", "pos").join(glue, "u", "left").withColumn("head", ~F.coalesce(before, F.lit(False)))
+    placed = repeated.select("u", F.shiftright("at", _AT_WORD + _AT_COUNT).alias("doc"), "at").join(glue, "u", "left")
+    along = Window.partitionBy("doc").orderBy("at", "u")
+    # Where the edge before ends: as many words on as it has windows.
+    n = F.lag("at").over(along).bitwiseAND(F.lit((1 << _AT_COUNT) - 1))
+    ends = F.shiftright(F.lag("at").over(along), _AT_COUNT) + n
+    before = (F.lag("u").over(along) == F.col("prev")) & (ends == F.shiftright("at", _AT_COUNT))
+    heads = placed.withColumn("head", ~F.coalesce(before, F.lit(False)))
     stretch = F.last(F.when(F.col("head"), F.col("u")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     stretches = stored(heads.withColumn("stretch", stretch).select("u", "prev", "head", "stretch"), "stretches")
     # Glued edges with different sources: the end of one stretch and the head of another.
-    ends = stretches.where("head and prev is not null").select(F.col("prev").alias("u"), F.col("stretch").alias("to"))
-    links = ends.join(stretches.select("u", F.col("stretch").alias("from")), "u").where("`from` <> to").select("to", "from")
-    joined = lookup_join(stretches.select("u", "stretch"), _first_stretches(stored(links, "stretch-links")), ["stretch"])
-    return stored(joined.select("u", F.coalesce("first", "stretch").alias("path")), "paths")
+    tails = stretches.where("head and prev is not null").select(F.col("prev").alias("u"), F.col("stretch").alias("to"))
+    links = tails.join(stretches.select("u", F.col("stretch").alias("from")), "u").where("`from` <> to").select("to", "from")
+    first = _first_stretches(stored(links, "stretch-links"))
+    # A chain is no longer than its documents together; the stretches of one are no hot key.
+    joined = stretches.select("u", "stretch").join(first, "stretch", "left").select("u", F.coalesce("first", "stretch").alias("path"))
+    return stored(joined, "paths"), _hot(repeated, "u", "runs")
 
 
 def _first_stretches(links: DataFrame) -> DataFrame:
@@ -245,25 +296,24 @@ def _merged(entries: Column) -> Column:
     return F.aggregate(entries, nothing, add)
 
 
-def _stretches(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, th, runs): for each document with repeated edges, its runs as (start, entries on paths)."""
-    texts = _keyed(docs).select("id", "th", "text")
-    # So many words have a letter each and blanks between them.
-    live = _live_runs(texts.where(F.octet_length("text") >= 2 * window - 1), window, gram)
-    edges = _edges(texts, live, window)
-    found = lookup_join(edges.select("h", "c", "i", "n", "u"), _paths(edges), ["u"], how="inner")
+def _block_runs(blocks: DataFrame, window: int, gram: int) -> DataFrame:
+    """(block, runs): for each block with repeated edges, its runs as (place, entries on paths)."""
+    live = _live_runs(blocks, window, gram)
+    source = F.min(F.struct("block", "place")).alias("s")
+    kinds = stored(live.groupBy("h", "c").agg(F.count("*").alias("copies"), source), "different-runs")
+    edges = _edges(blocks, kinds, window)
+    paths, hot = _paths(edges)
+    found = _met(edges.select("h", "c", "i", "n", "u"), paths, ["u"], "u", hot)
     entries = found.groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("i", "n", "path"))).alias("entries"))
     marked = stored(entries.select("h", "c", _merged(F.col("entries")).alias("entries")), "marked-runs")
-    placed = lookup_join(live, marked, ["h", "c"], how="inner", broadcast_rows=WIDE_ROWS)
-    start = F.shiftright("place", _COUNT_BITS).alias("start")
-    return placed.groupBy("id", "th").agg(F.collect_set(F.struct(start, "entries")).alias("runs"))
+    placed = _met(live, marked, ["h", "c"], "c", _hot(kinds, "c", "copies"))
+    return placed.groupBy("block").agg(F.collect_list(F.struct("place", "entries")).alias("runs"))
 
 
-def merged_spans(runs: list[dict], window: int) -> list[tuple[int, int, int]]:
-    """(first word, words, path) of a document: neighbouring edges of one path are one span."""
-    edges = sorted((r["start"] + x["i"], x["n"], x["path"]) for r in runs for x in r["entries"])
+def merged_spans(edges: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int]]:
+    """(first word, words, path) of a document: neighbouring edges (first window, windows, path) of one path are one span."""
     spans: list[list[int]] = []
-    for first, n, path in edges:
+    for first, n, path in sorted(edges):
         if spans and spans[-1][2] == path and spans[-1][0] + spans[-1][1] == first:
             spans[-1][1] += n
         else:
@@ -272,56 +322,50 @@ def merged_spans(runs: list[dict], window: int) -> list[tuple[int, int, int]]:
 
 
 SPANS = "spans array<struct<first: bigint, words: bigint, path: bigint>>"
-REMOVED = "n_words bigint, n_removed bigint, kept string"
+_SPANS_ARROW = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("path", pa.int64())]))
+REMOVED = f"n_words bigint, n_removed bigint, kept string, {SPANS}"
 
 
-def _remove(window: int):
+def _remove(window: int, kind: pa.DataType):
+    schema = pa.schema(
+        [("doc_id", kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", _SPANS_ARROW)]
+    )
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for text, runs in zip(batch.column("text").cast(pa.large_binary()), batch.column("runs")):
-                words = text.as_py().split()
-                # Spans of different paths may overlap; their first words ascend.
-                kept, upto = [], 0
-                for first, size, _ in merged_spans(runs.as_py() or [], window):
-                    kept += words[upto:first]
-                    upto = max(upto, first + size)
-                kept += words[upto:]
-                for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept).decode())):
-                    column.append(value)
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_words", "n_removed", "kept"])
+            for ids, texts, runs in zip(batch.column("ids"), batch.column("texts"), batch.column("runs").to_pylist()):
+                edges: list[list] = [[] for _ in range(len(texts))]
+                for run in runs or []:
+                    row, start, _ = _unpacked(run["place"])
+                    edges[row] += [(start + x["i"], x["n"], x["path"]) for x in run["entries"]]
+                out: list[list] = [[], [], [], []]
+                for text, found in zip(texts.values.cast(pa.large_binary()), edges):
+                    words = text.as_py().split()
+                    spans = merged_spans(found, window)
+                    # Spans of different paths may overlap; their first words ascend.
+                    kept, upto = [], 0
+                    for first, size, _ in spans:
+                        kept += words[upto:first]
+                        upto = max(upto, first + size)
+                    kept += words[upto:]
+                    listed = [{"first": a, "words": n, "path": p} for a, n, p in spans]
+                    for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept).decode(), listed)):
+                        column.append(value)
+                columns = [pa.array(v, f.type) for v, f in zip(out, list(schema)[1:])]
+                yield pa.RecordBatch.from_arrays([ids.values, *columns], schema=schema)
 
     return remove
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, th, spans): for each different document with repeated windows, its spans as (first word, words, path).
-
-    ``th`` is the hash of the text, ``path`` names the compacted path of the graph that a span lies on; spans of several
-    documents with one path are the same passage or parts of it.
-    """
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("path", pa.int64())]))
-        for batch in batches:
-            lists = [[{"first": a, "words": n, "path": p} for a, n, p in merged_spans(r, window)] for r in batch.column("runs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(lists, kind)], names=["id", "th", "spans"])
-
-    return _stretches(docs, window, gram).mapInArrow(spans, f"id bigint, th bigint, {SPANS}")
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the documents without the words of repeated windows, joined by blanks.
+    """(doc_id, n_words, n_removed, kept, spans): the documents without the words of repeated windows, joined by blanks.
 
     Words stand between white space (blank and 0x09 to 0x0D). A null text has none. Rows are documents, also when ids or
-    whole rows repeat: equal rows repeat each other. Documents with fewer words than a window keep all. Other columns
-    are not read. An empty table gives no rows.
+    whole rows repeat: equal rows repeat each other. Documents with fewer words than a window keep all. ``spans`` tells
+    what was found: (first word, words, path), where ``path`` names the compacted path of the graph; spans of several
+    documents with one path are the same passage or parts of it. Other columns are not read. An empty table gives no rows.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = stored(_stretches(docs, window, gram), "repeated-runs")
-    keyed = _keyed(docs)
-    told = lookup_join(keyed, spans.select("id", "th", F.lit(True).alias("hit")), ["id", "th"])
-    hit = told.where("hit").join(spans, ["id", "th"]).select("doc_id", "text", "runs")
-    clean = told.where("hit is null").select("doc_id", "text", F.lit(None).cast(spans.schema["runs"].dataType).alias("runs"))
-    return clean.unionByName(hit).mapInArrow(_remove(window), f"doc_id {kind}, {REMOVED}")
+    kind = docs.schema["doc_id"].dataType
+    blocks = _stored_blocks(docs)
+    runs = _block_runs(blocks, window, gram)
+    return blocks.join(runs, "block", "left").mapInArrow(_remove(window, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {REMOVED}")

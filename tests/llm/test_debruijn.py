@@ -52,28 +52,37 @@ def near_copies(seed=5):
 def test_removal_equals_brute_force(spark, window, gram):
     made = near_copies() + [(900 + i, f"Upper lower UPPER {i} " * 30) for i in range(2)]
     docs = spark.createDataFrame(made, "doc_id bigint, text string").repartition(5)
-    got = [tuple(r) for r in debruijn.remove_repeats(docs, window=window, gram=gram).collect()]
+    got = [tuple(r)[:4] for r in debruijn.remove_repeats(docs, window=window, gram=gram).collect()]
     assert sorted(got) == sorted(plain(made, window))
 
 
-def test_small_blocks_and_wide_look_ups_change_nothing(spark, monkeypatch):
-    """Runs cut at blocks, salted look-ups for every key, texts in portions of one."""
-    monkeypatch.setattr(debruijn, "WIDE_ROWS", 0)
+def test_small_blocks_and_salted_look_ups_change_nothing(spark, monkeypatch):
+    """Blocks of few texts, and every key that occurs twice salted as if it were hot."""
+    monkeypatch.setattr(debruijn, "HOT_SHARE", 0)
     made = near_copies(6)
-    docs = spark.createDataFrame(made, "doc_id bigint, text string").coalesce(1)
-    got = [tuple(r) for r in debruijn.remove_repeats(docs).collect()]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string").repartition(20)
+    got = [tuple(r)[:4] for r in debruijn.remove_repeats(docs).collect()]
     assert sorted(got) == sorted(plain(made, 35))
+
+
+def test_blocks_and_portions_of_windows(monkeypatch):
+    made = near_copies(7)
     words = debruijn.Words([t.encode() for _, t in made])
-    whole = {(int(t), int(f) + k, int(h)) for ts, hs, fs, ns in debruijn.anchor_runs(words, 35, 8) for t, h, f, n in zip(ts, hs, fs, ns) for k in range(n)}
-    monkeypatch.setattr(debruijn, "BLOCK", 50)
-    cut = {(int(t), int(f) + k, int(h)) for ts, hs, fs, ns in debruijn.anchor_runs(words, 35, 8) for t, h, f, n in zip(ts, hs, fs, ns) for k in range(n)}
-    assert cut == whole and len(whole) == sum(max(0, n - 34) for n in words.counts)
+
+    def windows():
+        runs = debruijn.anchor_runs(words, 35, 8)
+        return {(int(t), int(f) + k, int(h)) for ts, hs, fs, ns in runs for t, h, f, n in zip(ts, hs, fs, ns) for k in range(n)}
+
+    whole = windows()
+    monkeypatch.setattr(debruijn, "WINDOWS", 50)
+    assert windows() == whole and len(whole) == sum(max(0, n - 34) for n in words.counts)
+    assert debruijn._unpacked((((3 << debruijn._START_BITS) | 70_000) << debruijn._COUNT_BITS) | 28) == (3, 70_000, 28)
 
 
 def test_edge_rows(edge, nothing):
     small = edge.where("doc_id is null or doc_id <> 8")
     rows = [r for r in ROWS if r[0] != 8]
-    assert by_repr(tuple(r) for r in debruijn.remove_repeats(small, window=6, gram=2).collect()) == by_repr(plain(rows, 6))
+    assert by_repr(tuple(r)[:4] for r in debruijn.remove_repeats(small, window=6, gram=2).collect()) == by_repr(plain(rows, 6))
     assert debruijn.remove_repeats(nothing).collect() == []
     # The long text repeats itself all over; clashing and dotted names are not read.
     long_ = edge.where("doc_id = 8").withColumns({"a.b": F.lit(1), "__id": F.lit(2), "runs": F.lit(3)})
@@ -90,7 +99,7 @@ def test_paths_name_passages(spark):
         around = [[f"f{x}" for x in rng.integers(0, 10**9, 50)] for _ in range(2)]
         rows.append((k, " ".join(around[0] + passage[10 * k :] + around[1])))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    spans = {r["id"]: [tuple(s) for s in r["spans"]] for r in debruijn.repeated_spans(docs).collect()}
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in debruijn.remove_repeats(docs).collect()}
     # The first ten words are in one document only.
     assert {k: [s[:2] for s in v] for k, v in spans.items()} == {0: [(60, 190)], **{k: [(50, 200 - 10 * k)] for k in range(1, 6)}}
     assert len({s[2] for v in spans.values() for s in v}) == 1
@@ -108,9 +117,9 @@ def test_paths_do_not_pass_a_branching_node(spark):
     rows = [(i, around(stem + (one if i % 2 else two))) for i in range(4)]
     paths = defaultdict(set)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for r in debruijn.repeated_spans(docs).collect():
+    for r in debruijn.remove_repeats(docs).collect():
         assert [s["first"] for s in r["spans"]] == [40, 40 + 80 - 34]
-        paths[r["id"]] = [s["path"] for s in r["spans"]]
+        paths[r["doc_id"]] = [s["path"] for s in r["spans"]]
     assert len({p[0] for p in paths.values()}) == 1 and paths[0] == paths[2] and paths[1] == paths[3] and paths[0][1] != paths[1][1]
 
 
