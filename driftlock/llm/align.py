@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import public_tokenizers
@@ -68,42 +68,57 @@ def pieces(name: str = PIECES) -> tuple[Callable[[str], list[int]], list[bytes]]
 Group = tuple[list[int], list[int]]
 
 
-def common_slices(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
-    """(tokens of a, tokens of b) up to each byte place at which both have an end, in order. Sizes are positive."""
-    a_ends = {end: i for i, end in enumerate(accumulate(a_sizes), 1)}
-    b_ends = {end: i for i, end in enumerate(accumulate(b_sizes), 1)}
-    return [(a_ends[end], b_ends[end]) for end in sorted(a_ends.keys() & b_ends.keys())]
-
-
-def aligned(text: str | None, a_name: str = BYTE_LEVEL, b_name: str = PIECES) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-    """(ids of a, ids of b, common slices); nothing for a text that is null or empty, or that either side changes."""
-    if not text:
-        return [], [], []
-    (encode_a, bytes_a), (encode_b, bytes_b) = byte_level(a_name), pieces(b_name)
-    a, b = encode_a(text), encode_b(text)
-    raw = b" " + text.encode()
-    of_a, of_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-    if b"".join(of_a) != raw or b"".join(of_b) != raw:
-        return [], [], []
-    return a, b, common_slices([*map(len, of_a)], [*map(len, of_b)])
-
-
-def groups(a: list[int], b: list[int], slices: list[tuple[int, int]]) -> list[Group]:
-    """The ids of both sides in each slice."""
-    starts = [(0, 0), *slices[:-1]]
-    return [(a[i:x], b[j:y]) for (i, j), (x, y) in zip(starts, slices)]
-
-
-def _digest(a: list[int], b: list[int], slices: list[tuple[int, int]]) -> str:
-    if not slices:
-        return ""
-    sa, sb = [*map(str, a)], [*map(str, b)]
-    out = []
-    i = j = 0
-    for x, y in slices:
-        out.append(f"{sa[i] if x == i + 1 else ','.join(sa[i:x])}|{sb[j] if y == j + 1 else ','.join(sb[j:y])}")
-        i, j = x, y
-    return hashlib.sha256(";".join(out).encode()).hexdigest()
+def common_slices(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[list[int], list[int]]:
+    """The tokens of a and those of b up to each byte place at which both have an end, in order. Sizes are positive."""
+    a_ends, b_ends = (dict(zip(accumulate(sizes), count(1))) for sizes in (a_sizes, b_sizes))
+    common = sorted(a_ends.keys() & b_ends.keys())
+    return [*map(a_ends.__getitem__, common)], [*map(b_ends.__getitem__, common)]
+
+
+class Aligner:
+    """Both tokenizers, with the bytes, their number, and the decimal form of every id."""
+
+    def __init__(self, a_name: str = BYTE_LEVEL, b_name: str = PIECES):
+        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = byte_level(a_name), pieces(b_name)
+        self.sizes_a, self.sizes_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
+        # Every id in decimal form, three times: as an inner token of a slice, and as the last one of either side.
+        self.shown = np.array([f"{i}{mark}".encode() for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"])
+
+    def slices(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
+        """(ids of a, ids of b, where each slice ends among a, and among b); nothing for a text that is null or empty, or
+        that either side changes."""
+        if not text:
+            return [], [], [], []
+        a, b = self.encode_a(text), self.encode_b(text)
+        raw = b" " + text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return [], [], [], []
+        return a, b, *common_slices(map(self.sizes_a.__getitem__, a), map(self.sizes_b.__getitem__, b))
+
+    def groups(self, text: str | None) -> list[Group]:
+        """The ids of both sides in each slice."""
+        a, b, ends_a, ends_b = self.slices(text)
+        return [(a[i:x], b[j:y]) for i, x, j, y in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
+
+    def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
+        """(tokens of a, tokens of b, groups, digest of the groups, linked pairs)"""
+        a, b, ends_a, ends_b = self.slices(text)
+        if not a:
+            return 0, 0, 0, "", np.empty(0, np.int64)
+        ids_a, ids_b, ends_a, ends_b = (np.array(x, np.int64) for x in (a, b, ends_a, ends_b))
+        last_a, last_b = ends_a - 1, ends_b - 1
+        # Both sides of a slice in turn: before a token of a stand the tokens of b in earlier slices, before one of b those
+        # of a up to its own slice. Behind the last token of a in a slice comes a bar, behind that of b a semicolon.
+        place_a = np.arange(len(a)) + np.r_[0, ends_b][np.searchsorted(ends_a, np.arange(len(a)), "right")]
+        place_b = np.arange(len(b)) + ends_a[np.searchsorted(ends_b, np.arange(len(b)), "right")]
+        shown = np.empty(len(a) + len(b), np.int64)
+        shown[place_a], shown[place_b] = 3 * ids_a, 3 * ids_b
+        shown[place_a[last_a]] += 1
+        shown[place_b[last_b]] += 2
+        told = self.shown[shown].tobytes().replace(b"\0", b"")
+        # The last tokens of each slice are those that end together.
+        links = (ids_a[last_a] << _B_BITS) | ids_b[last_b]
+        return len(a), len(b), len(ends_a), hashlib.sha256(told[:-1]).hexdigest(), links
 
 
 _COUNTS = ("id", "n_a", "n_b", "n_groups")
@@ -134,6 +149,7 @@ def _block(number: int, rows: list[tuple], links: list[np.ndarray]) -> dict:
 def _blocks(a_name: str, b_name: str, block_links: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
+        aligner = Aligner(a_name, b_name)
         rows, links, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -144,11 +160,10 @@ def _blocks(a_name: str, b_name: str, block_links: int):
 
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                a, b, slices = aligned(text.as_py(), a_name, b_name)
-                rows.append((doc, len(a), len(b), len(slices), _digest(a, b, slices)))
-                # The last tokens of each slice are those that end together.
-                links.append(np.array([(a[x - 1] << _B_BITS) | b[y - 1] for x, y in slices], np.int64))
-                size += len(slices) + 1
+                n_a, n_b, n, digest, linked = aligner.document(text.as_py())
+                rows.append((doc, n_a, n_b, n, digest))
+                links.append(linked)
+                size += n + 1
                 if size >= block_links:
                     yield flush()
                     number, size = number + 1, 0
@@ -223,9 +238,10 @@ def align_documents(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, block
 
 def _listed(a_name: str, b_name: str):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner(a_name, b_name)
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                found = groups(*aligned(text.as_py(), a_name, b_name))
+                found = aligner.groups(text.as_py())
                 yield pa.RecordBatch.from_pylist([{"doc_id": doc, "groups": [{"a": x, "b": y} for x, y in found]}], _GROUPS_ARROW)
 
     return listed

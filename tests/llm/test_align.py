@@ -1,5 +1,6 @@
 """Cross-tokenizer alignment against a plain version with the full tokenizers."""
 
+import bisect
 import hashlib
 from collections import Counter, defaultdict
 
@@ -55,11 +56,12 @@ def plain(rows, tokenizers):
     for doc, text in rows:
         a, b = tokens(text, tokenizers)
         ea, eb = ends(a), ends(b)
-        cuts = [e for e in ea if e in set(eb)]
-        groups, last = [], 0
-        for cut in cuts:
-            groups.append(([i for (i, _), e in zip(a, ea) if last < e <= cut], [i for (i, _), e in zip(b, eb) if last < e <= cut]))
-            last = cut
+        of_b = set(eb)
+        cuts = [e for e in ea if e in of_b]
+        groups = [([], []) for _ in cuts]
+        for side, (toks, ends_) in enumerate(((a, ea), (b, eb))):
+            for (i, _), e in zip(toks, ends_):
+                groups[bisect.bisect_left(cuts, e)][side].append(i)
         at_b = {e: i for (i, _), e in zip(b, eb)}
         links = [(i, at_b[e]) for (i, _), e in zip(a, ea) if e in at_b]
         count.update(links)
