@@ -181,6 +181,50 @@ def document_diff(spark, sf_dir):
     return unified_diff(changed_documents(spark, sf_dir), ["doc_id"], spread=spark.sparkContext.defaultParallelism)
 
 
+def _desks(spark, sf_dir, version, name):
+    """The orders of a desk as one text: numbered lines in order, each of them once."""
+    price = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")
+    line = F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority", price)
+    lines = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), line.alias("line"))))
+    orders = derived(spark, sf_dir, version).withColumn("desk", F.floor(F.col("o_custkey") / 50).cast("bigint"))
+    return orders.groupBy("desk").agg(F.array_join(lines["line"], "\n").alias(name))
+
+
+@query(
+    "unified_diff_numbered_lk5",
+    with_derived(
+        "orders_v1 orders_v2",
+        """
+        WITH o AS (
+            SELECT o_custkey // 50 AS desk, o_orderkey AS k,
+                   o_orderkey || ' ' || o_orderpriority || ' ' || CAST(round(o_totalprice * 100) AS BIGINT) AS line FROM orders_v1),
+        n AS (
+            SELECT o_custkey // 50 AS desk, o_orderkey AS k,
+                   o_orderkey || ' ' || o_orderpriority || ' ' || CAST(round(o_totalprice * 100) AS BIGINT) AS line FROM orders_v2),
+        edits AS (
+            SELECT desk, k, line, CASE WHEN line = other THEN 2 ELSE 0 END AS kind
+            FROM (SELECT o.desk, o.k, o.line, n.line AS other FROM o LEFT JOIN n USING (desk, k))
+            UNION ALL
+            SELECT desk, k, line, 1 FROM (SELECT n.desk, n.k, n.line, o.line AS other FROM n LEFT JOIN o USING (desk, k))
+            WHERE other IS NULL OR other <> line),
+        placed AS (
+            SELECT *, min(CASE WHEN kind = 2 THEN k END) OVER (PARTITION BY desk ORDER BY k RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next
+            FROM edits WHERE desk IN (SELECT desk FROM o) AND desk IN (SELECT desk FROM n)),
+        near AS (
+            SELECT *, bool_or(kind < 2) OVER (o ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, row_number() OVER o AS i
+            FROM placed WINDOW o AS (PARTITION BY desk ORDER BY next NULLS LAST, kind, k)),
+        shown AS (SELECT *, lag(near) OVER (PARTITION BY desk ORDER BY i) AS before FROM near)
+        SELECT desk, string_agg(CASE WHEN NOT before THEN '  …' || chr(10) ELSE '' END || ['- ', '+ ', '  '][kind + 1] || line, chr(10) ORDER BY i) AS diff
+        FROM shown WHERE near GROUP BY desk
+        """,
+    ),
+)
+def numbered_diff(spark, sf_dir):
+    """Lines that are single and ascend on both sides have one longest common subsequence, so SQL can tell the hunks."""
+    old, new = (_desks(spark, sf_dir, *x) for x in (("orders_v1", "old"), ("orders_v2", "new")))
+    return unified_diff(old.join(new, "desk").where("old <> new"), ["desk"])
+
+
 # --- PRJ15 ----------------------------------------------------------------------------------------------------
 
 
