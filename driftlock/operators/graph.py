@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlock import vocab
 from driftlock.functions.names import lock_name
-from driftlock.operators.lookup import BROADCAST_ROWS, hot_keys, lookup_join
-from driftlock.session import cut_lineage
+from driftlock.operators.lookup import BROADCAST_ROWS, HOT_SALTS, hot_keys, lookup_join
+from driftlock.session import cut_lineage, scratch_path
 
 # --- JN1, JN2, AG3 --------------------------------------------------------------------------------------------
 
@@ -98,6 +99,61 @@ def changed_paths(df: DataFrame, root: str, exts: list[str] = vocab.TRACKED_EXTE
 
 
 _ROUNDS_PER_MERGE = 16
+# Edges up to this many stay one table that each round scans; more are stored by their callee.
+PLAIN_EDGES = 2_000_000
+
+
+class StoredIds:
+    """A table of ids and what goes with them, stored with one partitioning for all rounds of a walk.
+
+    Rows lie in folders by a hash of (id, salt), so a reader names the folders it needs, and in every folder they are
+    bucketed by (id, salt), so a join with rows that are dealt alike does not shuffle them again. ``hubs`` are the ids
+    that own a large share of the rows: theirs are salted over many folders and buckets, all others have salt 0.
+    """
+
+    FOLDER, SALT = "__folder", "__salt"
+
+    def __init__(self, spark: SparkSession, id_col: str, salted_by: str | None, hubs: list[tuple], folders: int = 64):
+        self.spark, self.id_col, self.salted_by, self.folders = spark, id_col, salted_by, folders
+        self.name = f"driftlock_{uuid.uuid4().hex}"
+        self.path = scratch_path(spark, "walk")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.hubs = [h[0] for h in hubs]
+
+    def dealt(self, df: DataFrame, salt: Column) -> DataFrame:
+        """The rows with their salt and their folder."""
+        folder = F.pmod(F.xxhash64(F.col(self.id_col), F.col(self.SALT)), F.lit(self.folders)).cast("int")
+        return df.withColumn(self.SALT, salt).withColumn(self.FOLDER, folder)
+
+    def append(self, rows: DataFrame) -> None:
+        is_hub = F.col(self.id_col).isin(self.hubs) if self.hubs else F.lit(False)
+        spread = F.pmod(F.xxhash64(self.salted_by), F.lit(HOT_SALTS)).cast("int") if self.salted_by else F.lit(0)
+        dealt = self.dealt(rows, F.when(is_hub, spread).otherwise(0))
+        (
+            dealt.repartition(self.buckets, self.id_col, self.SALT)
+            .write.format("parquet")
+            .partitionBy(self.FOLDER)
+            .bucketBy(self.buckets, self.id_col, self.SALT)
+            .sortBy(self.id_col, self.SALT)
+            .option("path", self.path)
+            .mode("append")
+            .saveAsTable(self.name)
+        )
+
+    def asked(self, ids: DataFrame) -> DataFrame:
+        """Ids as they are looked up: a hub once for each of its salts."""
+        if not self.hubs:
+            return self.dealt(ids, F.lit(0))
+        salts = F.when(F.col(self.id_col).isin(self.hubs), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+        return self.dealt(ids, F.explode(salts))
+
+    def part(self, asked: DataFrame) -> DataFrame:
+        """The rows in the folders that ``asked`` names: a list no longer than there are folders. Others are not opened."""
+        wanted = sorted(r[0] for r in asked.select(self.FOLDER).distinct().collect())
+        return self.spark.table(self.name).where(F.col(self.FOLDER).isin(wanted)).drop(self.FOLDER)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def change_scope(
@@ -105,15 +161,19 @@ def change_scope(
     edges: DataFrame,
     changed: DataFrame,
     broadcast_rows: int = BROADCAST_ROWS,
+    plain_edges: int = PLAIN_EDGES,
 ) -> DataFrame:
     """JN8: ids of units in changed files plus everything that transitively calls them.
 
     Breadth-first: each round joins the newest ids with the edges and drops what was seen, so cycles end. A caller
     that is no unit is not walked through: edges of such callers are dropped before the first round. Every
-    round is checkpointed, which cuts the growing plan and keeps finished rounds when an executor is lost. A
-    frontier of counted, small size is broadcast and the edges stay where they are; a larger one is shuffled,
-    with the callers of hubs split over tasks. Hubs are looked up once, when the first large frontier comes.
+    round is checkpointed, which cuts the growing plan and keeps finished rounds when an executor is lost.
+
+    Edges of counted, small number stay one table. More are stored by callee once, and so is what was seen, by id: a
+    round opens only the folders of its newest ids and of the ids they reach, and whether the newest ids are broadcast
+    or dealt like the edges, the edges are not shuffled again. Callers of hubs lie spread over many folders.
     """
+    spark = units.sparkSession
     paths = changed.select(F.lower("path").alias("__path")).distinct()
     frontier = cut_lineage(
         units.withColumn("__path", F.lower("path"))
@@ -122,9 +182,13 @@ def change_scope(
         .distinct()
     )
     size = frontier.count()
-    seen = frontier
+    if not size:
+        return frontier
     known = units.select(F.col("unit_id").alias("caller_id")).distinct()
     calls = cut_lineage(edges.select("caller_id", "callee_id").join(known, "caller_id", "left_semi"))
+    if calls.count() > plain_edges:
+        return _stored_walk(spark, frontier, size, calls, broadcast_rows)
+    seen = frontier
     hubs = None
     rounds = 0
     while size:
@@ -147,6 +211,33 @@ def change_scope(
     return seen
 
 
+def _stored_walk(spark: SparkSession, frontier: DataFrame, size: int, calls: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The walk over edges that are stored by callee, with the seen ids stored alike."""
+    by_callee = StoredIds(spark, "callee_id", "caller_id", hot_keys(calls, ["callee_id"]))
+    seen = StoredIds(spark, "unit_id", None, [])
+    try:
+        by_callee.append(calls)
+        while size:
+            seen.append(frontier)
+            reached = callers(by_callee, frontier, size, broadcast_rows)
+            reached = cut_lineage(reached.select(F.col("caller_id").alias("unit_id")).distinct())
+            asked = seen.asked(reached)
+            frontier = cut_lineage(asked.join(seen.part(asked), ["unit_id", StoredIds.SALT], "left_anti").select("unit_id"))
+            size = frontier.count()
+        return cut_lineage(spark.table(seen.name).select("unit_id"))
+    finally:
+        by_callee.drop()
+        seen.drop()
+
+
+def callers(by_callee: StoredIds, frontier: DataFrame, size: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The edges into the newest ids. Ids of counted, small number are broadcast, others dealt like the edges."""
+    asked = by_callee.asked(frontier.withColumnRenamed("unit_id", "callee_id"))
+    part = by_callee.part(asked)
+    asked = asked.select("callee_id", StoredIds.SALT)
+    return part.join(F.broadcast(asked) if size <= broadcast_rows else asked.hint("merge"), ["callee_id", StoredIds.SALT])
+
+
 def lock_names(units: DataFrame) -> DataFrame:
     """Units with the name their lock is stored under."""
     return units.withColumn("lock_name", lock_name(F.col("display_name"), F.col("unit_id")))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftlock.operators.lookup import BROADCAST_ROWS
 from driftlock.operators.verify import ADDED, CHANGED, IDENTICAL, is_changed, locked_columns, paired
+from driftlock.session import scratch_path
+from driftlock.sources.buckets import BUCKET, BucketedTable, write_buckets
 
 
 def batch_verdicts(batch: DataFrame, baseline: DataFrame, keys: list[str], cols: list[str] | None = None) -> DataFrame:
@@ -25,9 +26,15 @@ def batch_verdicts(batch: DataFrame, baseline: DataFrame, keys: list[str], cols:
     )
 
 
+def stored_baseline(baseline: DataFrame, keys: list[str], path: str | None = None, buckets: int | None = None) -> BucketedTable:
+    """The baseline in folders by a hash of its keys, for any number of streams. One shuffle, once."""
+    path = path or scratch_path(baseline.sparkSession, "stream-baseline")
+    return write_buckets(baseline, path, keys, buckets)
+
+
 def verify_stream(
     stream: DataFrame,
-    baseline: DataFrame,
+    baseline: DataFrame | BucketedTable,
     keys: list[str],
     out: str,
     checkpoint: str,
@@ -36,18 +43,22 @@ def verify_stream(
 ) -> StreamingQuery:
     """ST1: verdict counts per micro-batch, written under ``out/batch_id=N``.
 
-    A batch that is run again after a failure overwrites its own folder, so counts are exact. A batch of counted,
-    small size broadcasts its keys to the baseline first, which is then scanned but not shuffled.
+    A batch that is run again after a failure overwrites its own folder, so counts are exact. The baseline lies in
+    folders by a hash of its keys (``stored_baseline``; a DataFrame is stored so first), and a batch opens only the
+    folders of its own keys: a small batch reads a small part, whatever the size of the baseline. What is read of it
+    is joined by the keys, and broadcast where its bytes allow.
     """
-    null_safe = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    spark = stream.sparkSession
+    if not isinstance(baseline, BucketedTable):
+        baseline = stored_baseline(baseline, keys)
+    if list(baseline.keys) != list(keys):
+        raise ValueError(f"the baseline is stored by {list(baseline.keys)}, not by {list(keys)}")
+    # Its folders are listed once.
+    whole = baseline.read(spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        known = baseline
-        if batch.count() <= BROADCAST_ROWS:
-            wanted = batch.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
-            known = baseline.join(F.broadcast(wanted), null_safe, "left_semi")
-        counts = batch_verdicts(batch, known, keys, cols).groupBy("status").agg(F.count("*").alias("n"))
+        counts = batch_counts(batch, baseline, whole, cols)
         counts.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         batch.unpersist()
 
@@ -59,6 +70,14 @@ def verify_stream(
     )
 
 
+def batch_counts(batch: DataFrame, baseline: BucketedTable, whole: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Verdict counts of one batch against the folders that its keys may be in."""
+    keys = list(baseline.keys)
+    locked_columns(whole.drop(BUCKET), batch, keys, cols)
+    verdicts = batch_verdicts(batch, baseline.part(whole, batch), keys, cols)
+    return verdicts.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def verdict_windows(verdicts: DataFrame, time_col: str, width: str, lateness: str) -> DataFrame:
     """ST2: changed and total verdicts per tumbling event-time window; later rows than ``lateness`` are dropped.
 
