@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftlock import vocab
+from driftlock.functions.bind import let
 from driftlock.functions.canonical import as_text
+from driftlock.functions.checked import Checked, CheckedRow
 from driftlock.functions.scrub import scrub, string_columns, text_columns
 from driftlock.operators.verify import IDENTICAL, is_changed, paired, schema_break, verify
 from driftlock.session import cut_lineage
@@ -37,13 +39,14 @@ def _display(df: DataFrame, cols: list[str]) -> Column:
 
 def capture(
     inputs: DataFrame,
-    transform: Callable[[DataFrame], DataFrame],
+    transform: Callable[[DataFrame], DataFrame] | None,
     unit_col: str,
     entry_col: str,
     input_cols: list[str],
     outcome_cols: list[str],
     capture_cols: list[str] = (),
     errors: Callable[[DataFrame], list[ErrorRule]] | None = None,
+    checked: Callable[[CheckedRow], dict[str, Checked]] | None = None,
 ) -> DataFrame:
     """LK1: run the transform on every input row and record the outcome, or the error as data.
 
@@ -51,8 +54,23 @@ def capture(
     text, several as JSON, none as the void marker. ``errors`` are conditions over the transformed row, usually
     about a null that a ``try_`` function left; the first that holds is the outcome. Values print the same on
     every run: maps are sorted and the session time zone must be fixed. A narrow projection, no shuffle.
+
+    ``checked`` needs no such conditions: it gets the transformed row (the input row without a transform) as
+    ``CheckedRow`` and returns further columns, built with ordinary operators. Each operation runs in its ``try_`` form,
+    and a row in which one overflows, divides by zero or doesn't convert has that error as its outcome, in the order in
+    which the columns are given, before the conditions of ``errors``.
     """
-    done = transform(inputs)
+    done = transform(inputs) if transform else inputs
+    failed = F.lit(None).cast("string")
+    if checked:
+        made = list(checked(CheckedRow(done)).items())
+        # Each result is computed once, as a struct, and taken apart behind it.
+        kept = [F.col(f"`{c}`") for c in done.columns if c not in dict(made)]
+        pairs = let(F.struct(*[v.pair.alias(f"r{i}") for i, (_, v) in enumerate(made)]), lambda r: r).alias("__made")
+        results = [F.col(f"__made.r{i}.value").alias(c) for i, (c, _) in enumerate(made)]
+        first = F.coalesce(*[F.col(f"__made.r{i}.error") for i in range(len(made))], F.lit(None).cast("string"))
+        done = done.select("*", pairs).select(*kept, *results, first.alias("__failed"))
+        failed = F.col("__failed")
     schema = done.schema
     if not outcome_cols:
         value = F.lit(vocab.VOID_OUTCOME)
@@ -65,6 +83,7 @@ def capture(
     for rule in reversed(errors(done) if errors else []):
         message = rule.message if isinstance(rule.message, Column) else F.lit(rule.message)
         error = F.when(rule.condition, F.concat(F.lit(rule.kind + ": "), message)).otherwise(error)
+    error = F.coalesce(failed, error)
     captures = [
         F.struct(F.lit(c).alias("name"), as_text(F.col(f"`{c}`"), schema[c].dataType).alias("value"))
         for c in capture_cols
