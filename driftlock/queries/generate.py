@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from driftlock import vocab
 from driftlock.operators import generate as gen
 from driftlock.queries.registry import derived, query, table, with_derived
 
+RULES_PER_TASK = 1000
+
 _PARAMS = [("size", "int"), ("price", "decimal"), ("flag", "bool?"), ("kind", "enum(Small, Large, Huge)"), ("ratio", "double")]
 
 
@@ -17,8 +21,9 @@ def rules(spark, sf_dir, extra: list[tuple[str, str]] = ()):
         *[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in [*_PARAMS, *extra]]
     )
     few = derived(spark, sf_dir, "rules_part").select("rule_id", params.alias("params"), "rule_text")
-    # Rules are short and expanding one takes long, so they are spread first, over as many tasks as the session shuffles to.
-    return few.repartition("rule_id")
+    # Rules are short and expanding one takes long, so they are dealt to tasks by their number: by their bytes, adaptive
+    # execution would put all into one.
+    return few.repartition(max(1, ceil(few.count() / RULES_PER_TASK)), "rule_id")
 
 
 def _null_text(col):
@@ -235,7 +240,8 @@ def union_candidates(spark, sf_dir):
     "already_seen_set3",
     _with_cands(
         _ONE_HOT
-        + """SELECT rule_id, row_no, "row" FROM onehot o WHERE "row" NOT IN (SELECT i."row" FROM onehot i WHERE i.rule_id = o.rule_id AND i.row_no <= 3)"""
+        + """SELECT rule_id, row_no, "row" FROM onehot o
+           ANTI JOIN (SELECT DISTINCT rule_id, "row" FROM onehot WHERE row_no <= 3) i USING (rule_id, "row")"""
     ),
 )
 def unseen_rows(spark, sf_dir):

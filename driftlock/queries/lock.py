@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftlock.functions.checked import when
 from driftlock.functions.names import lock_name
+from driftlock.operators import digests
 from driftlock.operators import lock as locking
 from driftlock.operators import mutate as mut
 from driftlock.operators import scores
@@ -206,6 +208,63 @@ def fingerprint(spark, sf_dir):
     )
 
 
+def _cents(df):
+    """Values that print the same everywhere."""
+    price = F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents")
+    return df.select("o_orderkey", "o_custkey", price, "o_orderstatus", "o_orderpriority")
+
+
+def _range_sql(version):
+    texts = ["o_orderkey", "o_custkey", "CAST(round(o_totalprice * 100) AS BIGINT)", "o_orderstatus", "o_orderpriority"]
+    framed = [f"coalesce(length(CAST({t} AS STRING)) || ':' || {t}, '-')" for t in texts]
+    return f"""SELECT substr(md5({framed[0]}), 1, 2) AS range, md5({" || ".join(framed)}) AS h, o_orderkey FROM {version}"""
+
+
+@query(
+    "range_digests_ag11",
+    with_derived(
+        "orders_v1",
+        f"""
+        WITH h AS ({_range_sql("orders_v1")})
+        SELECT range, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS STRING) AS sum_high,
+               CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS STRING) AS sum_low FROM h GROUP BY range
+        """,
+    ),
+)
+def range_digests(spark, sf_dir):
+    found = digests.range_digests(_cents(derived(spark, sf_dir, "orders_v1")), ["o_orderkey"], depth=2)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("sum_high", "sum_low")})
+
+
+@query(
+    "verify_ranges_jn7",
+    with_derived(
+        "orders_v1 orders_v2",
+        f"""
+        WITH few_v2 AS (
+            SELECT * FROM orders_v2 WHERE o_orderkey % 97 = 0 UNION ALL SELECT * FROM orders_v1 WHERE o_orderkey % 97 <> 0),
+        o AS ({_range_sql("orders_v1")}),
+        n AS ({_range_sql("few_v2")}),
+        pairs AS (
+            SELECT coalesce(o.range, n.range) AS range, o.h AS old, n.h AS new FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey),
+        hit AS (SELECT DISTINCT range FROM pairs WHERE old IS DISTINCT FROM new)
+        SELECT CASE WHEN range NOT IN (SELECT range FROM hit) THEN 'range with equal digests' WHEN new IS NULL THEN 'missing'
+                    WHEN old IS NULL THEN 'added' WHEN old = new THEN 'identical' ELSE 'changed' END AS status, count(*) AS n
+        FROM pairs GROUP BY 1
+        """,
+    ),
+)
+def verify_ranges(spark, sf_dir):
+    """A version in which few orders changed: their ranges are joined, the others told by their digests."""
+    old, new = (_cents(derived(spark, sf_dir, x)) for x in ("orders_v1", "orders_v2"))
+    now = new.where("o_orderkey % 97 = 0").unionByName(old.where("o_orderkey % 97 <> 0"))
+    stored = digests.write_ranges(old, scratch_path(spark, "ranges"), ["o_orderkey"], depth=2)
+    verdicts, ranges = digests.verify_ranges(stored, now)
+    skipped = ranges.where("same").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"))
+    told = verdicts.groupBy("status").agg(F.count("*").alias("n"))
+    return told.unionByName(skipped.select(F.lit("range with equal digests").alias("status"), "n")).where("n > 0")
+
+
 @query(
     "schema_break_lk9",
     """SELECT count(*) AS n_locked, 'error: locked column ''o_totalprice'' changed type from double to string' AS first_error,
@@ -331,6 +390,31 @@ def capture(spark, sf_dir):
     return entries.withColumn("captured", F.col("captures")[0]["value"]).drop("captures")
 
 
+@query(
+    "capture_checked_lk1",
+    """
+    SELECT CAST(o_custkey AS STRING) AS unit_id, o_orderkey AS entry_no,
+           CASE WHEN greatest(o_orderkey, 1) * o_custkey * 1000 > 2147483647 THEN 'ARITHMETIC_OVERFLOW: overflow'
+                WHEN o_custkey = 0 THEN 'DIVIDE_BY_ZERO: division by zero'
+                WHEN o_orderstatus = 'P' THEN 'CAST_INVALID_INPUT: ''P'' is no int'
+                ELSE CAST(o_orderkey * o_custkey * 1000 AS STRING) END AS outcome,
+           greatest(o_orderkey, 1) * o_custkey * 1000 > 2147483647 OR o_custkey = 0 OR o_orderstatus = 'P' AS is_error
+    FROM orders
+    """,
+)
+def capture_checked(spark, sf_dir):
+    """Whole numbers that overflow, a division by zero, and a status that is no number: errors that nobody declared."""
+
+    def logic(row):
+        load = row["o_orderkey"].cast("int") * row["o_custkey"].cast("int") * 1000
+        code = when(row["o_orderstatus"] == "P", row["o_orderstatus"].cast("int")).otherwise(1)
+        return {"load": load, "share": row["o_totalprice"] / row["o_custkey"], "code": code}
+
+    orders = table(spark, sf_dir, "orders")
+    entries = locking.capture(orders, None, "o_custkey", "o_orderkey", ["o_orderstatus"], ["load"], checked=logic)
+    return entries.select("unit_id", "entry_no", "outcome", "is_error")
+
+
 @query(
     "outcome_profile_ag10",
     f"""SELECT CASE WHEN is_error THEN regexp_extract(outcome, '^(\\w+): ', 1) ELSE 'value' END AS kind, count(*) AS n,

@@ -6,6 +6,7 @@ import re
 import uuid
 import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,12 @@ def _folder(root: str, name: str) -> str:
 
 
 def _read_manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifests of all versions; a folder without one has no baseline."""
-    return spark.read.schema(_MANIFEST).option("ignoreMissingFiles", "true").json(f"{folder}/manifest/*")
+    """Manifests of all versions; a folder without one has no baseline.
+
+    A version is one file, or the folder of files that earlier formats wrote. What a crash left behind has other names.
+    """
+    reader = spark.read.schema(_MANIFEST).option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.json")
+    return reader.option("recursiveFileLookup", "true").json(f"{folder}/manifest").where("version is not null")
 
 
 def versions(spark: SparkSession, root: str, name: str) -> list[int]:
@@ -42,6 +47,52 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(r[0] for r in rows)
 
 
+class VersionTaken(ValueError):
+    """Another writer committed the version first."""
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> None:
+    """Make a file with this text, whole or not at all, unless there is one: then ``FileExistsError``.
+
+    The text goes into a file of its own name, which is then renamed without overwriting: of two writers one succeeds, and
+    a crash leaves at most a file that no reader looks at.
+    """
+    hadoop = spark._jvm.org.apache.hadoop
+    target = hadoop.fs.Path(path)
+    part = hadoop.fs.Path(target.getParent(), f"_{uuid.uuid4().hex}.part")
+    conf = spark._jsc.hadoopConfiguration()
+    files = target.getFileSystem(conf)
+    files.mkdirs(target.getParent())
+    stream = files.create(part, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    try:
+        none = spark.sparkContext._gateway.new_array(getattr(hadoop.fs, "Options$Rename"), 0)
+        hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(part, target, none)
+    except Py4JJavaError as error:
+        files.delete(part, False)
+        if "FileAlreadyExistsException" in str(error.java_exception):
+            raise FileExistsError(path) from None
+        raise
+
+
+def recover(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The data folders that no manifest names: what failed or running attempts left. Remove them when nobody writes."""
+    folder = _folder(root, name)
+    hadoop = spark._jvm.org.apache.hadoop
+    data = hadoop.fs.Path(f"{folder}/data")
+    files = data.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(data):
+        return []
+    there = {s.getPath().getName() for s in files.listStatus(data)}
+    named: set[str] = set()
+    for number in versions(spark, root, name):
+        named.add(read_manifest(spark, root, name, number)["folder"] or f"version={number}")
+    return sorted(there - named)
+
+
 def write_baseline(
     df: DataFrame,
     root: str,
@@ -53,9 +104,10 @@ def write_baseline(
     """SRC9: write the next version of a baseline, secrets scrubbed, and return its number.
 
     Data goes into a folder of its own, named anew for each attempt, so a version that is being read is never
-    overwritten and what a failed attempt left behind is in nobody's way. The manifest follows the data and commits
-    it: it names the folder, the keys and the scrubbed columns, and a version without a manifest does not exist. Its
-    counts come from the written files, not from a second run of the plan. Strings are scrubbed at any depth; a key
+    overwritten and what a failed attempt left behind is in nobody's way (``recover`` lists it). The manifest follows the
+    data and commits it, as one file that is put in place whole and only if the version has none: of two writers of a
+    number one gets ``VersionTaken``. It names the folder, the keys and the scrubbed columns, and a version without a
+    manifest does not exist. Its counts come from the written files, not from a second run of the plan. Strings are scrubbed at any depth; a key
     that holds a secret makes the write fail.
     """
     spark = df.sparkSession
@@ -63,14 +115,14 @@ def write_baseline(
     done = versions(spark, root, name)
     number = version if version is not None else (done[-1] + 1 if done else 1)
     if number in done:
-        raise ValueError(f"{name} already has a version {number}")
+        raise VersionTaken(f"{name} already has a version {number}")
     cols = text_columns(df, without=keys) if scrub_cols is None else scrub_cols
     attempt = f"version={number}-{uuid.uuid4().hex}"
     data = f"{folder}/data/{attempt}"
     checked = df.withColumns({k: refuse_secrets(F.col(f"`{k}`"), k) for k in string_columns(df) if k in keys})
     scrub(checked, cols, None).write.mode("errorifexists").parquet(data)
     digest = fingerprint(spark.read.parquet(data))
-    digest.select(
+    manifest = digest.select(
         F.lit(number).alias("version"),
         F.lit(vocab.FORMAT_VERSION).alias("format"),
         F.lit(df.schema.json()).alias("schema"),
@@ -78,7 +130,12 @@ def write_baseline(
         F.lit(attempt).alias("folder"),
         F.array(*[F.lit(k) for k in keys]).cast("array<string>").alias("keys"),
         F.array(*[F.lit(c) for c in cols]).cast("array<string>").alias("scrubbed"),
-    ).coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest/{number}")
+    )
+    line = manifest.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]
+    try:
+        put_if_absent(spark, f"{folder}/manifest/{number:09d}.json", line + "\n")
+    except FileExistsError:
+        raise VersionTaken(f"{name} already has a version {number}") from None
     return number
 
 
