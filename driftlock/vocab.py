@@ -8,24 +8,26 @@ from __future__ import annotations
 
 # Domain tags in report order, each with its keywords.
 DOMAIN_KEYWORDS = {
-    "money": (
-        "money price pricing cost amount vat tax invoice discount currency payment pay charge fee refund "
-        "balance billing salary wage ledger account decimal"
-    ).split(),
-    "auth": (
-        "auth login logout token password passwd credential permission role claim principal identity "
-        "authorize authenticate secret session"
-    ).split(),
-    "date": (
-        "date time expiry expire schedule deadline duration timeout timestamp calendar datetime"
-    ).split(),
-    "io": (
-        "file stream http url uri socket sql query database connection request response download upload "
-        "ftp smtp email disk path"
-    ).split(),
-    "data-transform": (
-        "parse serialize deserialize convert transform map mapper encode decode format marshal json xml csv"
-    ).split(),
+    "money": [
+        "money", "price", "pricing", "cost", "amount", "vat", "tax", "invoice", "discount", "currency", "payment",
+        "pay", "charge", "fee", "refund", "balance", "billing", "salary", "wage", "ledger", "account", "decimal",
+    ],
+    "auth": [
+        "auth", "login", "logout", "token", "password", "passwd", "credential", "permission", "role", "claim",
+        "principal", "identity", "authorize", "authenticate", "secret", "session",
+    ],
+    "date": [
+        "date", "time", "expiry", "expire", "schedule", "deadline", "duration", "timeout", "timestamp", "calendar",
+        "datetime",
+    ],
+    "io": [
+        "file", "stream", "http", "url", "uri", "socket", "sql", "query", "database", "connection", "request",
+        "response", "download", "upload", "ftp", "smtp", "email", "disk", "path",
+    ],
+    "data-transform": [
+        "parse", "serialize", "deserialize", "convert", "transform", "map", "mapper", "encode", "decode", "format",
+        "marshal", "json", "xml", "csv",
+    ],
 }
 # A keyword of at least this many letters also matches as the beginning of a token.
 PREFIX_KEYWORD_LENGTH = 4
@@ -47,36 +49,37 @@ HIGH_RISK_THRESHOLD = 3.5
 
 # Members whose value depends on when or where they run.
 AMBIENT_MEMBERS = {
-    "DateTime": "Now UtcNow Today".split(),
-    "DateTimeOffset": "Now UtcNow".split(),
-    "Guid": "NewGuid".split(),
-    "Stopwatch": "GetTimestamp StartNew".split(),
-    "Environment": (
-        "GetEnvironmentVariable GetEnvironmentVariables ExpandEnvironmentVariables MachineName UserName "
-        "UserDomainName CurrentDirectory GetCommandLineArgs CommandLine ProcessPath TickCount TickCount64"
-    ).split(),
+    "DateTime": ["Now", "UtcNow", "Today"],
+    "DateTimeOffset": ["Now", "UtcNow"],
+    "Guid": ["NewGuid"],
+    "Stopwatch": ["GetTimestamp", "StartNew"],
+    "Environment": [
+        "GetEnvironmentVariable", "GetEnvironmentVariables", "ExpandEnvironmentVariables", "MachineName", "UserName",
+        "UserDomainName", "CurrentDirectory", "GetCommandLineArgs", "CommandLine", "ProcessPath", "TickCount",
+        "TickCount64",
+    ],
 }
 # Types that stand for something outside the process.
-RESOURCE_TYPES = (
-    "File Directory FileInfo DirectoryInfo FileStream StreamReader StreamWriter Console HttpClient WebClient "
-    "WebRequest HttpWebRequest Socket TcpClient SqlConnection SqlCommand OleDbConnection DbConnection "
-    "Process Random"
-).split()
+RESOURCE_TYPES = [
+    "File", "Directory", "FileInfo", "DirectoryInfo", "FileStream", "StreamReader", "StreamWriter", "Console",
+    "HttpClient", "WebClient", "WebRequest", "HttpWebRequest", "Socket", "TcpClient", "SqlConnection", "SqlCommand",
+    "OleDbConnection", "DbConnection", "Process", "Random",
+]
 # Interfaces that are data shapes rather than collaborators.
-NON_COLLABORATORS = (
-    "IEnumerable IEnumerator ICollection IList IReadOnlyList IReadOnlyCollection IDictionary "
-    "IReadOnlyDictionary ISet IComparable IEquatable IFormattable IConvertible ICloneable IDisposable "
-    "IAsyncDisposable"
-).split()
+NON_COLLABORATORS = [
+    "IEnumerable", "IEnumerator", "ICollection", "IList", "IReadOnlyList", "IReadOnlyCollection", "IDictionary",
+    "IReadOnlyDictionary", "ISet", "IComparable", "IEquatable", "IFormattable", "IConvertible", "ICloneable",
+    "IDisposable", "IAsyncDisposable",
+]
 SEAM_LIST_LIMIT = 6
 
-FRAMEWORK_PREFIXES = (
-    "System mscorlib netstandard Microsoft.Win32 Microsoft.VisualBasic WindowsBase PresentationCore "
-    "PresentationFramework Accessibility"
-).split()
+FRAMEWORK_PREFIXES = [
+    "System", "mscorlib", "netstandard", "Microsoft.Win32", "Microsoft.VisualBasic", "WindowsBase",
+    "PresentationCore", "PresentationFramework", "Accessibility",
+]
 
-EXCLUDED_DIRS = "bin obj .git .vs node_modules packages TestResults".split()
-GENERATED_SUFFIXES = ".designer.cs .designer.vb .g.cs .g.i.cs .g.vb".split()
+EXCLUDED_DIRS = ["bin", "obj", ".git", ".vs", "node_modules", "packages", "TestResults"]
+GENERATED_SUFFIXES = [".designer.cs", ".designer.vb", ".g.cs", ".g.i.cs", ".g.vb"]
 GENERATED_SEGMENT = "My Project"
 TEST_IMPORTS = ["using Xunit", "using NUnit", "Microsoft.VisualStudio.TestTools"]
 TRACKED_EXTENSIONS = [".cs", ".vb"]
