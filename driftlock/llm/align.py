@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate, count
 
 import numpy as np
 import public_tokenizers
@@ -36,8 +35,8 @@ _B_BITS = 20
 
 
 @lru_cache(maxsize=2)
-def byte_level(name: str = BYTE_LEVEL) -> tuple[Callable[[str], list[int]], list[bytes]]:
-    """(ids of a blank and the text, bytes of each id), from the rank form of a byte-level vocabulary.
+def byte_level(name: str = BYTE_LEVEL) -> tuple[Callable[[str], list[int]], Callable[[list[int]], bytes], list[bytes]]:
+    """(ids of a blank and the text, bytes of ids, bytes of each id), from the rank form of a byte-level vocabulary.
 
     Strings of special tokens are plain text to it.
     """
@@ -49,7 +48,7 @@ def byte_level(name: str = BYTE_LEVEL) -> tuple[Callable[[str], list[int]], list
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         tokens[i] = token
-    return lambda text: ranked.encode_ordinary(" " + text), tokens
+    return lambda text: ranked.encode_ordinary(" " + text), ranked.decode_bytes, tokens
 
 
 @lru_cache(maxsize=2)
@@ -68,57 +67,68 @@ def pieces(name: str = PIECES) -> tuple[Callable[[str], list[int]], list[bytes]]
 Group = tuple[list[int], list[int]]
 
 
-def common_slices(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[list[int], list[int]]:
-    """The tokens of a and those of b up to each byte place at which both have an end, in order. Sizes are positive."""
-    a_ends, b_ends = (dict(zip(accumulate(sizes), count(1))) for sizes in (a_sizes, b_sizes))
-    common = sorted(a_ends.keys() & b_ends.keys())
-    return [*map(a_ends.__getitem__, common)], [*map(b_ends.__getitem__, common)]
+def common_slices(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a and those of b up to each byte place at which both have an end, in order.
+
+    The cumulative ends of either side ascend: no token is without bytes.
+    """
+    of_a, of_b = (dict(zip(ends, range(1, len(ends) + 1))) for ends in (a_ends, b_ends))
+    common = sorted(of_a.keys() & of_b.keys())
+    return tuple(np.fromiter(map(of.__getitem__, common), np.int64, len(common)) for of in (of_a, of_b))
 
 
 class Aligner:
     """Both tokenizers, with the bytes, their number, and the decimal form of every id."""
 
     def __init__(self, a_name: str = BYTE_LEVEL, b_name: str = PIECES):
-        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = byte_level(a_name), pieces(b_name)
-        self.sizes_a, self.sizes_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
+        (self.encode_a, self.decode_a, self.bytes_a), (self.encode_b, self.bytes_b) = byte_level(a_name), pieces(b_name)
+        self.sizes_a, self.sizes_b = (np.array([*map(len, tokens)], np.int64) for tokens in (self.bytes_a, self.bytes_b))
         # Every id in decimal form, three times: as an inner token of a slice, and as the last one of either side.
         self.shown = np.array([f"{i}{mark}".encode() for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"])
 
-    def slices(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
+    def slices(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """(ids of a, ids of b, where each slice ends among a, and among b); nothing for a text that is null or empty, or
         that either side changes."""
         if not text:
-            return [], [], [], []
+            return None
         a, b = self.encode_a(text), self.encode_b(text)
         raw = b" " + text.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-            return [], [], [], []
-        return a, b, *common_slices(map(self.sizes_a.__getitem__, a), map(self.sizes_b.__getitem__, b))
+        if self.decode_a(a) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return a, b, *common_slices(np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist())
 
     def groups(self, text: str | None) -> list[Group]:
         """The ids of both sides in each slice."""
-        a, b, ends_a, ends_b = self.slices(text)
+        found = self.slices(text)
+        if found is None:
+            return []
+        a, b, ends_a, ends_b = (x.tolist() for x in found)
         return [(a[i:x], b[j:y]) for i, x, j, y in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
 
     def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
         """(tokens of a, tokens of b, groups, digest of the groups, linked pairs)"""
-        a, b, ends_a, ends_b = self.slices(text)
-        if not a:
+        found = self.slices(text)
+        if found is None:
             return 0, 0, 0, "", np.empty(0, np.int64)
-        ids_a, ids_b, ends_a, ends_b = (np.array(x, np.int64) for x in (a, b, ends_a, ends_b))
+        ids_a, ids_b, ends_a, ends_b = found
         last_a, last_b = ends_a - 1, ends_b - 1
+        # The slice of each token: one more behind each end.
+        slice_a, slice_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        slice_a[ends_a[:-1]], slice_b[ends_b[:-1]] = 1, 1
+        slice_a, slice_b = np.cumsum(slice_a), np.cumsum(slice_b)
         # Both sides of a slice in turn: before a token of a stand the tokens of b in earlier slices, before one of b those
         # of a up to its own slice. Behind the last token of a in a slice comes a bar, behind that of b a semicolon.
-        place_a = np.arange(len(a)) + np.r_[0, ends_b][np.searchsorted(ends_a, np.arange(len(a)), "right")]
-        place_b = np.arange(len(b)) + ends_a[np.searchsorted(ends_b, np.arange(len(b)), "right")]
-        shown = np.empty(len(a) + len(b), np.int64)
+        place_a = np.arange(len(ids_a)) + np.r_[0, ends_b][slice_a]
+        place_b = np.arange(len(ids_b)) + ends_a[slice_b]
+        shown = np.empty(len(ids_a) + len(ids_b), np.int64)
         shown[place_a], shown[place_b] = 3 * ids_a, 3 * ids_b
         shown[place_a[last_a]] += 1
         shown[place_b[last_b]] += 2
         told = self.shown[shown].tobytes().replace(b"\0", b"")
         # The last tokens of each slice are those that end together.
         links = (ids_a[last_a] << _B_BITS) | ids_b[last_b]
-        return len(a), len(b), len(ends_a), hashlib.sha256(told[:-1]).hexdigest(), links
+        return len(ids_a), len(ids_b), len(ends_a), hashlib.sha256(told[:-1]).hexdigest(), links
 
 
 _COUNTS = ("id", "n_a", "n_b", "n_groups")
