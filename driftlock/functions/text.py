@@ -73,6 +73,23 @@ def broken_files(logs: Column) -> Column:
     )
 
 
+def file_diagnostics(logs: Column, marker: str = "error CS", cap: int = vocab.FILE_DIAGNOSTIC_LINES) -> Column:
+    """PRJ13: per broken file, in order of appearance, its distinct trimmed error lines, the first ``cap`` of them.
+
+    A line belongs to a file if it holds the file's name in any case; ``array<struct<file, errors>>``.
+    """
+    marked = F.transform(F.filter(F.split(logs, "\n"), lambda line: F.contains(line, F.lit(marker))), trim_space)
+
+    def of_file(lines: Column, name: Column) -> Column:
+        base = F.lower(F.regexp_extract(name, r"([^/\\]*)$", 1))
+        return F.slice(F.filter(lines, lambda line: F.contains(F.lower(line), base)), 1, cap)
+
+    def per_file(lines: Column) -> Column:
+        return F.transform(broken_files(logs), lambda f: F.struct(f.alias("file"), of_file(lines, f).alias("errors")))
+
+    return let(F.array_distinct(marked), per_file)
+
+
 # Everything that is not code: comments and quoted text.
 _NOISE = {
     "csharp": r'//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)\'',

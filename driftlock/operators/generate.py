@@ -6,6 +6,8 @@ in its own row, so mining, candidates and rows are expressions over that row: no
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,15 +195,21 @@ def _plain(value: Column) -> Column:
     return value.cast("string")
 
 
+def _first(values: Column, cap: int | None) -> Column:
+    """The distinct values, the first ``cap`` of them."""
+    distinct = F.array_distinct(values)
+    return distinct if cap is None else F.slice(distinct, 1, cap)
+
+
 def _enum_members(kind: Column) -> Column:
     inner = F.regexp_extract(kind, r"^enum\((.*)\)$", 1)
     return F.filter(F.transform(F.split(inner, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def candidates(param_type: Column, m: Column, cap: int = vocab.CANDIDATES_PER_PARAM) -> Column:
+def candidates(param_type: Column, m: Column, cap: int | None = vocab.CANDIDATES_PER_PARAM) -> Column:
     """GEN2: candidate values of a parameter as text, mined boundaries first, then a small catalog; first six.
 
-    A null element is the null candidate, which is not the empty string.
+    A null element is the null candidate, which is not the empty string. Without a cap all are given.
     """
 
     def dec(v: Column) -> Column:
@@ -225,7 +233,7 @@ def candidates(param_type: Column, m: Column, cap: int = vocab.CANDIDATES_PER_PA
         .when(kind.startswith("enum("), _enum_members(F.trim(param_type)))
         .otherwise(_texts(None)),
     )
-    return F.slice(F.array_distinct(values), 1, cap)
+    return _first(values, cap)
 
 
 # --- GEN3, GEN4 -----------------------------------------------------------------------------------------------
@@ -340,27 +348,84 @@ def guard_witnesses(g: Column, regex_witnesses: Column | None = None) -> Column:
     return F.array_distinct(F.filter(values, lambda v: F.length(v) <= longest))
 
 
-def string_candidates(rule_text: Column, param: Column, m: Column, regex_witnesses: Column | None = None) -> Column:
+def string_candidates(
+    rule_text: Column, param: Column, m: Column, regex_witnesses: Column | None = None, cap: int | None = vocab.STRING_CANDIDATES
+) -> Column:
     """GEN3: candidates of a string parameter: guard witnesses (or the rich string), then mined strings; first ten."""
 
     def values(g: Column) -> Column:
         first = F.when(has_guards(g), guard_witnesses(g, regex_witnesses)).otherwise(F.array(rich_string(m)))
         return F.concat(first, _texts("12345"), m["strings"], _texts("", None))
 
-    return F.slice(F.array_distinct(let(guards(rule_text, param), values)), 1, vocab.STRING_CANDIDATES)
+    return _first(let(guards(rule_text, param), values), cap)
 
 
-def rule_candidates(rules: DataFrame, dialect: str = "csharp") -> DataFrame:
-    """Rules with ``found``: the ``mined`` literals and, per parameter in order, its ``candidates`` (GEN2, GEN3)."""
+def rule_patterns(rules: DataFrame) -> list[str]:
+    """GEN3: the distinct regular expressions that the rules apply to their string parameters.
+
+    There are as many as rules have written out. One that Spark's engine doesn't know is left out: it has no witness.
+    """
+    found = extract_guards(rules).select(F.explode("guards.regexes").alias("p")).distinct().collect()
+    compile_ = rules.sparkSession._jvm.java.util.regex.Pattern.compile
+    known = []
+    for pattern in sorted(r["p"] for r in found):
+        try:
+            compile_(pattern)
+        except (Py4JJavaError, IllegalArgumentException):
+            continue
+        known.append(pattern)
+    return known
+
+
+def witness_dictionary(witnesses: DataFrame) -> Column:
+    """GEN3: what GEN5 found as ``map<pattern, array<value>>``, one literal that every rule is looked up in.
+
+    It has two values per pattern, each at most as long as a generated string may be.
+    """
+    fits = [F.when(F.length(c) <= vocab.SYNTH_STRING_LENGTH, F.col(c)).alias(c) for c in ("match", "non_match")]
+    rows = witnesses.select("pattern", *fits).collect()
+    entries = [F.struct(F.lit(r["pattern"]), F.array_compact(_texts(r["match"], r["non_match"]))) for r in rows]
+    if not entries:
+        return F.create_map().cast("map<string, array<string>>")
+    return F.map_from_entries(F.array(*entries))
+
+
+def rule_candidates(
+    rules: DataFrame,
+    dialect: str = "csharp",
+    regex_witnesses: Column | None = None,
+    cap: int | None = vocab.CANDIDATES_PER_PARAM,
+    string_cap: int | None = vocab.STRING_CANDIDATES,
+) -> DataFrame:
+    """Rules with ``found``: the ``mined`` literals and, per parameter in order, its ``candidates`` (GEN2, GEN3).
+
+    ``regex_witnesses`` is a ``witness_dictionary``. ``left_out`` counts for each parameter the candidates beyond the cap
+    of its kind; without a cap there are none.
+    """
+
+    def capped(values: Column, most: int | None) -> Column:
+        kept = values if most is None else F.slice(values, 1, most)
+        return F.struct(kept.alias("kept"), (F.size(values) - F.size(kept)).alias("left_out"))
 
     def per_param(m: Column) -> Column:
         values = F.transform(
             "params",
             lambda p: F.when(
-                _type(p["type"]) == "string", string_candidates(F.col("rule_text"), p["name"], m)
-            ).otherwise(candidates(p["type"], m)),
+                _type(p["type"]) == "string",
+                let(
+                    string_candidates(F.col("rule_text"), p["name"], m, regex_witnesses, None),
+                    lambda v: capped(v, string_cap),
+                ),
+            ).otherwise(let(candidates(p["type"], m, None), lambda v: capped(v, cap))),
+        )
+        return let(
+            values,
+            lambda v: F.struct(
+                m.alias("mined"),
+                F.transform(v, lambda x: x["kept"]).alias("candidates"),
+                F.transform(v, lambda x: x["left_out"]).alias("left_out"),
+            ),
         )
-        return F.struct(m.alias("mined"), values.alias("candidates"))
 
     return rules.withColumn("found", let(mined(F.col("rule_text"), dialect), per_param))
 
@@ -387,7 +452,7 @@ def _vary(base: Column, position: Column, value: Column) -> Column:
     return F.transform(base, lambda b, k: F.when(k == position, value).otherwise(b))
 
 
-def one_hot(cands: Column, cap: int = vocab.ONE_HOT_ROWS) -> Column:
+def one_hot(cands: Column, cap: int | None = vocab.ONE_HOT_ROWS) -> Column:
     """GEN6: the base row, then one parameter varied at a time in parameter order; distinct, first twelve.
 
     Without parameters there is one empty row.
@@ -399,10 +464,10 @@ def one_hot(cands: Column, cap: int = vocab.ONE_HOT_ROWS) -> Column:
         )
         return F.concat(F.array(e["base"]), F.flatten(others))
 
-    return F.slice(F.array_distinct(_with_base(cands, rows)), 1, cap)
+    return _first(_with_base(cands, rows), cap)
 
 
-def round_robin(cands: Column, cap: int = vocab.STRUCT_VARIANTS) -> Column:
+def round_robin(cands: Column, cap: int | None = vocab.STRUCT_VARIANTS) -> Column:
     """GEN7: the base row, then the second candidate of every field, then the third, and so on; first eight."""
 
     def rows(e: Column) -> Column:
@@ -418,7 +483,7 @@ def round_robin(cands: Column, cap: int = vocab.STRUCT_VARIANTS) -> Column:
         )
         return F.concat(F.array(e["base"]), F.flatten(others))
 
-    return F.slice(F.array_distinct(_with_base(cands, rows)), 1, cap)
+    return _first(_with_base(cands, rows), cap)
 
 
 def _with_base(cands: Column, rows) -> Column:
@@ -460,18 +525,18 @@ def _row_table(rules: DataFrame, rows: Column, origin: str) -> DataFrame:
     )
 
 
-def one_hot_rows(with_candidates: DataFrame) -> DataFrame:
+def one_hot_rows(with_candidates: DataFrame, cap: int | None = vocab.ONE_HOT_ROWS) -> DataFrame:
     """GEN6: ``(rule_id, row_no, origin, row array<string>)``."""
-    return _row_table(with_candidates, one_hot(F.col("found.candidates")), "one-hot")
+    return _row_table(with_candidates, one_hot(F.col("found.candidates"), cap), "one-hot")
 
 
-def struct_variants(rules: DataFrame, dialect: str = "csharp") -> DataFrame:
+def struct_variants(rules: DataFrame, dialect: str = "csharp", cap: int | None = vocab.STRUCT_VARIANTS) -> DataFrame:
     """GEN7: variants of a struct whose fields are the rule's parameters."""
     per_field = let(
         mined(F.col("rule_text"), dialect),
         lambda m: F.transform("params", lambda p: field_candidates(p["type"], m)),
     )
-    return _row_table(rules, round_robin(per_field), "variant")
+    return _row_table(rules, round_robin(per_field, cap), "variant")
 
 
 # --- GEN8 -----------------------------------------------------------------------------------------------------
@@ -559,12 +624,12 @@ def simple_samples(param_type: Column) -> Column:
     return out
 
 
-def zip_rows(rules: DataFrame) -> DataFrame:
-    """GEN10: at most three rows, row r taking the r-th sample of every parameter or its last one."""
+def zip_rows(rules: DataFrame, cap: int = vocab.ZIP_ROWS) -> DataFrame:
+    """GEN10: at most ``cap`` rows, row r taking the r-th sample of every parameter or its last one."""
 
     def rows(sets: Column) -> Column:
         longest = F.coalesce(F.array_max(F.transform(sets, F.size)), F.lit(1))
-        n = F.greatest(F.lit(1), F.least(F.lit(vocab.ZIP_ROWS), longest))
+        n = F.greatest(F.lit(1), F.least(F.lit(cap), longest))
         return F.transform(
             F.sequence(F.lit(1), n), lambda r: F.transform(sets, lambda s: F.element_at(s, F.least(r, F.size(s))))
         )

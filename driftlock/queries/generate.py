@@ -250,6 +250,38 @@ def unseen_rows(spark, sf_dir):
     return _row_text(gen.already_seen(rows, rows.where("row_no <= 3")))
 
 
+_GUARD_PATTERNS = ["^red .+", "(bolt|gear)$", "[aeiou]{3}", "(?<open>x)(?(open)y|z)"]
+_LONG, _SHORT = ("Ab1" * 7)[:20], ("Ab1" * 7)[:19]
+
+
+@query(
+    "regex_guards_gen3",
+    f"""
+    WITH w AS ({" UNION ALL ".join(
+        f"SELECT '{p}' AS pattern, min(p_name) FILTER (regexp_matches(p_name, '{p}')) AS hit, min(p_name) FILTER (NOT regexp_matches(p_name, '{p}')) AS miss FROM part"
+        for p in _GUARD_PATTERNS[:3]
+    )}),
+    r AS (SELECT 'p' || CAST(p_partkey AS STRING) AS rule_id, list_extract({_GUARD_PATTERNS!r}, 1 + p_partkey % 4) AS pattern FROM part)
+    SELECT rule_id, array_to_string(list_transform(list_distinct_first, lambda x: coalesce(x, '<null>')), '|') AS candidates, 0 AS left_out FROM (
+        SELECT rule_id, list_concat(['{_LONG}', '{_SHORT}'], list_filter([hit, miss], lambda x: x IS NOT NULL), ['12345', r.pattern, '', NULL]) AS list_distinct_first
+        FROM r LEFT JOIN w ON w.pattern = r.pattern)
+    """,
+)
+def regex_guards(spark, sf_dir):
+    """Rules that match a name: the names of parts that do and don't are among its values, and of a pattern that the
+    engine doesn't know there are none."""
+    parts = table(spark, sf_dir, "part")
+    pattern = F.element_at(F.array(*[F.lit(p) for p in _GUARD_PATTERNS]), (F.lit(1) + F.col("p_partkey") % 4).cast("int"))
+    text = F.concat(F.lit('if (Regex.IsMatch(name, "'), pattern, F.lit('")) return 1;'))
+    params = F.array(F.struct(F.lit("name").alias("name"), F.lit("string").alias("type")))
+    few = parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("rule_id"), params.alias("params"), text.alias("rule_text"))
+    made = few.repartition(max(1, ceil(few.count() / RULES_PER_TASK)), "rule_id")
+    found = gen.pattern_witness(parts, "p_name", gen.rule_patterns(made))
+    done = gen.rule_candidates(made, regex_witnesses=gen.witness_dictionary(found))
+    values = F.array_join(F.transform(F.col("found.candidates")[0], _null_text), "|")
+    return done.select("rule_id", values.alias("candidates"), F.col("found.left_out")[0].alias("left_out"))
+
+
 # --- GEN5, GEN11 ----------------------------------------------------------------------------------------------
 
 # One pattern that never matches, one that always does.

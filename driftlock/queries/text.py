@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlock.functions.scrub import scrub
-from driftlock.functions.text import broken_files, extract_code, extract_diagnostics, lexical_complexity, tail_lines
+from driftlock.functions.text import broken_files, extract_code, extract_diagnostics, file_diagnostics, lexical_complexity, tail_lines
 from driftlock.operators.textdiff import line_delta, unified_diff
 from driftlock.plans.analyze import egress_payload
 from driftlock.queries.registry import derived, query, table, with_derived
@@ -109,6 +109,29 @@ def diagnostics(spark, sf_dir):
     )
 
 
+@query(
+    "file_diagnostics_prj13",
+    """
+    WITH l AS (SELECT doc_id, length(unnest(string_split(text, chr(10)))) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    firsts AS (SELECT doc_id, n, n % 3 AS f, min(pos) AS pos FROM l WHERE n > 20 GROUP BY doc_id, n),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, f ORDER BY pos) AS rank FROM firsts)
+    SELECT doc_id, 'src/File' || CAST(f AS STRING) || '.cs' AS file, count(*) AS n_errors,
+           string_agg('src/File' || CAST(f AS STRING) || '.cs(' || CAST(n AS STRING) || ',1): error CS' || CAST(n AS STRING) || ': x', chr(10) ORDER BY pos) AS errors
+    FROM ranked WHERE rank <= 10 GROUP BY doc_id, f
+    """,
+)
+def per_file_diagnostics(spark, sf_dir):
+    """Lines of documents as errors in one of three files: at most ten of each."""
+
+    def error(line):
+        n = F.length(line)
+        return F.concat(F.lit("  src/File"), (n % 3).cast("string"), F.lit(".cs("), n.cast("string"), F.lit(",1): error CS"), n.cast("string"), F.lit(": x "))
+
+    log = F.array_join(F.transform(F.split("text", "\n"), lambda line: F.when(F.length(line) > 20, error(line)).otherwise("ok")), "\n")
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(file_diagnostics(log)).alias("d"))
+    return found.select("doc_id", "d.file", F.size("d.errors").alias("n_errors"), F.array_join("d.errors", "\n").alias("errors"))
+
+
 @query(
     "tail_lines_prj13",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

@@ -104,6 +104,7 @@ SAMPLED_ROWS = 16
 SYNTH_STRING_LENGTH = 512
 ZIP_ROWS = 3
 DIAGNOSTIC_LINES = 25
+FILE_DIAGNOSTIC_LINES = 10
 TAIL_LINES = 30
 FLAKY_CAUSES = 4
 

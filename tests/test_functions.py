@@ -252,6 +252,15 @@ def test_diagnostics(value):
     assert value(text.extract_diagnostics(F.lit(many), "error CS")) == [f"line {i}" for i in range(20, 50)]
 
 
+def test_diagnostics_per_file(value):
+    errors = [f"  src/One.cs({i},1): error CS{i}: a" for i in range(14)] + ["src/one.cs(3,1): error CS3: a"] * 2
+    log = "\n".join([*errors[:7], "C:\\x\\Two.cs(1,1): error CS9: b", "link: error CS0: no file", *errors[7:], "TWO.CS(2,2): error CS8: b"])
+    got = {r["file"]: r["errors"] for r in value(text.file_diagnostics(F.lit(log)))}
+    assert got["src/One.cs"] == [e.strip() for e in errors[:10]]
+    assert got["C:\\x\\Two.cs"] == ["C:\\x\\Two.cs(1,1): error CS9: b", "TWO.CS(2,2): error CS8: b"] and len(got) == 2
+    assert value(text.file_diagnostics(F.lit("all well"))) == []
+
+
 @pytest.mark.parametrize(
     "code, lang, expected",
     [

@@ -167,3 +167,31 @@ def test_boundary_coverage_counts_values_beyond_the_decimals(spark):
     marks = spark.createDataFrame([("r", "q", str(10**25)), ("r", "q", str(10**20))], "rule_id string, param string, literal string")
     got = {r.literal: (r.n_below, r.n_at_minus_1, r.n_at, r.n_at_plus_1, r.n_above) for r in gen.boundary_coverage(whole, marks).collect()}
     assert got == {str(10**25): (2, 1, 2, 1, 1), str(10**20): (1, 1, 0, 0, 4)}
+
+
+def test_regex_witnesses_reach_the_candidates(spark):
+    """Values that the data has for a pattern are among the candidates; patterns that the engine doesn't know have none."""
+    params = [("name", "string")]
+    texts = {"a": r'Regex.IsMatch(name, "^k.+z$")', "b": r'Regex.IsMatch(name, "(?(x)y|z)")', "c": "name.Length > 3"}
+    rules = spark.createDataFrame([(i, params, t) for i, t in texts.items()], RULES)
+    assert gen.rule_patterns(rules) == ["^k.+z$"]
+    names = spark.createDataFrame([("kaz",), ("kbz",), ("q" * 600,), ("zz",), (None,)], "n string")
+    found = gen.witness_dictionary(gen.pattern_witness(names, "n", gen.rule_patterns(rules)))
+    got = {r["rule_id"]: r["found"]["candidates"][0] for r in gen.rule_candidates(rules, regex_witnesses=found).collect()}
+    plain = {r["rule_id"]: r["found"]["candidates"][0] for r in gen.rule_candidates(rules).collect()}
+    assert [x for x in got["a"] if x not in plain["a"]] == ["kaz"] and got["b"] == plain["b"] and got["c"] == plain["c"]
+    none = gen.witness_dictionary(gen.pattern_witness(names, "n", ["^k"]).limit(0))
+    assert [r["found"]["candidates"][0] for r in gen.rule_candidates(rules.where("rule_id = 'a'"), regex_witnesses=none).collect()] == [plain["a"]]
+
+
+def test_caps_are_parameters_and_count_what_they_leave_out(spark):
+    rules = spark.createDataFrame([("r", [("n", "int"), ("s", "string")], 'n > 5 && n < 90 && s == "x" && s == "y"')], RULES)
+    every = gen.rule_candidates(rules, cap=None, string_cap=None).first()["found"]
+    few = gen.rule_candidates(rules, cap=2, string_cap=3).first()["found"]
+    assert every["left_out"] == [0, 0] and [len(c) for c in few["candidates"]] == [2, 3]
+    assert [c[: len(f)] for c, f in zip(every["candidates"], few["candidates"])] == few["candidates"]
+    assert few["left_out"] == [len(c) - len(f) for c, f in zip(every["candidates"], few["candidates"])]
+    whole = gen.rule_candidates(rules, cap=None, string_cap=None)
+    sizes = [len(c) for c in every["candidates"]]
+    assert gen.one_hot_rows(whole, cap=None).count() == 1 + sum(n - 1 for n in sizes)
+    assert gen.one_hot_rows(whole, cap=2).count() == 2 and gen.struct_variants(rules, cap=3).count() == 3 and gen.zip_rows(rules, cap=1).count() == 1
