@@ -40,7 +40,7 @@ WINDOW = 35
 # Words of the grams among which a window chooses its anchor.
 GRAM = 8
 # Bytes of text of a block, unless one text has more, and windows that a task looks at together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 1 << 14
 WINDOWS = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +122,8 @@ REQUEST = "shard int, copy int, ids binary, texts binary, places binary, h1 bina
 
 def _requests(shards: int, copies: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
+        # Most tasks have few batches, so each begins with another copy.
+        for number, batch in enumerate(batches, TaskContext.get().partitionId()):
             lists = batch.column("h1")
             length = np.diff(lists.offsets.to_numpy())
             h1, h2 = (batch.column(c).flatten() for c in ("h1", "h2"))
