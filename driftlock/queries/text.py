@@ -169,9 +169,12 @@ def complexity(spark, sf_dir):
 # --- LK4, LK5 -------------------------------------------------------------------------------------------------
 
 
-def changed_documents(spark, sf_dir):
+def changed_documents(spark, sf_dir, tasks=None):
+    """Pairs that differ. With a number of tasks, the shuffle that the join needs anyway deals them to so many."""
     old = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("old"))
     new = derived(spark, sf_dir, "docs_v2").withColumnRenamed("text", "new")
+    if tasks:
+        old, new = old.repartition(tasks, "doc_id"), new.repartition(tasks, "doc_id")
     return old.join(new, "doc_id").where("old <> new")
 
 
@@ -201,7 +204,8 @@ def document_line_delta(spark, sf_dir):
 @query("unified_diff_lk5")
 def document_diff(spark, sf_dir):
     """Exact hunks of every changed document; checked against brute force in the tests."""
-    return unified_diff(changed_documents(spark, sf_dir), ["doc_id"], spread=spark.sparkContext.defaultParallelism)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return unified_diff(changed_documents(spark, sf_dir, tasks), ["doc_id"])
 
 
 def _desks(spark, sf_dir, version, name):
