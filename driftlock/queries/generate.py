@@ -10,7 +10,7 @@ from driftlock import vocab
 from driftlock.operators import generate as gen
 from driftlock.queries.registry import derived, query, table, with_derived
 
-RULES_PER_TASK = 1000
+RULES_PER_TASK = 500
 
 _PARAMS = [("size", "int"), ("price", "decimal"), ("flag", "bool?"), ("kind", "enum(Small, Large, Huge)"), ("ratio", "double")]
 
