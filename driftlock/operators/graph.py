@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,9 @@ class StoredIds:
     Rows lie in folders by a hash of (id, salt), so a reader names the folders it needs, and in every folder they are
     bucketed by (id, salt), so a join with rows that are dealt alike does not shuffle them again. ``hubs`` are the ids
     that own a large share of the rows: theirs are salted over many folders and buckets, all others have salt 0.
+
+    Folders take the hash that buckets are dealt by, and buckets are a multiple of the folders: the rows of a bucket lie
+    in one folder, so an append writes a file per bucket at most, not one per bucket and folder.
     """
 
     FOLDER, SALT = "__folder", "__salt"
@@ -117,12 +121,12 @@ class StoredIds:
         self.spark, self.id_col, self.salted_by, self.folders = spark, id_col, salted_by, folders
         self.name = f"driftlock_{uuid.uuid4().hex}"
         self.path = scratch_path(spark, "walk")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = folders * ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / folders)
         self.hubs = [h[0] for h in hubs]
 
     def dealt(self, df: DataFrame, salt: Column) -> DataFrame:
         """The rows with their salt and their folder."""
-        folder = F.pmod(F.xxhash64(F.col(self.id_col), F.col(self.SALT)), F.lit(self.folders)).cast("int")
+        folder = F.pmod(F.hash(F.col(self.id_col), F.col(self.SALT)), F.lit(self.folders)).cast("int")
         return df.withColumn(self.SALT, salt).withColumn(self.FOLDER, folder)
 
     def append(self, rows: DataFrame) -> None:

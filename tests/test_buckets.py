@@ -1,5 +1,6 @@
 """Tables in folders by key: what is opened, and what comes out."""
 
+import os
 import random
 
 import pytest
@@ -117,3 +118,18 @@ def test_rounds_open_few_folders_and_shuffle_no_edges(spark, web):
         assert hub.count() == sum(b == "hub" for _, b in edges) and len(folders(hub)) > 30
     finally:
         stored.drop()
+
+
+def test_an_append_writes_a_file_per_bucket_at_most(spark, web):
+    """A file per bucket and folder made 12,800 files per round at 200 shuffle partitions."""
+    edges, _ = web
+    stored = graph.StoredIds(spark, "callee_id", "caller_id", [("hub",)])
+    try:
+        rows = spark.createDataFrame(sorted(edges), "caller_id string, callee_id string")
+        stored.append(rows)
+        files = [os.path.join(f, n) for f, _, names in os.walk(stored.path.removeprefix("file:")) for n in names if n.endswith(".parquet")]
+        assert 0 < len(files) <= stored.buckets and stored.buckets % stored.folders == 0
+        assert spark.table(stored.name).select(*rows.columns).exceptAll(rows).count() == 0
+        assert spark.table(stored.name).count() == len(edges)
+    finally:
+        stored.drop()
