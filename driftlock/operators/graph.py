@@ -17,19 +17,28 @@ from driftlock.session import cut_lineage, scratch_path
 # --- JN1, JN2, AG3 --------------------------------------------------------------------------------------------
 
 
+REFS_PER_TASK = 500_000
+
+
 def resolve_edges(units: DataFrame, refs: DataFrame) -> DataFrame:
     """JN1: ``(caller_id, callee_id)`` from references ``(caller_id, name, arity, resolved_id)``.
 
     A resolved reference counts when its id is a unit. An unresolved one falls back to the unit with that name and
     arity when there is exactly one. No unit calls itself. References are made distinct first, and a name that
     very many references share is split over tasks.
+
+    Pairs are made distinct in as many tasks as the number of references asks for. Ids pack so well that adaptive
+    execution, which goes by packed bytes, would leave a few tasks with a share of all pairs each.
     """
+    tasks = max(1, ceil(refs.count() / REFS_PER_TASK))
+
+    def distinct(pairs: DataFrame) -> DataFrame:
+        return pairs.repartition(tasks, *pairs.columns).distinct()
+
     ids = units.select("unit_id").distinct()
+    resolved = refs.where(F.col("resolved_id").isNotNull()).select("caller_id", F.col("resolved_id").alias("callee_id"))
     exact = (
-        refs.where(F.col("resolved_id").isNotNull())
-        .select("caller_id", F.col("resolved_id").alias("callee_id"))
-        .where(F.col("caller_id") != F.col("callee_id"))
-        .distinct()
+        distinct(resolved.where(F.col("caller_id") != F.col("callee_id")))
         .join(ids.select(F.col("unit_id").alias("callee_id")), "callee_id", "left_semi")
         .select("caller_id", "callee_id")
     )
@@ -42,13 +51,13 @@ def resolve_edges(units: DataFrame, refs: DataFrame) -> DataFrame:
         .where("n = 1")
         .drop("n")
     )
-    named = refs.where(F.col("resolved_id").isNull()).select("caller_id", "name", "arity").distinct()
+    named = distinct(refs.where(F.col("resolved_id").isNull()).select("caller_id", "name", "arity"))
     guessed = (
         lookup_join(named, unique, ["name", "arity"], "inner")
         .where(F.col("caller_id") != F.col("callee_id"))
         .select("caller_id", "callee_id")
     )
-    return exact.unionByName(guessed).distinct()
+    return distinct(exact.unionByName(guessed))
 
 
 def mark_tested(units: DataFrame, test_refs: DataFrame) -> DataFrame:

@@ -104,3 +104,25 @@ def test_seam_lists_keep_six_distinct_sorted(spark):
     rows = tagging.seam_lists(spark.createDataFrame(deps, "unit_id string, kind string, type string, member string"))
     got = {r.unit_id: (r.seams, r.obstacles) for r in rows.collect()}
     assert got == {"u": (["Ia", "Ib", "Ic", "Id", "Ie", "If"], ["DateTime.Now", "File", "new Random"]), "w": ([], [])}
+
+
+def test_distinct_pairs_are_dealt_by_the_number_of_references(spark, monkeypatch):
+    """Adaptive execution goes by packed bytes and would leave these few bytes to one task."""
+    monkeypatch.setattr(graph, "REFS_PER_TASK", 100)
+    units = spark.range(200).select(F.concat(F.lit("u"), "id").alias("unit_id"), F.concat(F.lit("n"), "id").alias("name"), F.lit(1).alias("arity"))
+    refs = spark.range(1500).select(
+        F.concat(F.lit("u"), (F.col("id") % 30).cast("string")).alias("caller_id"),
+        F.concat(F.lit("n"), (F.col("id") % 210).cast("string")).alias("name"),
+        F.lit(1).alias("arity"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("u"), (F.col("id") % 250).cast("string"))).alias("resolved_id"),
+    )
+    found = graph.resolve_edges(units, refs)
+    parts = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 10 and max(r["count"] for r in parts) <= 150
+    want = set()
+    for i in range(1500):
+        callee = f"u{i % 250}" if i % 3 == 0 and i % 250 < 200 else f"u{i % 210}" if i % 3 and i % 210 < 200 else None
+        if callee not in (None, f"u{i % 30}"):
+            want.add((f"u{i % 30}", callee))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
