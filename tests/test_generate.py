@@ -195,3 +195,32 @@ def test_caps_are_parameters_and_count_what_they_leave_out(spark):
     sizes = [len(c) for c in every["candidates"]]
     assert gen.one_hot_rows(whole, cap=None).count() == 1 + sum(n - 1 for n in sizes)
     assert gen.one_hot_rows(whole, cap=2).count() == 2 and gen.struct_variants(rules, cap=3).count() == 3 and gen.zip_rows(rules, cap=1).count() == 1
+
+
+def test_unseen_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """Adaptive execution goes by packed bytes and would leave rows that are alike to one task."""
+    monkeypatch.setattr(gen, "ROWS_PER_TASK", 100)
+    rows = spark.range(2000).select(
+        (F.col("id") % 400).cast("string").alias("rule_id"), F.array(F.lit("same"), (F.col("id") % 5).cast("string"), F.lit(None)).alias("row")
+    )
+    existing = rows.where("row[1] = '3'").unionByName(rows.where("rule_id = '7'"))
+    for most in (None, 2000):
+        left = gen.already_seen(rows, existing, most)
+        parts = left.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) > 10 and max(r["count"] for r in parts) <= 250
+        # A null in a row is compared as a value.
+        want = [(str(i % 400), ("same", str(i % 5), None)) for i in range(2000) if i % 5 != 3 and i % 400 != 7]
+        assert sorted((r[0], tuple(r[1])) for r in left.collect()) == sorted(want, key=lambda x: (x[0], x[1][:2]))
+
+
+def test_candidates_are_computed_once_and_after_the_rules_are_dealt(spark):
+    params = [("a", "int"), ("name", "string"), ("b", "bool")]
+    rules = spark.createDataFrame([("r", params, 'if (a > 3 && name.Length <= 9)'), ("n", params, None), ("e", [], "a > 1")], RULES)
+    found = gen.candidate_rows(gen.rule_candidates(rules.repartition(2, "rule_id"))).where("param = 'name'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :]
+    assert "regexp_extract_all" not in below and "regexp_extract_all" in plan
+    every = gen.candidate_rows(gen.rule_candidates(rules)).collect()
+    assert [(r.param_no, r.candidate_no) for r in every if (r.rule_id, r.param) == ("r", "b")] == [(3, 1), (3, 2)]
+    assert [r.value for r in every if (r.rule_id, r.param) == ("n", "b")] == ["false", "true"]
+    assert not [r for r in every if r.rule_id == "e"]
