@@ -2,9 +2,11 @@
 
 import random
 import textwrap
+import tracemalloc
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import ROWS, by_repr
 from pyspark.sql import functions as F
@@ -94,6 +96,30 @@ def test_repeats_of_a_passage_with_other_neighbours_meet_in_no_large_group(spark
     assert by_repr(got) == by_repr(brute.remove_repeats(made, 400))
 
 
+def test_a_shard_is_indexed_in_blocks_of_whole_keys():
+    """Memory beside the texts does not follow the bytes of a shard, and the matches are those of one index."""
+    rnd = random.Random(7)
+    rows = []
+    for key in range(300):
+        base = rnd.randbytes(1800)
+        rows += [(key, 10 * key + i, base[: 900 + 50 * i] + rnd.randbytes(400)) for i in range(6)]
+    rows += [(300, 10_000 + i, rnd.randbytes(60_000) + bytes(500)) for i in range(12)]
+    rnd.shuffle(rows)
+    group = pd.DataFrame({"key": [r[0] for r in rows], "u": [r[1] for r in rows], "bytes": [r[2] for r in rows]})
+    group["n"], group["copies"] = group["bytes"].map(len) - 399, 1
+    group.loc[group["u"] == 13, "copies"] = 2
+    tracemalloc.start()
+    got = repeats._index(400)(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert group["bytes"].map(len).sum() > 3_000_000 and peak < 80_000_000
+    want = {u: repeats._ranges(f) for u, f in zip(group["u"], repeats.repeated_windows(group["bytes"].tolist(), 400))}
+    want[13] = ([0], [int(group.loc[group["u"] == 13, "n"].iloc[0])])
+    found = {r.u: (r.firsts, r.counts) for r in got.itertuples()}
+    assert found == {u: r for u, r in want.items() if r[0]} and set(range(10_000, 10_012)) <= set(found)
+    assert list(repeats._blocks(np.array([3, 3, 3, 9, 1]), 6)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
 def test_repeats_of_edge_rows(edge, nothing):
     assert repeats.remove_repeats(nothing).collect() == []
     small = [(i, t) for i, t in ROWS if not t or len(t) < 10_000] + [(20, "periodic " * 120), (None, "x" * 900), (None, "x" * 900)]
