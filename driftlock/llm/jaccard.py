@@ -10,7 +10,8 @@ Classes only steer cost. Any set of frequent tokens gives the same links, so tha
 
 Buckets are not expanded into pairs. Members are first verified against a leader of their bucket; what is then in one
 component needs no more. Pairs across components are left, and of these only the ones that share as many tokens as a
-similarity of the threshold implies.
+similarity of the threshold implies. A sketch holds the parity of the tokens of each hash value, so two sketches differ
+in no more bits than their sets in tokens; pairs that differ in too many are left out where they meet.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ TOLD = 1_000_000
 SUB_CLASS = 4
 # Copies of a leader whose members are verified side by side.
 SALTS = 32
+# Bits of a sketch; the texts whose sketches are made at a time.
+BITS, SKETCHED = 512, 1000
+# Buckets of an id that its rows are told, so that a pair is made in the first of them only; with more, in all.
+LISTED = 256
 # Ids of rows without an id start here and come back as null.
 NO_ID = 2**62
 
@@ -108,7 +113,19 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, frequent: int = FREQUEN
     return np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
 
-SETS = "id bigint, text_hash bigint, n int, s1 bigint, s2 bigint, singles int, rare int, sigs array<bigint>"
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``BITS`` bits for each set: whether it has an odd number of the tokens with that hash."""
+    out = np.empty((len(sets), BITS // 64), np.int64)
+    for at in range(0, len(sets), SKETCHED):
+        part = sets[at : at + SKETCHED]
+        owner = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        place = (mixed(np.concatenate(part)) % np.uint64(BITS)).astype(np.int64)
+        odd = np.bincount(owner * BITS + place, minlength=len(part) * BITS) & 1
+        out[at : at + SKETCHED] = np.packbits(odd.astype(bool)).view(np.int64).reshape(len(part), -1)
+    return out
+
+
+SETS = "id bigint, text_hash bigint, n int, s1 bigint, s2 bigint, sketch array<bigint>, singles int, rare int, sigs array<bigint>"
 
 
 def _describe(shared, percent: int, words: int):
@@ -124,10 +141,12 @@ def _describe(shared, percent: int, words: int):
             ids = np.where(none, (s1 >> np.uint64(2)).astype(np.int64) + NO_ID, id_.fill_null(0).to_numpy())
             offsets = np.concatenate([[0], np.cumsum([len(g) for g, _, _ in made])]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *[g for g, _, _ in made]]).view(np.int64)
+            words_ = BITS // 64
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words_), pa.array(sketches(sets).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *[pa.array([m[k] for m in made], pa.int32()) for k in (1, 2)],
+                    pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), sketch, *[pa.array([m[k] for m in made], pa.int32()) for k in (1, 2)],
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
                 names=[c.split()[0] for c in SETS.split(", ")],
@@ -303,11 +322,19 @@ def _leads(buckets: DataFrame, labels: DataFrame | None, percent: int, turn: int
     return shared.groupBy("id").agg(best.alias("b")).select(F.col("id").alias("a"), "b")
 
 
-def _across(buckets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+def _near(percent: int) -> Column:
+    """Whether the sketches differ in no more bits than linked sets may differ in tokens."""
+    differ = sum(F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(BITS // 64))
+    return F.coalesce(differ <= F.col("n") + F.col("n_b") - 2 * _needed(percent), F.lit(True))
+
+
+def _across(buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """All pairs of different components that share buckets and enough tokens.
 
     Buckets with the same members, of which similar sets have many, are joined as one: 128 bits over the members name
-    it, and it carries how many buckets it stands for and the last place of each member in them.
+    it, and it carries how many buckets it stands for and the last place of each member in them. Sketches leave out the
+    pairs that differ too much. A pair that meets in buckets of pairs of frequent tokens needs no count, so it is made in
+    the first bucket that both have. Ids with several sets have no sketch and meet in all their buckets.
     """
     whole = Window.partitionBy("sig")
     rows = _current(buckets, labels).withColumns(
@@ -320,9 +347,17 @@ def _across(buckets: DataFrame, labels: DataFrame | None, percent: int) -> DataF
     )
     own = ["id", "n", "deep", "component"]
     rows = rows.where("lo < hi").groupBy("m1", "m2", "pair", *own).agg(F.max("place").alias("place"), F.count("*").alias("times"))
-    rows = stored(rows, "mixed")
-    other = rows.select("m1", "m2", "pair", *[F.col(c).alias(f"{c}_b") for c in [*own, "place"]])
-    met = rows.join(other, ["m1", "m2", "pair"]).where((F.col("id") < F.col("id_b")) & _may_meet(percent))
+    rows = stored(rows.withColumn("bucket", F.xxhash64("m1", "m2")), "mixed")
+    used = rows.groupBy("id").agg(F.collect_set(F.when(F.col("pair"), F.col("bucket"))).alias("listed"))
+    alone = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))
+    marks = used.join(sets.where("n > 0").select("id", "s1", "s2", "sketch"), "id").groupBy("id").agg(
+        F.when(alone, F.first("sketch")).alias("sketch"), F.when(alone & (F.size(F.first("listed")) <= LISTED), F.first("listed")).alias("listed")
+    )
+    rows = stored(rows.join(marks, "id"), "sketched")
+    other = rows.select("m1", "m2", "pair", *[F.col(c).alias(f"{c}_b") for c in [*own, "place", "sketch", "listed"]])
+    first = F.array_min(F.array_intersect("listed", "listed_b")) == F.col("bucket")
+    once = ~F.col("pair") | F.coalesce(first, F.lit(True))
+    met = rows.join(other, ["m1", "m2", "pair"]).where((F.col("id") < F.col("id_b")) & _may_meet(percent) & _near(percent) & once)
     return _counted(met, percent).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
@@ -338,7 +373,7 @@ def link_classes(
     described = Described(docs, percent, words, frequent, told)
     links, labels = None, None
     for turn in range(turns + 1):
-        pairs = _leads(described.buckets, labels, percent, turn) if turn < turns else _across(described.buckets, labels, percent)
+        pairs = _leads(described.buckets, labels, percent, turn) if turn < turns else _across(described.buckets, described.sets, labels, percent)
         new = verified(described.docs, described, pairs, percent, words)
         links = new if links is None else links.union(new)
         labels = components(links, "a", "b")

@@ -119,6 +119,47 @@ def test_jaccard_of_many_near_copies(spark):
     assert got == brute.join_classes(made)
 
 
+def test_sets_that_are_too_different_make_no_rows_across_components(spark, monkeypatch):
+    """Variants of one text below the threshold share many buckets; ids may have several texts or none."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    made = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.integers(0, len(copy), 6 if i % 4 else 2):
+            copy[at] = f"e{rng.integers(0, 40)}"
+        made.append((None if i % 40 == 7 else i if i % 10 else 1000 + i // 20, " ".join(copy)))
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    real, rows = jaccard._counted, []
+
+    def counted(met, percent):
+        if "sketch" in met.columns:
+            rows.append((met.count(), met.where("pair").count(), met.where("pair").select("id", "id_b").distinct().count()))
+        return real(met, percent)
+
+    got = by_repr(tuple(r) for r in jaccard.join_classes(df, frequent=8).collect())
+    monkeypatch.setattr(jaccard, "_near", lambda percent: F.lit(True))
+    monkeypatch.setattr(jaccard, "LISTED", -1)
+    monkeypatch.setattr(jaccard, "_counted", counted)
+    assert got == by_repr(tuple(r) for r in jaccard.join_classes(df, frequent=8).collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(jaccard, "_counted", counted)
+    jaccard.join_classes(df, frequent=8).collect()
+    (all_rows, _, all_pairs), (few_rows, few_pair_rows, few_pairs) = rows
+    assert few_pairs < all_pairs and few_rows * 5 < all_rows
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in [0, 1, 2, 100, 140, 900, *rng.integers(0, 300, 1200)]]
+    made = np.unpackbits(jaccard.sketches(sets).view(np.uint8), axis=1)
+    assert made.shape == (len(sets), jaccard.BITS) and not made[0].any()
+    for a, b in rng.integers(0, len(sets), (500, 2)):
+        assert (made[a] ^ made[b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+    assert (made[4] ^ made[3]).sum() > 100
+
+
 def test_pairs_that_could_link_share_a_signature():
     rng = np.random.default_rng(6)
     for _ in range(300):
